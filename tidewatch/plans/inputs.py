@@ -126,7 +126,7 @@ def customer_jobs(spark: SparkSession, sf_dir: str, now: str = FIXTURE_NOW) -> D
         last_seen.alias("last_seen"),
         key.cast("string").alias("source_identifier"),
         F.when(F.pmod(key, F.lit(5)) == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("department"),
-        F.concat(F.lit("Account balance "), F.col("c_acctbal").cast("string")).alias("description"),
+        F.expr("repeat(concat(c_name, ' '), cast(pmod(c_custkey, 40) as int))").alias("description"),
         first_seen.alias("created_at"),
         last_seen.alias("updated_at"),
     )
