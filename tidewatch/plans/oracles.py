@@ -159,7 +159,7 @@ VIEW = "id, company_id, title, location, status, classification"
 oracle("f1_filter_company", _with(CJ) + f"SELECT {VIEW} FROM cj WHERE company_id = 'building'")
 oracle("f2_filter_status", _with(CJ) + f"SELECT {VIEW} FROM cj WHERE status = 'reopened'")
 oracle("f3_search", _with(CJ) + f"""SELECT {VIEW} FROM cj WHERE company_id = 'machinery' AND status = 'active'
-  AND (contains(lower(title), 'an') OR contains(lower(company_name), 'an') OR contains(lower(location), 'an'))""")
+  AND (contains(lower(title), 'tion_1') OR contains(lower(company_name), 'tion_1') OR contains(lower(location), 'tion_1'))""")
 oracle("f4_filter_classification_dates", _with(CJ) + f"""SELECT {VIEW}, first_seen, last_seen FROM cj
   WHERE classification = 'repost' AND first_seen >= TIMESTAMP '2023-12-20 00:00:00' AND last_seen <= TIMESTAMP '2024-01-25 00:00:00'""")
 
@@ -201,7 +201,7 @@ SELECT company_id, err IS NULL AS is_valid, err AS error FROM (
     WHEN contains(company_id, '--') THEN 'Company ID cannot contain consecutive hyphens' END AS err
   FROM ids)""")
 oracle("f9_needs_follow_up", _with(APPS) + f"SELECT id, job_id, next_follow_up FROM apps WHERE next_follow_up IS NOT NULL AND next_follow_up <= {AS_OF}")
-oracle("f10_active_unapplied", _with(CJ, APPS) + "SELECT id, status FROM cj WHERE status <> 'closed' AND id NOT IN (SELECT job_id FROM apps)")
+oracle("f10_active_unapplied", _with(CJ, APPS) + "SELECT id, status FROM cj WHERE status <> 'closed' AND id NOT IN (SELECT job_id FROM apps WHERE applied_date >= DATE '1998-01-01')")
 oracle("f11_lookup_by_id", _with(CJ) + f"SELECT {VIEW} FROM cj WHERE id = 'c-42' ORDER BY entity_seq LIMIT 1")
 
 oracle("p1_job_detail", _with(CJ, APPS) + """, obs AS (
@@ -280,9 +280,9 @@ oracle("t1_add_application", """SELECT 'app-' || o_orderkey AS id, 'c-' || o_cus
   NULL::VARCHAR AS contact_person FROM orders""")
 oracle("t2_update_application", _with(APPS) + """, upd AS (
   SELECT 'app-' || l_orderkey AS id,
-         arg_max(CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'screening' END, l_linenumber)
+         arg_max(CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'screening' END, (l_linenumber, l_shipdate, l_partkey, l_suppkey))
            FILTER (WHERE l_returnflag IN ('R', 'A')) AS u_stage,
-         arg_max('line ' || l_linenumber, l_linenumber) FILTER (WHERE l_linestatus = 'F') AS u_notes,
+         arg_max('line ' || l_linenumber, (l_linenumber, l_shipdate, l_partkey, l_suppkey)) FILTER (WHERE l_linestatus = 'F') AS u_notes,
          max(l_shipdate) AS u_ts
   FROM lineitem GROUP BY 1)
 SELECT a.id, coalesce(u_stage, a.stage) AS stage, coalesce(u_notes, a.notes) AS notes, u_ts AS updated_at

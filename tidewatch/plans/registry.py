@@ -216,7 +216,7 @@ def f2(spark, sf):
 
 @query("f3_search")
 def f3(spark, sf):
-    return VW.filter_jobs(I.customer_jobs(spark, sf), company="machinery", status="active", search="An").select(*VIEW_COLS)
+    return VW.filter_jobs(I.customer_jobs(spark, sf), company="machinery", status="active", search="Tion_1").select(*VIEW_COLS)
 
 
 @query("f4_filter_classification_dates")
@@ -275,7 +275,8 @@ def f9(spark, sf):
 
 @query("f10_active_unapplied")
 def f10(spark, sf):
-    return VW.active_unapplied(I.customer_jobs(spark, sf), I.applications(spark, sf)).select("id", "status")
+    season = I.applications(spark, sf).where(F.col("applied_date") >= F.lit("1998-01-01").cast("date"))
+    return VW.active_unapplied(I.customer_jobs(spark, sf), season).select("id", "status")
 
 
 @query("f11_lookup_by_id")
@@ -404,7 +405,9 @@ def t1(spark, sf):
 def _updates(spark, sf):
     l = I.table(spark, sf, "lineitem")
     return l.select(
-        F.concat(F.lit("app-"), F.col("l_orderkey")).alias("id"), F.col("l_linenumber").alias("op_seq"),
+        F.concat(F.lit("app-"), F.col("l_orderkey")).alias("id"),
+        # total order of the change feed: line number, then ship date and part/supplier keys
+        F.struct("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey").alias("op_seq"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("op_ts"),
         F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "screening").alias("stage"),
         F.when(F.col("l_linestatus") == "F", F.concat(F.lit("line "), F.col("l_linenumber"))).alias("notes"))
