@@ -78,3 +78,15 @@ def test_bound_is_upper(spark):
 def test_threshold_guard():
     with pytest.raises(ValueError):
         S.check_threshold(1.5)
+
+
+def test_histogram_bound_is_upper(spark):
+    rng = random.Random(11)
+    alphabet = "abcdeé xyz_09-"
+    rows = [("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))),
+             "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = df.select("a", "b", S.ratio_hist_bound(F.col("a"), F.col("b"), S.char_histogram(F.col("a")),
+                                                 S.char_histogram(F.col("b"))).alias("ub")).collect()
+    for r in out:
+        assert S.ratio(r.a, r.b) <= r.ub, (r.a, r.b)

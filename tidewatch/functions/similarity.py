@@ -131,6 +131,77 @@ def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+def _buckets(text: str):
+    import numpy as np
+
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    out = len(HIST_ALPHABET) + cp % HIST_OTHER
+    lower = (cp >= 97) & (cp <= 122)
+    digit = (cp >= 48) & (cp <= 57)
+    out = np.where(lower, cp - 97, out)
+    out = np.where(digit, cp - 48 + 26, out)
+    out = np.where(cp == 32, 36, out)
+    return np.bincount(out, minlength=HIST_SIZE)
+
+
+def _ratio_np(lensum, lcs):
+    import numpy as np
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (1.0 - (lensum - 2 * lcs) / lensum) * 100
+    return np.where(lensum == 0, 100.0, r)
+
+
+LCS_PACK = 1 << 31
+
+
+def pair_lcs_kernel(qt: pd.Series, ct: pd.Series, ql: pd.Series, cl: pd.Series, threshold: float) -> pd.Series:
+    """For same-company signature pairs: ``title_lcs * 2^31 + location_lcs``, or -1 when the
+    character-histogram bound already proves the score is below ``threshold`` (lossless:
+    the bound is computed with the score formula itself, on upper bounds of both LCS)."""
+    import numpy as np
+
+    qt, ct, ql, cl = (x.fillna("").astype(str) for x in (qt, ct, ql, cl))
+    uniq = pd.unique(pd.concat([qt, ct, ql, cl], ignore_index=True))
+    pos = {u: i for i, u in enumerate(uniq)}
+    hist = np.stack([_buckets(u) for u in uniq]) if len(uniq) else np.zeros((0, HIST_SIZE), dtype=np.int64)
+    lens = np.array([len(u) for u in uniq], dtype=np.int64)
+    iq, ic = qt.map(pos).to_numpy(), ct.map(pos).to_numpy()
+    jq, jc = ql.map(pos).to_numpy(), cl.map(pos).to_numpy()
+    ub_t = np.minimum(np.minimum(lens[iq], lens[ic]), np.minimum(hist[iq], hist[ic]).sum(axis=1))
+    ub_l = np.minimum(np.minimum(lens[jq], lens[jc]), np.minimum(hist[jq], hist[jc]).sum(axis=1))
+    score_ub = ((COMPANY_WEIGHT * 100.0 + TITLE_WEIGHT * _ratio_np(lens[iq] + lens[ic], ub_t))
+                + LOCATION_WEIGHT * _ratio_np(lens[jq] + lens[jc], ub_l)) / 100.0
+    keep = (score_ub >= threshold) | ((qt.to_numpy() == ct.to_numpy()) & (ql.to_numpy() == cl.to_numpy()))
+    out = np.full(len(qt), -1, dtype=np.int64)
+    memo: dict[tuple[str, str], int] = {}
+
+    def lcs(a: str, b: str) -> int:
+        k = (a, b)
+        if k not in memo:
+            memo[k] = lcs_length(a, b)
+        return memo[k]
+
+    for i in np.nonzero(keep)[0]:
+        out[i] = lcs(qt.iat[i], ct.iat[i]) * LCS_PACK + lcs(ql.iat[i], cl.iat[i])
+    return pd.Series(out)
+
+
+def pair_lcs_udf(threshold: float):
+    t = check_threshold(threshold)
+
+    @F.pandas_udf(LongType())
+    def _udf(qt: pd.Series, ct: pd.Series, ql: pd.Series, cl: pd.Series) -> pd.Series:
+        return pair_lcs_kernel(qt, ct, ql, cl, t)
+
+    return _udf.asNondeterministic()
+
+
+# Deterministic in fact; flagged otherwise so the optimizer cannot copy the call into a pushed-down
+# filter (which would run the Python kernel twice per pair).
+lcs_len_udf = lcs_len_udf.asNondeterministic()
+
+
 def ratio_from_lcs(len_a: Column, len_b: Column, lcs: Column) -> Column:
     """M1 formula given the LCS length, same operation order as the reference library."""
     lensum = (len_a + len_b).cast("double")
@@ -160,6 +231,56 @@ def ratio_upper_bound(a: Column, b: Column) -> Column:
     return ratio_from_lcs(la, lb, F.least(la, lb))
 
 
+# Character-histogram bound. LCS(a, b) <= sum over buckets of min(count_a, count_b) for any
+# partition of the alphabet into buckets (a coarser partition only loosens the bound), so it is
+# lossless. Buckets: the 26 ASCII letters, 10 digits, space, and 27 hash buckets for the rest.
+HIST_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+HIST_OTHER = 27
+HIST_SIZE = len(HIST_ALPHABET) + HIST_OTHER
+
+
+def char_histogram(s: Column) -> Column:
+    """ARRAY<INT> of bucket counts (native higher-order functions; computed once per distinct
+    string, before any pairing)."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    bucket = F.transform(
+        chars,
+        lambda c: F.when(F.instr(F.lit(HIST_ALPHABET), c) > 0, F.instr(F.lit(HIST_ALPHABET), c) - 1)
+        .otherwise(F.lit(len(HIST_ALPHABET)) + F.pmod(F.ascii(c), F.lit(HIST_OTHER))),
+    )
+    return F.transform(F.sequence(F.lit(0), F.lit(HIST_SIZE - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)))
+
+
+def lcs_histogram_bound(hist_a: Column, hist_b: Column) -> Column:
+    return F.aggregate(F.zip_with(hist_a, hist_b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, v: acc + v)
+
+
+HIST_COLUMN_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def char_count_columns(s: Column, prefix: str) -> list[Column]:
+    """Per-character counts as plain INT columns (``length - length(replace)``, codegen'd),
+    one per character of HIST_COLUMN_CHARS plus one for every other character."""
+    cols = [(F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))).alias(f"{prefix}{i}")
+            for i, ch in enumerate(HIST_COLUMN_CHARS)]
+    total = sum((F.col(f"{prefix}{i}") for i in range(len(HIST_COLUMN_CHARS))), F.lit(0))
+    return cols, (F.length(s) - total).alias(f"{prefix}x")
+
+
+def lcs_count_bound(prefix_a: str, prefix_b: str) -> Column:
+    """Sum over characters of min(count_a, count_b), the 'other' bucket counted as one
+    character class (coarser, so still an upper bound of the LCS)."""
+    terms = [F.least(F.col(f"{prefix_a}{i}"), F.col(f"{prefix_b}{i}")) for i in range(len(HIST_COLUMN_CHARS))]
+    terms.append(F.least(F.col(f"{prefix_a}x"), F.col(f"{prefix_b}x")))
+    return sum(terms[1:], terms[0])
+
+
+def ratio_hist_bound(a: Column, b: Column, hist_a: Column, hist_b: Column) -> Column:
+    """Ratio upper bound from LCS <= min(len, histogram intersection); >= the true ratio."""
+    la, lb = F.length(a), F.length(b)
+    return ratio_from_lcs(la, lb, F.least(la, lb, lcs_histogram_bound(hist_a, hist_b)))
+
+
 def same_company_score_bound(title_a: Column, title_b: Column, loc_a: Column, loc_b: Column) -> Column:
     """Upper bound of M4 for two signatures of the same company (company ratio = 100)."""
     return combine(F.lit(100.0), ratio_upper_bound(title_a, title_b), ratio_upper_bound(loc_a, loc_b))

@@ -191,7 +191,11 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     cutoff_dt = now_dt - pd.Timedelta(days=window_days).to_pytimedelta()
     now_c, cutoff_c = _ts(now_dt), _ts(cutoff_dt)
 
+    # The known set is read by many branches of this plan: materialise it once in the shared
+    # checkpoint dir, which also keeps every later plan short (analysis cost grows with depth).
     K = entities.select(*ENTITY_COLUMNS)
+    if checkpoint:
+        K = _ckpt(K, "known entities")
     R = with_signature(batch).withColumn(
         "sid", F.when(F.col("source_identifier") == "", F.lit(None)).otherwise(F.col("source_identifier"))
     )
@@ -266,7 +270,15 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         F.lit(None).cast("string").alias("cid"), F.lit(None).cast("timestamp_ntz").alias("cfirst"),
     )
     cs = cs_k.unionByName(cs_b)
-    sp = score_signature_pairs(residue, cs, t)
+    # One scoring pass: every batch signature against every candidate signature (known
+    # candidates and batch signatures) of its company. Shared by the set-wise path (residue
+    # leaders only) and the replay (all rows of routed companies).
+    sig_cands = Kc.select("company_id", "title_sorted", "location_norm").unionByName(
+        R2.select("company_id", "title_sorted", "location_norm"))
+    sp_all = score_signature_pairs(R2, sig_cands, t)
+    if checkpoint:
+        sp_all = _ckpt(sp_all, "signature pairs")
+    sp = sp_all
     edges = (
         residue.select("batch_seq", "company_id", F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc"))
         .join(sp, ["company_id", "q_title", "q_loc"])
@@ -335,9 +347,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     Kr = Kr_all.where((F.col("status") == "closed") | in_window).unionByName(
         Kr_all.join(hit_ids, "id", "left_semi")
     ).dropDuplicates(["id"])
-    cand_r = Kr.select("company_id", "title_sorted", "location_norm").unionByName(
-        Rr.select("company_id", "title_sorted", "location_norm"))
-    sp_r = score_signature_pairs(Rr, cand_r, t)
+    sp_r = sp_all.join(routed_flag.select("company_id"), "company_id", "left_semi")
     q_r = Rr.select("batch_seq", "company_id", F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc"))
     e_k = q_r.join(sp_r, ["company_id", "q_title", "q_loc"]).join(
         Kr.select("company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
@@ -503,7 +513,7 @@ def run_cycle(entities: DataFrame, batch: DataFrame, now, window_days: int = DEF
     """Classify all -> mark missing -> close old missing. ``lifecycle`` has one row per
     entity with its status before and after (for A3)."""
     res = classify_batch(entities, batch, now, window_days, threshold, run_id, checkpoint)
-    after_classify = res.entities
+    after_classify = _ckpt(res.entities, "entities after classify") if checkpoint else res.entities
     marked = mark_missing(after_classify, res.decisions.select("entity_id"), now)
     closed = close_old_missing(marked, now, close_timeout_days)
     lifecycle = after_classify.select("id", F.col("status").alias("status_before")).join(

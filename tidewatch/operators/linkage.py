@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType
 
 from tidewatch.functions import similarity as S
 
-PAIRS_PER_TILE = 2_000_000
+PAIRS_PER_TILE = 250_000
 MAX_SALT = 64
 
 
@@ -49,7 +49,12 @@ def salted_block_join(left: DataFrame, right: DataFrame, keys: list[str], left_i
         .withColumn("_sl", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
         .drop("_s")
     )
-    return l2.join(r2, keys + ["_sl", "_sr"]).drop("_sl", "_sr")
+    # The join multiplies rows, so the pair work is not proportional to the input bytes that
+    # AQE uses to size partitions: spread the tiles over a fixed number of partitions (an
+    # explicit count, which AQE does not coalesce) on both sides of the co-partitioned join.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = keys + ["_sl", "_sr"]
+    return l2.repartition(n, *tile).join(r2.repartition(n, *tile), tile).drop("_sl", "_sr")
 
 
 def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold: float,
@@ -61,17 +66,39 @@ def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold:
     t = S.check_threshold(threshold)
     q = queries.select(F.col(block), F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc")).distinct()
     c = candidates.select(F.col(block), F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).distinct()
+    # character counts of each distinct title, computed once per signature (native)
+    qc, qx = S.char_count_columns(F.col("q_title"), "_qh")
+    cc, cx = S.char_count_columns(F.col("c_title"), "_ch")
+    q = q.select("*", *qc).select("*", qx)
+    c = c.select("*", *cc).select("*", cx)
     pairs = salted_block_join(
         q, c, [block],
         F.concat_ws("|", "q_title", "q_loc"), F.concat_ws("|", "c_title", "c_loc"),
     )
-    bound = S.same_company_score_bound(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
     exact = (F.col("q_title") == F.col("c_title")) & (F.col("q_loc") == F.col("c_loc"))
-    scored = pairs.where(exact | (bound >= F.lit(t))).withColumn(
-        "score",
-        F.when(exact, F.lit(1.0)).otherwise(
-            S.same_company_score(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
-        ),
+    # lossless filter 1 (native, codegen): string lengths only
+    len_bound = S.same_company_score_bound(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
+    pairs = pairs.where(exact | (len_bound >= F.lit(t)))
+    # lossless filter 2 (native): LCS <= sum of per-character minimum counts
+    count_bound = S.combine(
+        F.lit(100.0),
+        S.ratio_from_lcs(F.length("q_title"), F.length("c_title"),
+                         F.least(F.length("q_title"), F.length("c_title"), S.lcs_count_bound("_qh", "_ch"))),
+        S.ratio_upper_bound(F.col("q_loc"), F.col("c_loc")),
+    )
+    pairs = pairs.where(exact | (count_bound >= F.lit(t)))
+    pairs = pairs.select(block, "q_title", "q_loc", "c_title", "c_loc")
+    # exact LCS for the survivors (Arrow batches; the kernel re-checks a finer histogram bound)
+    packed = S.pair_lcs_udf(t)(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
+    scored = (
+        pairs.withColumn("_p", packed)
+        .where(F.col("_p") >= 0)
+        .withColumn("score", S.combine(
+            F.lit(100.0),
+            S.ratio_from_lcs(F.length("q_title"), F.length("c_title"), F.floor(F.col("_p") / F.lit(S.LCS_PACK))),
+            S.ratio_from_lcs(F.length("q_loc"), F.length("c_loc"), F.pmod(F.col("_p"), F.lit(S.LCS_PACK))),
+        ))
+        .drop("_p")
     )
     # a score of exactly 0 is never selected, even at threshold 0
     return scored.where((F.col("score") >= F.lit(t)) & (F.col("score") > F.lit(0.0)))
