@@ -257,6 +257,7 @@ FROM g GROUP BY entity_id, sid""")
 oracle("r3_run_window_counts", """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start,
   time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS observations
 FROM events GROUP BY ALL""")
+ORACLES["r3_run_window_counts_stream"] = ORACLES["r3_run_window_counts"]
 oracle("a6_evaluate_labels", """SELECT *,
   CASE WHEN expected_positive > 0 THEN true_positives / expected_positive ELSE 0.0 END AS detection_rate,
   CASE WHEN expected_negative > 0 THEN false_positives / expected_negative ELSE 0.0 END AS false_positive_rate,

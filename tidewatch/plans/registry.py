@@ -531,3 +531,34 @@ def s19(spark, sf):
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
+
+
+# --- streaming (run over everything available, into a table under the checkpoint dir) ---------
+
+def _stream_dirs(spark, name):
+    import uuid
+
+    from tidewatch.session import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return f"{base}/sink", f"{base}/checkpoint"
+
+
+@query("r3_run_window_counts_stream")
+def r3_stream(spark, sf):
+    from tidewatch.streaming import stream as SS
+
+    sink, ckpt = _stream_dirs(spark, "r3")
+    out = SS.run_available(SS.run_window_counts(SS.sightings_stream(spark, sf), "event_type", "6 hours"),
+                           sink, ckpt, mode="complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "observations")
+
+
+@query("r2_entity_lifecycle_stream")
+def r2_stream(spark, sf):
+    from tidewatch.streaming import stream as SS
+
+    sink, ckpt = _stream_dirs(spark, "r2")
+    out = SS.run_available(SS.entity_lifecycle(SS.sightings_stream(spark, sf), "3 days", "7 days"), sink, ckpt)
+    return out.select("entity_id", "status", F.col("at").cast("timestamp_ntz").alias("at"), "sightings")
