@@ -86,7 +86,7 @@ def _new_id(run_id: str) -> F.Column:
 
 
 # ---------------------------------------------------------------------------
-# Sequential replay for routed companies (edges + id hits only).
+# Sequential replay for routed components (edges + id hits only).
 # ---------------------------------------------------------------------------
 
 REPLAY_SCHEMA = StructType([
@@ -272,7 +272,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     cs = cs_k.unionByName(cs_b)
     # One scoring pass: every batch signature against every candidate signature (known
     # candidates and batch signatures) of its company. Shared by the set-wise path (residue
-    # leaders only) and the replay (all rows of routed companies).
+    # leaders only) and the replay (all rows of routed components).
     sig_cands = Kc.select("company_id", "title_sorted", "location_norm").unionByName(
         R2.select("company_id", "title_sorted", "location_norm"))
     sp_all = score_signature_pairs(R2, sig_cands, t)
@@ -299,16 +299,52 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         F.max(F.when(F.col("ckind") == "C", F.lit(1)).otherwise(F.lit(0))).alias("has_closed"),
     )
     L3 = L2.join(best, "batch_seq", "left")
-    routed = (
-        L3.where(~F.col("is_exact") & F.col("rp").isNull() & (F.col("has_closed") == 1))
-        .select("company_id").distinct()
-    )
+    # --- routing: connected components that contain a possible reopen ----------------------
+    triggers = L3.where(~F.col("is_exact") & F.col("rp").isNull() & (F.col("has_closed") == 1)).select(
+        "batch_seq", "company_id")
     if checkpoint:
-        routed = _ckpt(routed, 'routed')
-    routed_flag = routed.withColumn("routed", F.lit(True))
-
-    # --- set-wise decisions (unrouted companies) -------------------------------------------
-    L4 = L3.join(routed_flag, "company_id", "left_anti")
+        triggers = _ckpt(triggers, "reopen triggers")
+    any_trigger = (not triggers.isEmpty()) if checkpoint else True
+    routed_companies = triggers.select("company_id").distinct()
+    Rc = R2.join(routed_companies, "company_id", "left_semi")
+    Kc_all = K1.join(routed_companies, "company_id", "left_semi")
+    hit_ids = Rc.where(F.col("hit_id").isNotNull()).select(F.col("hit_id").alias("id")).distinct()
+    Kr = Kc_all.where((F.col("status") == "closed") | in_window).unionByName(
+        Kc_all.join(hit_ids, "id", "left_semi")
+    ).dropDuplicates(["id"])
+    sp_r = sp_all.join(routed_companies, "company_id", "left_semi")
+    if any_trigger:
+        from tidewatch.operators.components import connected_components
+
+        def sig_node(t_col, l_col):
+            return F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col(t_col), F.col(l_col))
+
+        row_node = F.concat(F.lit("B:"), F.col("batch_seq").cast("string"))
+        graph = (
+            Rc.select(row_node.alias("src"), sig_node("title_sorted", "location_norm").alias("dst"))
+            .unionByName(Kr.select(F.concat(F.lit("K:"), F.col("id")).alias("src"),
+                                   sig_node("title_sorted", "location_norm").alias("dst")))
+            .unionByName(sp_r.select(sig_node("q_title", "q_loc").alias("src"), sig_node("c_title", "c_loc").alias("dst")))
+            .unionByName(Rc.where(F.col("sid").isNotNull()).select(
+                row_node.alias("src"), F.concat_ws("\x1f", F.lit("I"), F.col("company_id"), F.col("sid")).alias("dst")))
+            .unionByName(Rc.where(F.col("hit_id").isNotNull()).select(
+                row_node.alias("src"), F.concat(F.lit("K:"), F.col("hit_id")).alias("dst")))
+        )
+        comps = connected_components(graph, checkpoint=checkpoint)
+        row_comp = Rc.select("batch_seq", row_node.alias("node")).join(comps, "node").select("batch_seq", "comp")
+        routed_comps = triggers.join(row_comp, "batch_seq").select("comp").distinct()
+        routed_rows = row_comp.join(routed_comps, "comp", "left_semi")
+        if checkpoint:
+            routed_rows = _ckpt(routed_rows, "routed rows")
+        ent_comp = comps.where(F.col("node").startswith("K:")).join(routed_comps, "comp", "left_semi").select(
+            F.substring("node", 3, 1 << 30).alias("id"), "comp")
+    else:
+        routed_rows = R2.sparkSession.createDataFrame([], "batch_seq bigint, comp string")
+        ent_comp = R2.sparkSession.createDataFrame([], "id string, comp string")
+    routed_flag = routed_rows.select("batch_seq")
+
+    # --- set-wise decisions (rows outside routed components) -------------------------------------------
+    L4 = L3.join(routed_flag, "batch_seq", "left_anti")
     tk = F.when(F.col("xk").isNotNull(), F.lit("K")).when(F.col("xb_seq").isNotNull(), F.lit("B")).otherwise(F.col("rp.ckind"))
     lead_dec = L4.select(
         "batch_seq", "company_id",
@@ -327,7 +363,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         .when(F.col("rp.ckind") == "B", now_c)
         .alias("target_first_seen"),
     )
-    R_unrouted = R2.join(routed_flag, "company_id", "left_anti")
+    R_unrouted = R2.join(routed_flag, "batch_seq", "left_anti")
     hit_dec = R_unrouted.where(F.col("role") == "hit").select(
         "batch_seq", "company_id", F.lit("existing").alias("decision"), F.col("hit_id").alias("entity_id"),
         F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("target_kind"),
@@ -340,43 +376,38 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         F.lit(None).cast("double").alias("score"), F.lit(None).cast("timestamp_ntz").alias("target_first_seen"),
     )
 
-    # --- replay (routed companies) ------------------------------------------------------
-    Rr = R2.join(routed_flag.select("company_id"), "company_id", "left_semi")
-    Kr_all = K1.join(routed_flag.select("company_id"), "company_id", "left_semi")
-    hit_ids = Rr.where(F.col("hit_id").isNotNull()).select(F.col("hit_id").alias("id")).distinct()
-    Kr = Kr_all.where((F.col("status") == "closed") | in_window).unionByName(
-        Kr_all.join(hit_ids, "id", "left_semi")
-    ).dropDuplicates(["id"])
-    sp_r = sp_all.join(routed_flag.select("company_id"), "company_id", "left_semi")
-    q_r = Rr.select("batch_seq", "company_id", F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc"))
+    # --- replay (routed components) -----------------------------------------------------
+    Rr = R2.join(routed_rows, "batch_seq")
+    Kr = Kr.join(ent_comp, "id")
+    q_r = Rr.select("comp", "batch_seq", "company_id", F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc"))
     e_k = q_r.join(sp_r, ["company_id", "q_title", "q_loc"]).join(
-        Kr.select("company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
+        Kr.select("comp", "company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
                   F.concat(F.lit("K:"), F.col("id")).alias("ref")),
-        ["company_id", "c_title", "c_loc"],
-    ).select("company_id", "batch_seq", "ref", "score")
+        ["comp", "company_id", "c_title", "c_loc"],
+    ).select("comp", "company_id", "batch_seq", "ref", "score")
     e_b = q_r.join(sp_r, ["company_id", "q_title", "q_loc"]).join(
-        Rr.select("company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
+        Rr.select("comp", "company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
                   F.col("batch_seq").alias("cseq")),
-        ["company_id", "c_title", "c_loc"],
+        ["comp", "company_id", "c_title", "c_loc"],
     ).where(F.col("cseq") < F.col("batch_seq")).select(
-        "company_id", "batch_seq", F.concat(F.lit("B:"), F.col("cseq").cast("string")).alias("ref"), "score")
+        "comp", "company_id", "batch_seq", F.concat(F.lit("B:"), F.col("cseq").cast("string")).alias("ref"), "score")
     none_s = F.lit(None).cast("string")
     none_ts = F.lit(None).cast("timestamp_ntz")
     long_in = (
-        Kr.select("company_id", F.lit("ent").alias("kind"), F.col("entity_seq").alias("seq"), F.col("id").alias("ref"),
+        Kr.select("comp", "company_id", F.lit("ent").alias("kind"), F.col("entity_seq").alias("seq"), F.col("id").alias("ref"),
                   F.col("source_identifier").alias("sid"), "status", "last_seen", none_s.alias("url"),
                   F.lit(None).cast("double").alias("score"))
-        .unionByName(Rr.select("company_id", F.lit("row").alias("kind"), F.col("batch_seq").alias("seq"),
+        .unionByName(Rr.select("comp", "company_id", F.lit("row").alias("kind"), F.col("batch_seq").alias("seq"),
                                none_s.alias("ref"), "sid", none_s.alias("status"), none_ts.alias("last_seen"), "url",
                                F.lit(None).cast("double").alias("score")))
-        .unionByName(e_k.unionByName(e_b).select("company_id", F.lit("edge").alias("kind"), F.col("batch_seq").alias("seq"),
+        .unionByName(e_k.unionByName(e_b).select("comp", "company_id", F.lit("edge").alias("kind"), F.col("batch_seq").alias("seq"),
                                                  "ref", none_s.alias("sid"), none_s.alias("status"), none_ts.alias("last_seen"),
                                                  none_s.alias("url"), "score"))
     )
-    replayed = long_in.groupBy("company_id").applyInPandas(_make_replay(now_dt, cutoff_dt), REPLAY_SCHEMA)
+    # one group per routed component (a company's rows only meet where edges or ids link them)
+    replayed = long_in.groupBy("comp").applyInPandas(_make_replay(now_dt, cutoff_dt), REPLAY_SCHEMA)
     if checkpoint:
-        # the routed-company list is tiny (one row per routed company); an empty list skips the replay plan
-        if routed.isEmpty():
+        if not any_trigger:
             replayed = replayed.sparkSession.createDataFrame([], REPLAY_SCHEMA)
         else:
             replayed = _ckpt(replayed, 'replayed')
