@@ -90,3 +90,13 @@ def test_histogram_bound_is_upper(spark):
                                                  S.char_histogram(F.col("b"))).alias("ub")).collect()
     for r in out:
         assert S.ratio(r.a, r.b) <= r.ub, (r.a, r.b)
+
+
+def test_token_set_fallback_for_separator_in_company(spark):
+    pairs = [("a|b|engineer|remote", "a|b|senior engineer|remote"), ("x|y|data|nyc", "x|y|data|nyc"),
+             ("p|q|alpha beta|remote", "p|q|gamma|remote")]
+    assert S.similarity(*pairs[1]) == 1.0
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", S.token_set_ratio_udf(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in got:
+        assert r.r / 100.0 == S.similarity(r.a, r.b)

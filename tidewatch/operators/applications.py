@@ -83,3 +83,13 @@ def next_reminder(apps: DataFrame, follow_ups: DataFrame, days: int = 7) -> Data
 def needs_follow_up(apps: DataFrame, as_of: str) -> DataFrame:
     """F9 as a filter."""
     return apps.where(needs_follow_up_flag(F.col("next_follow_up"), as_of))
+
+
+def filter_stage(apps: DataFrame, stage: str | None) -> DataFrame:
+    """F4 (applications): stage equality, skipped when empty."""
+    return apps.where(F.col("stage") == stage) if stage else apps
+
+
+def sort_by_applied(apps: DataFrame) -> DataFrame:
+    """O3 (applications): by applied date, oldest first, then id."""
+    return apps.orderBy(F.col("applied_date"), F.col("id"))

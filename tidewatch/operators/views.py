@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DESCRIPTION_LIMIT = 500
-SORT_KEYS = ("last_seen", "first_seen", "company", "title")
+SORT_KEYS = ("last_seen", "first_seen", "oldest", "company", "title")
 
 
 def filter_jobs(df: DataFrame, company: str | None = None, status: str | None = None,
@@ -47,6 +47,8 @@ def sort_jobs(df: DataFrame, sort_by: str | None, seq: str = "entity_seq") -> Da
     title (UNICODE collation); stable on insertion order; unknown keys keep the order."""
     if sort_by in ("last_seen", "first_seen"):
         return df.orderBy(F.col(sort_by).desc(), F.col(seq))
+    if sort_by in ("oldest", "first_seen_asc"):
+        return df.orderBy(F.col("first_seen"), F.col(seq))
     if sort_by == "company":
         return df.orderBy(F.collate(F.col("company_name"), "UNICODE"), F.col(seq))
     if sort_by == "title":

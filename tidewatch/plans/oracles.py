@@ -331,6 +331,18 @@ oracle("s19_load_companies", """SELECT lower(replace(s_name, '#', '-')) AS id,
     AND NOT starts_with(lower(replace(s_name, '#', '-')), '-') AND NOT ends_with(lower(replace(s_name, '#', '-')), '-') AS id_format_valid
   FROM supplier""")
 
+oracle("o3_sort_oldest_first", _with(CJ) + "SELECT id, first_seen, entity_seq FROM cj ORDER BY first_seen, entity_seq")
+oracle("o3_sort_applications_by_date", _with(APPS) + "SELECT id, applied_date, stage FROM apps WHERE stage = 'interview' ORDER BY applied_date, id")
+oracle("f12_validate_collection", _with(CJ, _sig('cj', 'cjs')) + """, r AS (
+  SELECT company_id AS collection_id, CASE WHEN entity_seq % 37 = 0 THEN NULL ELSE title END AS title,
+         CASE WHEN entity_seq % 29 = 0 THEN 'unknown' ELSE status END AS status,
+         CASE WHEN entity_seq % 31 = 0 THEN NULL ELSE first_seen END AS created_at
+  FROM cjs),
+per AS (
+  SELECT collection_id, bool_and(title IS NOT NULL AND status IN ('active', 'missing', 'closed', 'reopened') AND created_at IS NOT NULL) AS ok,
+         count(*) AS job_count FROM r GROUP BY collection_id)
+SELECT collection_id, (CASE WHEN collection_id = 'household' THEN '0.9.0' ELSE '1.0.0' END) = '1.0.0' AND ok AS is_valid, job_count FROM per""")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

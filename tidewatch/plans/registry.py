@@ -562,3 +562,25 @@ def r2_stream(spark, sf):
     sink, ckpt = _stream_dirs(spark, "r2")
     out = SS.run_available(SS.entity_lifecycle(SS.sightings_stream(spark, sf), "3 days", "7 days"), sink, ckpt)
     return out.select("entity_id", "status", F.col("at").cast("timestamp_ntz").alias("at"), "sightings")
+
+
+@query("o3_sort_oldest_first")
+def o3(spark, sf):
+    return VW.sort_jobs(I.customer_jobs(spark, sf), "oldest").select("id", "first_seen", "entity_seq")
+
+
+@query("o3_sort_applications_by_date")
+def o3_apps(spark, sf):
+    return A.sort_by_applied(A.filter_stage(I.applications(spark, sf), "interview")).select("id", "applied_date", "stage")
+
+
+@query("f12_validate_collection")
+def f12(spark, sf):
+    """Collections = one per market segment of the customer state table; the envelope of
+    collection 'household' carries a wrong version."""
+    recs = _records_for_validation(spark, sf).withColumn("collection_id", F.col("company_id"))
+    env = recs.select("collection_id").distinct().select(
+        "collection_id",
+        F.when(F.col("collection_id") == "household", F.lit("0.9.0")).otherwise(F.lit("1.0.0")).alias("version"),
+        I.now_col().alias("generated_at"))
+    return V.validate_collection(env, recs)

@@ -73,7 +73,8 @@ def cycle_batch_handler(state_root: str, clock_col: str = "observed_at", **cycle
 def start_ingestion(spark: SparkSession, landing_dir: str, schema: str, state_root: str, checkpoint: str,
                     file_format: str = "parquet", available_now: bool = True, **cycle_kw):
     """Stream posting files from ``landing_dir`` through the classification cycle."""
-    stream = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", 1).load(landing_dir)
+    stream = (spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").load(landing_dir))
     writer = stream.writeStream.foreachBatch(cycle_batch_handler(state_root, **cycle_kw)).option(
         "checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
@@ -87,29 +88,54 @@ LIFECYCLE_STATE = "status string, last_seen timestamp, sightings long"
 
 
 def _lifecycle_fn(missing_after_ms: int, close_after_ms: int):
+    """Transitions are due at last_seen + missing_after (missing) and last_seen + close_after
+    (closed). A transition already behind the watermark is emitted at once (a timer may not be
+    set in the past)."""
+
+    def row(entity, status, at, n):
+        return pd.DataFrame({"entity_id": [entity], "status": [status], "at": [at], "sightings": [n]})
+
+    def ms_of(ts) -> int:
+        return int(pd.Timestamp(ts).timestamp() * 1000)
+
+    def advance(entity, status, last, n, wm, state, out):
+        """From ``status`` at ``last``, emit every transition due by the watermark, then arm
+        the next timer or drop the state once closed."""
+        if status == "active":
+            if ms_of(last) + missing_after_ms > wm:
+                state.update(("active", last, n))
+                state.setTimeoutTimestamp(ms_of(last) + missing_after_ms)
+                return
+            out.append(row(entity, "missing", last, n))
+            status = "missing"
+        if status == "missing":
+            if ms_of(last) + close_after_ms > wm:
+                state.update(("missing", last, n))
+                state.setTimeoutTimestamp(ms_of(last) + close_after_ms)
+                return
+            out.append(row(entity, "closed", last, n))
+            state.remove()
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         entity = key[0]
+        wm = state.getCurrentWatermarkMs()
+        out: list[pd.DataFrame] = []
         if state.hasTimedOut:
             status, last_seen, n = state.get
-            if status == "active":
-                state.update(("missing", last_seen, n))
-                state.setTimeoutTimestamp(int(pd.Timestamp(last_seen).timestamp() * 1000) + close_after_ms)
-                yield pd.DataFrame({"entity_id": [entity], "status": ["missing"], "at": [last_seen], "sightings": [n]})
-            elif status == "missing":
-                state.remove()
-                yield pd.DataFrame({"entity_id": [entity], "status": ["closed"], "at": [last_seen], "sightings": [n]})
-            return
-        prev = state.get if state.exists else None
-        n = prev[2] if prev else 0
-        last = prev[1] if prev else None
-        for pdf in pdfs:
-            n += len(pdf)
-            m = pdf["ts"].max()
-            last = m if last is None or m > last else last
-        state.update(("active", last, n))
-        state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000) + missing_after_ms)
-        if prev is None or prev[0] != "active":
-            yield pd.DataFrame({"entity_id": [entity], "status": ["active"], "at": [last], "sightings": [n]})
+            advance(entity, status, last_seen, n, wm, state, out)
+        else:
+            prev = state.get if state.exists else None
+            n = prev[2] if prev else 0
+            last = prev[1] if prev else None
+            for pdf in pdfs:
+                n += len(pdf)
+                m = pdf["ts"].max()
+                last = m if last is None or m > last else last
+            if prev is None or prev[0] != "active":
+                out.append(row(entity, "active", last, n))
+            advance(entity, "active", last, n, wm, state, out)
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return fn
 
