@@ -112,23 +112,47 @@ def _make_replay(now: datetime, cutoff: datetime):
         company = pdf["company_id"].iloc[0]
         ents = pdf[pdf["kind"] == "ent"].sort_values("seq")
         rows = pdf[pdf["kind"] == "row"].sort_values("seq")
-        edges = pdf[pdf["kind"] == "edge"]
+        sig_edges = pdf[pdf["kind"] == "sigedge"]
         rec: dict[str, dict] = {}
         order: dict[str, tuple] = {}
+        by_sig: dict[str, list] = {}      # signature -> records in insertion order
+        by_sid: dict[str, list] = {}      # source id -> records in insertion order
         for e in ents.itertuples(index=False):
             ref = "K:" + e.ref
             rec[ref] = {"status": e.status, "last_seen": e.last_seen, "sid": e.sid, "url": None, "touched": False}
             order[ref] = (0, int(e.seq))
-        edge_map: dict[int, list] = {}
-        for e in edges.itertuples(index=False):
-            edge_map.setdefault(int(e.seq), []).append((e.ref, float(e.score)))
+            by_sig.setdefault(e.sig, []).append(ref)
+            if isinstance(e.sid, str) and e.sid != "":
+                by_sid.setdefault(e.sid, []).append(ref)
+        linked: dict[str, list] = {}
+        for e in sig_edges.itertuples(index=False):
+            linked.setdefault(e.sig, []).append((e.ref, float(e.score)))
+
+        def best(sig, eligible):
+            """Per linked signature the earliest eligible record (equal signatures score equally),
+            then the highest score, ties to the earliest record."""
+            found = []
+            for s2, score in linked.get(sig, []):
+                for ref in by_sig.get(s2, []):
+                    if eligible(rec[ref]):
+                        found.append((ref, score))
+                        break
+            return max(found, key=lambda x: (x[1], tuple(-v for v in order[x[0]]))) if found else None
+
+        def insert(me, j, sid, url, sig):
+            rec[me] = {"status": "active", "last_seen": now_ts, "sid": sid, "url": url, "touched": False}
+            order[me] = (1, j)
+            by_sig.setdefault(sig, []).append(me)
+            if sid is not None:
+                by_sid.setdefault(sid, []).append(me)
+
         out = []
         for r in rows.itertuples(index=False):
             j = int(r.seq)
             sid = r.sid if isinstance(r.sid, str) and r.sid != "" else None
             hit = None
             if sid is not None:
-                hits = [k for k, v in rec.items() if v["sid"] == sid]
+                hits = [k for k in by_sid.get(sid, []) if rec[k]["sid"] == sid]
                 if hits:
                     hit = min(hits, key=lambda k: order[k])
             if hit is not None:
@@ -139,26 +163,24 @@ def _make_replay(now: datetime, cutoff: datetime):
                 v["touched"] = True
                 out.append(("decision", company, j, "existing", hit, None, None))
                 continue
-            cands = [(ref, s) for ref, s in edge_map.get(j, []) if ref in rec]
-            recent = [(ref, s) for ref, s in cands
-                      if rec[ref]["status"] != "closed" and rec[ref]["last_seen"] >= cutoff_ts]
-            if recent:
-                ref, s = max(recent, key=lambda x: (x[1], tuple(-v for v in order[x[0]])))
+            found = best(r.sig, lambda v: v["status"] != "closed" and v["last_seen"] >= cutoff_ts)
+            if found:
+                ref, sc = found
                 me = "B:%d" % j
-                rec[me] = {"status": "active", "last_seen": now_ts, "sid": sid, "url": r.url, "touched": False}
-                order[me] = (1, j)
-                out.append(("decision", company, j, "repost", me, ref, s))
+                insert(me, j, sid, r.url, r.sig)
+                out.append(("decision", company, j, "repost", me, ref, sc))
                 continue
-            closed = [(ref, s) for ref, s in cands if rec[ref]["status"] == "closed"]
-            if closed:
-                ref, s = max(closed, key=lambda x: (x[1], tuple(-v for v in order[x[0]])))
+            found = best(r.sig, lambda v: v["status"] == "closed")
+            if found:
+                ref, sc = found
                 v = rec[ref]
                 v.update(status="reopened", last_seen=now_ts, sid=sid, url=r.url, touched=True)
-                out.append(("decision", company, j, "reopened", ref, ref, s))
+                if sid is not None:
+                    by_sid.setdefault(sid, []).append(ref)
+                out.append(("decision", company, j, "reopened", ref, ref, sc))
                 continue
             me = "B:%d" % j
-            rec[me] = {"status": "active", "last_seen": now_ts, "sid": sid, "url": r.url, "touched": False}
-            order[me] = (1, j)
+            insert(me, j, sid, r.url, r.sig)
             out.append(("decision", company, j, "new", me, None, None))
         records = [
             {"out": o, "company_id": c, "batch_seq": j, "decision": d, "entity_ref": e, "target_ref": t, "score": s,
@@ -338,9 +360,11 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
             routed_rows = _ckpt(routed_rows, "routed rows")
         ent_comp = comps.where(F.col("node").startswith("K:")).join(routed_comps, "comp", "left_semi").select(
             F.substring("node", 3, 1 << 30).alias("id"), "comp")
+        comps_routed_sigs = comps.where(F.col("node").startswith("S\x1f")).join(routed_comps, "comp", "left_semi")
     else:
         routed_rows = R2.sparkSession.createDataFrame([], "batch_seq bigint, comp string")
         ent_comp = R2.sparkSession.createDataFrame([], "id string, comp string")
+        comps_routed_sigs = R2.sparkSession.createDataFrame([], "node string, comp string")
     routed_flag = routed_rows.select("batch_seq")
 
     # --- set-wise decisions (rows outside routed components) -------------------------------------------
@@ -379,30 +403,26 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     # --- replay (routed components) -----------------------------------------------------
     Rr = R2.join(routed_rows, "batch_seq")
     Kr = Kr.join(ent_comp, "id")
-    q_r = Rr.select("comp", "batch_seq", "company_id", F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc"))
-    e_k = q_r.join(sp_r, ["company_id", "q_title", "q_loc"]).join(
-        Kr.select("comp", "company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
-                  F.concat(F.lit("K:"), F.col("id")).alias("ref")),
-        ["comp", "company_id", "c_title", "c_loc"],
-    ).select("comp", "company_id", "batch_seq", "ref", "score")
-    e_b = q_r.join(sp_r, ["company_id", "q_title", "q_loc"]).join(
-        Rr.select("comp", "company_id", F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc"),
-                  F.col("batch_seq").alias("cseq")),
-        ["comp", "company_id", "c_title", "c_loc"],
-    ).where(F.col("cseq") < F.col("batch_seq")).select(
-        "comp", "company_id", "batch_seq", F.concat(F.lit("B:"), F.col("cseq").cast("string")).alias("ref"), "score")
+    sig_key = F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col("title_sorted"), F.col("location_norm"))
+    # signature-level edges of the routed components (no row-by-row expansion)
+    sig_edges = sp_r.select(
+        F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col("q_title"), F.col("q_loc")).alias("node"),
+        F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col("c_title"), F.col("c_loc")).alias("ref"),
+        "company_id", "score",
+    ).join(comps_routed_sigs, "node").select("comp", "company_id", F.col("node").alias("sig"), "ref", "score")
     none_s = F.lit(None).cast("string")
     none_ts = F.lit(None).cast("timestamp_ntz")
+    none_d = F.lit(None).cast("double")
     long_in = (
         Kr.select("comp", "company_id", F.lit("ent").alias("kind"), F.col("entity_seq").alias("seq"), F.col("id").alias("ref"),
-                  F.col("source_identifier").alias("sid"), "status", "last_seen", none_s.alias("url"),
-                  F.lit(None).cast("double").alias("score"))
+                  F.col("source_identifier").alias("sid"), "status", "last_seen", none_s.alias("url"), none_d.alias("score"),
+                  sig_key.alias("sig"))
         .unionByName(Rr.select("comp", "company_id", F.lit("row").alias("kind"), F.col("batch_seq").alias("seq"),
                                none_s.alias("ref"), "sid", none_s.alias("status"), none_ts.alias("last_seen"), "url",
-                               F.lit(None).cast("double").alias("score")))
-        .unionByName(e_k.unionByName(e_b).select("comp", "company_id", F.lit("edge").alias("kind"), F.col("batch_seq").alias("seq"),
-                                                 "ref", none_s.alias("sid"), none_s.alias("status"), none_ts.alias("last_seen"),
-                                                 none_s.alias("url"), "score"))
+                               none_d.alias("score"), sig_key.alias("sig")))
+        .unionByName(sig_edges.select("comp", "company_id", F.lit("sigedge").alias("kind"), F.lit(None).cast("bigint").alias("seq"),
+                                      "ref", none_s.alias("sid"), none_s.alias("status"), none_ts.alias("last_seen"),
+                                      none_s.alias("url"), "score", "sig"))
     )
     # one group per routed component (a company's rows only meet where edges or ids link them)
     replayed = long_in.groupBy("comp").applyInPandas(_make_replay(now_dt, cutoff_dt), REPLAY_SCHEMA)

@@ -22,7 +22,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     labels = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node")
     if checkpoint:
         labels = labels.checkpoint()
+    import os
+    import time
+
+    rounds, t0 = 0, time.time()
     while True:
+        rounds += 1
         # neighbours' labels
         nb = e.join(labels.withColumnRenamed("node", "b").withColumnRenamed("comp", "nb_comp"), "b").groupBy("a").agg(
             F.min("nb_comp").alias("m"))
@@ -36,4 +41,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         changed = jump.join(labels.withColumnRenamed("comp", "old"), "node").where(F.col("comp") != F.col("old")).limit(1).count()
         labels = jump
         if changed == 0:
+            if os.environ.get("TIDEWATCH_DEBUG"):
+                print(f"[tidewatch] connected components: {rounds} rounds, {time.time() - t0:.2f}s")
             return labels
