@@ -207,7 +207,8 @@ def _make_replay(now: datetime, cutoff: datetime):
 
 
 def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int = DEFAULT_WINDOW_DAYS,
-                   threshold: float = S.DEFAULT_THRESHOLD, run_id: str = "run", checkpoint: bool = True) -> ClassifyResult:
+                   threshold: float = S.DEFAULT_THRESHOLD, run_id: str = "run", checkpoint: bool = True,
+                   max_replay_group: int = 200_000) -> ClassifyResult:
     t = S.check_threshold(threshold)
     now_dt = now if isinstance(now, datetime) else datetime.fromisoformat(str(now))
     cutoff_dt = now_dt - pd.Timedelta(days=window_days).to_pytimedelta()
@@ -335,12 +336,28 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         Kc_all.join(hit_ids, "id", "left_semi")
     ).dropDuplicates(["id"])
     sp_r = sp_all.join(routed_companies, "company_id", "left_semi")
+
+    def sig_node(t_col, l_col):
+        return F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col(t_col), F.col(l_col))
+
+    # Size of the replay input per routed company (rows + candidate records + signature edges).
+    # Under the bound a company is one replay group; above it, companies are split into
+    # connected components so no group is larger than its linked postings.
+    largest = 0
     if any_trigger:
+        sizes = (Rc.groupBy("company_id").count().unionByName(Kr.groupBy("company_id").count())
+                 .unionByName(sp_r.groupBy("company_id").count()))
+        largest = sizes.groupBy("company_id").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
+    if any_trigger and largest <= max_replay_group:
+        comp_of_company = F.concat(F.lit("C:"), F.col("company_id"))
+        routed_rows = Rc.select("batch_seq", comp_of_company.alias("comp"))
+        if checkpoint:
+            routed_rows = _ckpt(routed_rows, "routed rows")
+        ent_comp = Kr.select("id", comp_of_company.alias("comp"))
+        comps_routed_sigs = sp_r.select(sig_node("q_title", "q_loc").alias("node"), comp_of_company.alias("comp")).distinct()
+    elif any_trigger:
         from tidewatch.operators.components import connected_components
 
-        def sig_node(t_col, l_col):
-            return F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col(t_col), F.col(l_col))
-
         row_node = F.concat(F.lit("B:"), F.col("batch_seq").cast("string"))
         graph = (
             Rc.select(row_node.alias("src"), sig_node("title_sorted", "location_norm").alias("dst"))
@@ -560,10 +577,10 @@ class CycleResult:
 
 def run_cycle(entities: DataFrame, batch: DataFrame, now, window_days: int = DEFAULT_WINDOW_DAYS,
               threshold: float = S.DEFAULT_THRESHOLD, close_timeout_days: int = DEFAULT_CLOSE_TIMEOUT_DAYS,
-              run_id: str = "run", checkpoint: bool = True) -> CycleResult:
+              run_id: str = "run", checkpoint: bool = True, max_replay_group: int = 200_000) -> CycleResult:
     """Classify all -> mark missing -> close old missing. ``lifecycle`` has one row per
     entity with its status before and after (for A3)."""
-    res = classify_batch(entities, batch, now, window_days, threshold, run_id, checkpoint)
+    res = classify_batch(entities, batch, now, window_days, threshold, run_id, checkpoint, max_replay_group)
     after_classify = _ckpt(res.entities, "entities after classify") if checkpoint else res.entities
     marked = mark_missing(after_classify, res.decisions.select("entity_id"), now)
     closed = close_old_missing(marked, now, close_timeout_days)
