@@ -58,9 +58,9 @@ def observation_stats(log: DataFrame, entity: str = "entity_id", ts: str = "ts")
 def gap_since_previous(log: DataFrame, entity: str = "entity_id", ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
     """Seconds since the entity's previous observation (NULL for the first)."""
     w = Window.partitionBy(entity).orderBy(ts, tiebreak)
-    prev = F.lag(ts).over(w)
-    return log.select(entity, ts, tiebreak,
-                      (F.unix_timestamp(F.col(ts)) - F.unix_timestamp(prev)).alias("gap_seconds"))
+    return log.withColumn("_prev", F.lag(ts).over(w)).select(
+        entity, ts, tiebreak,
+        (F.expr(f"timestampdiff(MICROSECOND, _prev, {ts})") / F.lit(1000000.0)).alias("gap_seconds"))
 
 
 def presence_sessions(log: DataFrame, gap: str = "3 days", entity: str = "entity_id", ts: str = "ts") -> DataFrame:
