@@ -63,3 +63,18 @@ def test_signature(spark):
     df = spark.createDataFrame([("acme-corp", "Sr. Software Engineer", "San Francisco, CA")], "c string, t string, l string")
     got = df.select(create_signature(F.col("c"), F.col("t"), F.col("l")).alias("s")).first().s
     assert got == "acme-corp|senior software engineer|san francisco california"
+
+
+def test_sql_text_path_matches_goldens(spark):
+    """``with_signature`` uses the SQL-text form of the same expressions."""
+    from tidewatch.functions.normalize import with_signature
+
+    rows = [("acme", t, l) for (t, _), (l, _) in zip(TITLES, LOCATIONS)]
+    df = with_signature(spark.createDataFrame(rows, "company_id string, title string, location string"))
+    want_t = dict(TITLES)
+    want_l = dict(LOCATIONS)
+    for r in df.collect():
+        assert r.title_norm == want_t[r.title], (r.title, r.title_norm)
+        assert r.location_norm == want_l[r.location], (r.location, r.location_norm)
+        assert r.signature == f"acme|{r.title_norm}|{r.location_norm}"
+        assert r.title_sorted == " ".join(sorted(r.title_norm.split()))

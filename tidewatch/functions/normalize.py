@@ -160,13 +160,54 @@ def create_signature(company_id: Column, title: Column, location: Column) -> Col
 
 
 def with_signature(df, company_col: str = "company_id", title_col: str = "title", location_col: str = "location"):
-    """Adds ``title_norm``, ``title_sorted``, ``location_norm`` and ``signature`` columns."""
-    return (
-        df.withColumn("title_norm", normalize_title(F.col(title_col)))
-        .withColumn("location_norm", normalize_location(F.col(location_col)))
-        .withColumn("title_sorted", token_sort(F.col("title_norm")))
-        .withColumn("signature", signature(F.col(company_col), F.col("title_norm"), F.col("location_norm")))
-    )
+    """Adds ``title_norm``, ``title_sorted``, ``location_norm`` and ``signature`` columns.
+
+    Same expressions as ``normalize_title`` / ``normalize_location`` / ``token_sort``, handed
+    to Spark as SQL text (two ``selectExpr`` calls) so building the plan costs two round
+    trips instead of hundreds of Column constructions."""
+    keep = [f"`{c}`" for c in df.columns if c not in ("title_norm", "location_norm", "title_sorted", "signature")]
+    step = df.selectExpr(*keep, f"{spark_sql_normalize_title(f'`{title_col}`')} AS title_norm",
+                         f"{spark_sql_normalize_location(f'`{location_col}`')} AS location_norm")
+    return step.selectExpr("*", f"{spark_sql_token_sort('title_norm')} AS title_sorted",
+                           f"concat(`{company_col}`, '|', title_norm, '|', location_norm) AS signature")
+
+
+# ---------------------------------------------------------------------------
+# Spark SQL text of the same expressions (JVM-parsed; used on hot paths).
+# ---------------------------------------------------------------------------
+
+
+def _spark_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _spark_map(d: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"{_spark_str(k)}, {_spark_str(v)}" for k, v in d.items()) + ")"
+
+
+def _spark_tokens(expr: str, sep_re: str) -> str:
+    return f"filter(split({expr}, {_spark_str(sep_re)}), w -> w != '')"
+
+
+def spark_sql_normalize_title(x: str) -> str:
+    words = _spark_tokens(f"regexp_replace(lower({x}), {_spark_str(TITLE_DROP_RE)}, ' ')", WS_RUN_RE)
+    expanded = f"array_join(transform({words}, w -> coalesce(try_element_at({_spark_map(TITLE_ABBREVIATIONS)}, w), w)), ' ')"
+    out = f"array_join({_spark_tokens(f'replace({expanded}, {_spark_str(chr(45))}, {_spark_str(chr(32))})', ' ')}, ' ')"
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN '' ELSE {out} END)"
+
+
+def spark_sql_normalize_location(x: str) -> str:
+    loc_map = _spark_map(LOCATION_NORMALIZATIONS)
+    words = _spark_tokens(f"regexp_replace(lower({x}), {_spark_str(LOCATION_DROP_RE)}, ' ')", LOCATION_SPLIT_RE)
+    mapped = (f"array_join(transform({words}, w -> coalesce(try_element_at({_spark_map(STATE_ABBREVIATIONS)}, w), "
+              f"try_element_at({loc_map}, w), w)), ' ')")
+    processed = f"coalesce(nullif({mapped}, ''), '{UNKNOWN_LOCATION}')"
+    return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN '{UNKNOWN_LOCATION}' "
+            f"ELSE coalesce(try_element_at({loc_map}, lower({x})), {processed}) END)")
+
+
+def spark_sql_token_sort(x: str) -> str:
+    return f"array_join(array_sort({_spark_tokens(x, WS_RUN_RE)}), ' ')"
 
 
 def normalization_details(title: Column, location: Column) -> Column:

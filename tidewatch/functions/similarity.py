@@ -267,6 +267,39 @@ def char_count_columns(s: Column, prefix: str) -> list[Column]:
     return cols, (F.length(s) - total).alias(f"{prefix}x")
 
 
+def char_count_sql(col: str, prefix: str) -> list[str]:
+    """``char_count_columns`` as Spark SQL text (one ``selectExpr`` instead of many Column calls)."""
+    outs = []
+    for i, ch in enumerate(HIST_COLUMN_CHARS):
+        outs.append(f"length({col}) - length(replace({col}, '{ch}', '')) AS {prefix}{i}")
+    return outs
+
+
+def char_other_sql(col: str, prefix: str) -> str:
+    total = " + ".join(f"{prefix}{i}" for i in range(len(HIST_COLUMN_CHARS)))
+    return f"length({col}) - ({total}) AS {prefix}x"
+
+
+def ratio_sql(la: str, lb: str, lcs: str) -> str:
+    """M1 formula as Spark SQL text, same operations as ``ratio_from_lcs``."""
+    return (f"(CASE WHEN ({la} + {lb}) = 0 THEN 100.0D ELSE "
+            f"(1.0D - CAST(({la} + {lb} - 2 * ({lcs})) AS DOUBLE) / CAST(({la} + {lb}) AS DOUBLE)) * 100 END)")
+
+
+def combine_sql(c: str, t: str, l: str) -> str:
+    return f"(({COMPANY_WEIGHT!r}D * {c} + {TITLE_WEIGHT!r}D * {t}) + {LOCATION_WEIGHT!r}D * {l}) / 100.0D"
+
+
+def same_company_bounds_sql(qt: str, ct: str, ql: str, cl: str, qh: str, ch: str) -> tuple[str, str]:
+    """(length bound, character-count bound) of M4 for same-company pairs, as SQL text."""
+    lqt, lct, lql, lcl = (f"length({x})" for x in (qt, ct, ql, cl))
+    loc_ub = ratio_sql(lql, lcl, f"least({lql}, {lcl})")
+    length_bound = combine_sql("100.0D", ratio_sql(lqt, lct, f"least({lqt}, {lct})"), loc_ub)
+    counts = " + ".join([f"least({qh}{i}, {ch}{i})" for i in range(len(HIST_COLUMN_CHARS))] + [f"least({qh}x, {ch}x)"])
+    count_bound = combine_sql("100.0D", ratio_sql(lqt, lct, f"least({lqt}, {lct}, {counts})"), loc_ub)
+    return length_bound, count_bound
+
+
 def lcs_count_bound(prefix_a: str, prefix_b: str) -> Column:
     """Sum over characters of min(count_a, count_b), the 'other' bucket counted as one
     character class (coarser, so still an upper bound of the LCS)."""

@@ -67,26 +67,17 @@ def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold:
     q = queries.select(F.col(block), F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc")).distinct()
     c = candidates.select(F.col(block), F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).distinct()
     # character counts of each distinct title, computed once per signature (native)
-    qc, qx = S.char_count_columns(F.col("q_title"), "_qh")
-    cc, cx = S.char_count_columns(F.col("c_title"), "_ch")
-    q = q.select("*", *qc).select("*", qx)
-    c = c.select("*", *cc).select("*", cx)
+    q = q.selectExpr("*", *S.char_count_sql("q_title", "_qh")).selectExpr("*", S.char_other_sql("q_title", "_qh"))
+    c = c.selectExpr("*", *S.char_count_sql("c_title", "_ch")).selectExpr("*", S.char_other_sql("c_title", "_ch"))
     pairs = salted_block_join(
         q, c, [block],
         F.concat_ws("|", "q_title", "q_loc"), F.concat_ws("|", "c_title", "c_loc"),
     )
-    exact = (F.col("q_title") == F.col("c_title")) & (F.col("q_loc") == F.col("c_loc"))
-    # lossless filter 1 (native, codegen): string lengths only
-    len_bound = S.same_company_score_bound(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
-    pairs = pairs.where(exact | (len_bound >= F.lit(t)))
+    exact = "(q_title = c_title AND q_loc = c_loc)"
+    len_bound, count_bound = S.same_company_bounds_sql("q_title", "c_title", "q_loc", "c_loc", "_qh", "_ch")
+    # lossless filter 1 (native, codegen): string lengths only;
     # lossless filter 2 (native): LCS <= sum of per-character minimum counts
-    count_bound = S.combine(
-        F.lit(100.0),
-        S.ratio_from_lcs(F.length("q_title"), F.length("c_title"),
-                         F.least(F.length("q_title"), F.length("c_title"), S.lcs_count_bound("_qh", "_ch"))),
-        S.ratio_upper_bound(F.col("q_loc"), F.col("c_loc")),
-    )
-    pairs = pairs.where(exact | (count_bound >= F.lit(t)))
+    pairs = pairs.where(F.expr(f"{exact} OR {len_bound} >= {t!r}D")).where(F.expr(f"{exact} OR {count_bound} >= {t!r}D"))
     pairs = pairs.select(block, "q_title", "q_loc", "c_title", "c_loc")
     # exact LCS for the survivors (Arrow batches; the kernel re-checks a finer histogram bound)
     packed = S.pair_lcs_udf(t)(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
@@ -95,8 +86,8 @@ def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold:
         .where(F.col("_p") >= 0)
         .withColumn("score", S.combine(
             F.lit(100.0),
-            S.ratio_from_lcs(F.length("q_title"), F.length("c_title"), F.floor(F.col("_p") / F.lit(S.LCS_PACK))),
-            S.ratio_from_lcs(F.length("q_loc"), F.length("c_loc"), F.pmod(F.col("_p"), F.lit(S.LCS_PACK))),
+            S.ratio_from_lcs(F.length("q_title"), F.length("c_title"), F.shiftright(F.col("_p"), 31)),
+            S.ratio_from_lcs(F.length("q_loc"), F.length("c_loc"), F.col("_p").bitwiseAND(F.lit(S.LCS_PACK - 1))),
         ))
         .drop("_p")
     )

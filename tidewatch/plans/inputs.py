@@ -22,7 +22,14 @@ def now_col(ts: str = FIXTURE_NOW):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. A read that yields fewer splits than the cluster's parallelism (one
+    small file) is spread round-robin so the per-row work downstream (regex normalisation,
+    scoring) uses every core; large multi-file tables are left as read."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parallelism = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        df = df.repartition(parallelism)
+    return df
 
 
 def postings(spark: SparkSession, sf_dir: str, location: str = "region") -> DataFrame:
