@@ -80,16 +80,36 @@ def test_threshold_guard():
         S.check_threshold(1.5)
 
 
-def test_histogram_bound_is_upper(spark):
+def test_count_bounds_are_upper(spark):
+    """Both native bounds (lengths; per-character counts) are >= the exact score, and the
+    Arrow kernel's bucketed bound never drops a pair the exact score keeps."""
+    import pandas as pd
+
     rng = random.Random(11)
-    alphabet = "abcdeé xyz_09-"
-    rows = [("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))),
-             "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))) for _ in range(400)]
-    df = spark.createDataFrame(rows, "a string, b string")
-    out = df.select("a", "b", S.ratio_hist_bound(F.col("a"), F.col("b"), S.char_histogram(F.col("a")),
-                                                 S.char_histogram(F.col("b"))).alias("ub")).collect()
+    alphabet = "abcdeéxyz_09-"
+
+    def title():
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 6))]
+        return " ".join(sorted(words))  # already token-sorted, as linkage inputs are
+
+    rows = []
+    for _ in range(400):
+        t1, t2 = title(), title()
+        l1, l2 = rng.choice(["remote", "new york", "austin texas", ""]), rng.choice(["remote", "new york", ""])
+        rows.append((t1, t2, l1, l2))
+    df = spark.createDataFrame(rows, "qt string, ct string, ql string, cl string")
+    df = df.selectExpr("*", *S.char_count_sql("qt", "_qh")).selectExpr("*", S.char_other_sql("qt", "_qh"))
+    df = df.selectExpr("*", *S.char_count_sql("ct", "_ch")).selectExpr("*", S.char_other_sql("ct", "_ch"))
+    lb, cb = S.same_company_bounds_sql("qt", "ct", "ql", "cl", "_qh", "_ch")
+    out = df.selectExpr("qt", "ct", "ql", "cl", f"{lb} AS lb", f"{cb} AS cb").collect()
     for r in out:
-        assert S.ratio(r.a, r.b) <= r.ub, (r.a, r.b)
+        exact = S.similarity(f"c|{r.qt}|{r.ql}", f"c|{r.ct}|{r.cl}")
+        assert exact <= r.cb <= r.lb + 1e-12, (r.qt, r.ct)
+    pdf = pd.DataFrame(rows, columns=["qt", "ct", "ql", "cl"])
+    packed = S.pair_lcs_kernel(pdf.qt, pdf.ct, pdf.ql, pdf.cl, 0.5)
+    for (qt, ct, ql, cl), p in zip(rows, packed):
+        if S.similarity(f"c|{qt}|{ql}", f"c|{ct}|{cl}") >= 0.5:
+            assert p >= 0 and p >> 31 == S.lcs_length(qt, ct) and p & (S.LCS_PACK - 1) == S.lcs_length(ql, cl)
 
 
 def test_token_set_fallback_for_separator_in_company(spark):

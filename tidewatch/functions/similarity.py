@@ -231,44 +231,17 @@ def ratio_upper_bound(a: Column, b: Column) -> Column:
     return ratio_from_lcs(la, lb, F.least(la, lb))
 
 
-# Character-histogram bound. LCS(a, b) <= sum over buckets of min(count_a, count_b) for any
-# partition of the alphabet into buckets (a coarser partition only loosens the bound), so it is
-# lossless. Buckets: the 26 ASCII letters, 10 digits, space, and 27 hash buckets for the rest.
+# Character-count bound. LCS(a, b) <= sum over characters of min(count_a, count_b); grouping
+# characters into buckets only loosens it, so any bucketing is lossless.
 HIST_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 HIST_OTHER = 27
 HIST_SIZE = len(HIST_ALPHABET) + HIST_OTHER
-
-
-def char_histogram(s: Column) -> Column:
-    """ARRAY<INT> of bucket counts (native higher-order functions; computed once per distinct
-    string, before any pairing)."""
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    bucket = F.transform(
-        chars,
-        lambda c: F.when(F.instr(F.lit(HIST_ALPHABET), c) > 0, F.instr(F.lit(HIST_ALPHABET), c) - 1)
-        .otherwise(F.lit(len(HIST_ALPHABET)) + F.pmod(F.ascii(c), F.lit(HIST_OTHER))),
-    )
-    return F.transform(F.sequence(F.lit(0), F.lit(HIST_SIZE - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)))
-
-
-def lcs_histogram_bound(hist_a: Column, hist_b: Column) -> Column:
-    return F.aggregate(F.zip_with(hist_a, hist_b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, v: acc + v)
-
-
 HIST_COLUMN_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
-def char_count_columns(s: Column, prefix: str) -> list[Column]:
-    """Per-character counts as plain INT columns (``length - length(replace)``, codegen'd),
-    one per character of HIST_COLUMN_CHARS plus one for every other character."""
-    cols = [(F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))).alias(f"{prefix}{i}")
-            for i, ch in enumerate(HIST_COLUMN_CHARS)]
-    total = sum((F.col(f"{prefix}{i}") for i in range(len(HIST_COLUMN_CHARS))), F.lit(0))
-    return cols, (F.length(s) - total).alias(f"{prefix}x")
-
-
 def char_count_sql(col: str, prefix: str) -> list[str]:
-    """``char_count_columns`` as Spark SQL text (one ``selectExpr`` instead of many Column calls)."""
+    """Per-character counts of ``col`` as INT columns ``{prefix}0..`` (``length - length(replace)``,
+    codegen'd), as SQL text for one ``selectExpr``."""
     outs = []
     for i, ch in enumerate(HIST_COLUMN_CHARS):
         outs.append(f"length({col}) - length(replace({col}, '{ch}', '')) AS {prefix}{i}")
@@ -300,20 +273,6 @@ def same_company_bounds_sql(qt: str, ct: str, ql: str, cl: str, qh: str, ch: str
     return length_bound, count_bound
 
 
-def lcs_count_bound(prefix_a: str, prefix_b: str) -> Column:
-    """Sum over characters of min(count_a, count_b), the 'other' bucket counted as one
-    character class (coarser, so still an upper bound of the LCS)."""
-    terms = [F.least(F.col(f"{prefix_a}{i}"), F.col(f"{prefix_b}{i}")) for i in range(len(HIST_COLUMN_CHARS))]
-    terms.append(F.least(F.col(f"{prefix_a}x"), F.col(f"{prefix_b}x")))
-    return sum(terms[1:], terms[0])
-
-
-def ratio_hist_bound(a: Column, b: Column, hist_a: Column, hist_b: Column) -> Column:
-    """Ratio upper bound from LCS <= min(len, histogram intersection); >= the true ratio."""
-    la, lb = F.length(a), F.length(b)
-    return ratio_from_lcs(la, lb, F.least(la, lb, lcs_histogram_bound(hist_a, hist_b)))
-
-
 def same_company_score_bound(title_a: Column, title_b: Column, loc_a: Column, loc_b: Column) -> Column:
     """Upper bound of M4 for two signatures of the same company (company ratio = 100)."""
     return combine(F.lit(100.0), ratio_upper_bound(title_a, title_b), ratio_upper_bound(loc_a, loc_b))

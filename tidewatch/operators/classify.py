@@ -68,6 +68,9 @@ def _ckpt(df: DataFrame, label: str) -> DataFrame:
     import os
     import time
 
+    from tidewatch.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     t0 = time.time()
     out = df.checkpoint(eager=True)
     if os.environ.get("TIDEWATCH_DEBUG"):

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", checkpoint: bool = True) -> DataFrame:
     """``edges`` (src, dst) string node keys -> (node, component) for every node on an edge;
     the component id is the smallest node key in the component."""
+    if checkpoint:
+        from tidewatch.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     if checkpoint:
