@@ -120,3 +120,18 @@ def test_token_set_fallback_for_separator_in_company(spark):
     got = df.select("a", "b", S.token_set_ratio_udf(F.col("a"), F.col("b")).alias("r")).collect()
     for r in got:
         assert r.r / 100.0 == S.similarity(r.a, r.b)
+
+
+def test_sql_registered_functions(spark):
+    from tidewatch.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    spark.createDataFrame([(a, b) for a, b, _ in GOLDENS if a.count("|") == 2 and b.count("|") == 2],
+                          "a string, b string").createOrReplaceTempView("tw_pairs")
+    got = spark.sql("""SELECT a, b, tw_similarity(split(a, '[|]')[0], split(a, '[|]')[1], split(a, '[|]')[2],
+                                                  split(b, '[|]')[0], split(b, '[|]')[1], split(b, '[|]')[2]) AS s
+                       FROM tw_pairs""").collect()
+    for r in got:
+        assert r.s == S.similarity(r.a, r.b), (r.a, r.b)
+    sig = spark.sql("SELECT tw_signature('acme-corp', 'Sr. Software Engineer', 'San Francisco, CA') AS s").first().s
+    assert sig == "acme-corp|senior software engineer|san francisco california"
