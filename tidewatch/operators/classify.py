@@ -299,9 +299,9 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     # One scoring pass: every batch signature against every candidate signature (known
     # candidates and batch signatures) of its company. Shared by the set-wise path (residue
     # leaders only) and the replay (all rows of routed components).
-    sig_cands = Kc.select("company_id", "title_sorted", "location_norm").unionByName(
-        R2.select("company_id", "title_sorted", "location_norm"))
-    sp_all = score_signature_pairs(R2, sig_cands, t)
+    sig_cands = Kc.select("company_id", "title_sorted", "location_norm", F.lit(False).alias("is_batch")).unionByName(
+        R2.select("company_id", "title_sorted", "location_norm", F.lit(True).alias("is_batch")))
+    sp_all = score_signature_pairs(R2, sig_cands, t, symmetric_flag="is_batch")
     if checkpoint:
         sp_all = _ckpt(sp_all, "signature pairs")
     sp = sp_all

@@ -58,14 +58,22 @@ def salted_block_join(left: DataFrame, right: DataFrame, keys: list[str], left_i
 
 
 def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold: float,
-                          block: str = "company_id") -> DataFrame:
+                          block: str = "company_id", symmetric_flag: str | None = None) -> DataFrame:
     """Distinct (query signature, candidate signature) pairs of one block scoring >= threshold.
 
     Inputs carry ``block, title_sorted, location_norm``; output columns:
-    ``block, q_title, q_loc, c_title, c_loc, score``."""
+    ``block, q_title, q_loc, c_title, c_loc, score``.
+
+    ``symmetric_flag`` names a boolean candidate column marking signatures that are also
+    queries. The score is symmetric, so such pairs are scored once (query <= candidate) and
+    mirrored afterwards."""
     t = S.check_threshold(threshold)
     q = queries.select(F.col(block), F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc")).distinct()
-    c = candidates.select(F.col(block), F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).distinct()
+    if symmetric_flag:
+        c = candidates.groupBy(block, F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).agg(
+            F.max(F.col(symmetric_flag)).alias("_c_is_q"))
+    else:
+        c = candidates.select(F.col(block), F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).distinct()
     # character counts of each distinct title, computed once per signature (native)
     q = q.selectExpr("*", *S.char_count_sql("q_title", "_qh")).selectExpr("*", S.char_other_sql("q_title", "_qh"))
     c = c.selectExpr("*", *S.char_count_sql("c_title", "_ch")).selectExpr("*", S.char_other_sql("c_title", "_ch"))
@@ -73,12 +81,14 @@ def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold:
         q, c, [block],
         F.concat_ws("|", "q_title", "q_loc"), F.concat_ws("|", "c_title", "c_loc"),
     )
+    if symmetric_flag:
+        pairs = pairs.where(F.expr("NOT _c_is_q OR struct(q_title, q_loc) <= struct(c_title, c_loc)"))
     exact = "(q_title = c_title AND q_loc = c_loc)"
     len_bound, count_bound = S.same_company_bounds_sql("q_title", "c_title", "q_loc", "c_loc", "_qh", "_ch")
     # lossless filter 1 (native, codegen): string lengths only;
     # lossless filter 2 (native): LCS <= sum of per-character minimum counts
     pairs = pairs.where(F.expr(f"{exact} OR {len_bound} >= {t!r}D")).where(F.expr(f"{exact} OR {count_bound} >= {t!r}D"))
-    pairs = pairs.select(block, "q_title", "q_loc", "c_title", "c_loc")
+    pairs = pairs.select(block, "q_title", "q_loc", "c_title", "c_loc", *(["_c_is_q"] if symmetric_flag else []))
     # exact LCS for the survivors (Arrow batches; the kernel re-checks a finer histogram bound)
     packed = S.pair_lcs_udf(t)(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
     scored = (
@@ -92,7 +102,13 @@ def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold:
         .drop("_p")
     )
     # a score of exactly 0 is never selected, even at threshold 0
-    return scored.where((F.col("score") >= F.lit(t)) & (F.col("score") > F.lit(0.0)))
+    kept = scored.where((F.col("score") >= F.lit(t)) & (F.col("score") > F.lit(0.0)))
+    if not symmetric_flag:
+        return kept
+    mirrored = kept.where(F.col("_c_is_q") & ~F.expr(exact)).select(
+        block, F.col("c_title").alias("q_title"), F.col("c_loc").alias("q_loc"),
+        F.col("q_title").alias("c_title"), F.col("q_loc").alias("c_loc"), "score")
+    return kept.drop("_c_is_q").unionByName(mirrored)
 
 
 def match_by_source_id(batch: DataFrame, entities: DataFrame) -> DataFrame:
