@@ -25,11 +25,13 @@ MAX_SALT = 64
 
 
 def salted_block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column,
-                      pairs_per_tile: int = PAIRS_PER_TILE, max_salt: int = MAX_SALT) -> DataFrame:
+                      pairs_per_tile: int | None = None, max_salt: int | None = None) -> DataFrame:
     """Inner equi-join on ``keys`` whose heavy blocks are split into ``S x S`` tiles.
 
     ``S = ceil(sqrt(n_left * n_right / pairs_per_tile))`` per block (1 for ordinary blocks);
     the block-size table is an aggregate (one row per block)."""
+    pairs_per_tile = pairs_per_tile or PAIRS_PER_TILE
+    max_salt = max_salt or MAX_SALT
     ln = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ln"))
     rn = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rn"))
     pairs = F.col("_ln").cast("double") * F.col("_rn").cast("double")
