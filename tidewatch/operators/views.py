@@ -96,15 +96,15 @@ def job_detail(jobs: DataFrame, observations: DataFrame, applications: DataFrame
     """Observation count (0 when none), the newest ``last_n`` observation timestamps
     (newest first), description cut to 500 chars + '...', has_application flag.
 
-    The observation log is pre-aggregated per entity (count + top-n via a per-entity
-    ranking) before it meets the job table."""
+    The observation log is pre-aggregated per entity before it meets the job table: the count
+    by partial aggregation, the newest ``last_n`` by ``row_number() <= n`` as a plain filter,
+    which Spark plans as a window group limit (a partial top-n before the shuffle), so even an
+    entity with a huge log ships at most n rows per input partition."""
+    counts = observations.groupBy(entity_key).agg(F.count(F.lit(1)).alias("observation_count"))
     w = Window.partitionBy(entity_key).orderBy(F.col(ts).desc())
-    ranked = observations.select(entity_key, ts).withColumn("_rn", F.row_number().over(w))
-    stats = ranked.groupBy(entity_key).agg(
-        F.count(F.lit(1)).alias("observation_count"),
-        F.sort_array(F.collect_list(F.when(F.col("_rn") <= last_n, F.struct(F.col("_rn"), F.col(ts)))))
-        .alias("_recent"),
-    )
+    top = observations.select(entity_key, ts).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= last_n)
+    recent = top.groupBy(entity_key).agg(F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.col(ts)))).alias("_recent"))
+    stats = counts.join(recent, entity_key, "left")
     out = (
         jobs.join(stats.withColumnRenamed(entity_key, "id"), "id", "left")
         .withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
