@@ -79,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(a))
     whole = sources.select(share.alias("q")).agg(F.sum("q")).first()[0] or 1.0
     plan = sources.select(
-        "source", "tokens", F.floor(share / F.lit(whole) * F.lit(total * budget_ratio)).cast("bigint").alias("source_budget")).withColumns({
+        "source", "tokens", F.round(share / F.lit(whole) * F.lit(total * budget_ratio)).cast("bigint").alias("source_budget")).withColumns({
             "epochs": F.expr("source_budget div tokens"), "rest": F.expr("source_budget % tokens")})
 
     block = F.conv(F.substring(_order(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint") % blocks

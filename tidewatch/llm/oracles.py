@@ -1,5 +1,133 @@
-"""DuckDB SQL of the queries of this subpackage that SQL can express."""
+"""DuckDB SQL of the queries of this subpackage that SQL can express: plain statements of the
+contracts over the tables, with none of the operators' indexes, hashes or automata."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tidewatch.llm import chat, mixing, quality, urlfilter
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _chat() -> str:
+    a, b, c = (_text(x) for x in chat.TURN)
+    return f"""
+WITH said AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS l FROM said GROUP BY conv_id),
+once AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies FROM conv GROUP BY l),
+kept AS (SELECT * FROM once a WHERE NOT EXISTS (
+  SELECT 1 FROM conv b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l))
+SELECT conv_id, CAST(coalesce(floor(turn / {chat.PART}), -1) AS BIGINT) AS part, len(any_value(l)) AS n_turns, any_value(n_copies) AS n_copies,
+  string_agg({a} || coalesce(role, '') || {b} || coalesce(text, '') || {c}, '' ORDER BY turn, role, text) AS rendered
+FROM said JOIN kept USING (conv_id) GROUP BY 1, 2"""
+
+
+def _mix() -> str:
+    ok = (f"(ln(list_sum(list_transform(ps, lambda p: pow(p, {{0}})))) - list_sum(list_transform(ps, lambda p: pow(p, {{0}}) * ln(pow(p, {{0}}))))"
+          f" / list_sum(list_transform(ps, lambda p: pow(p, {{0}}))) <= {mixing.ENTROPY_RATIO} * ln(len(ps))"
+          f" AND list_max(list_transform(ps, lambda p: pow(p, {{0}}) / p)) / list_sum(list_transform(ps, lambda p: pow(p, {{0}}))) <= {mixing.MAX_REPEAT})")
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(text, '{_WORD}')) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL),
+doc AS (SELECT * FROM d WHERE n_tokens > 0),
+src AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY source),
+tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS total FROM src),
+lists AS (SELECT list(tokens / total ORDER BY source) AS ps FROM src, tot),
+bis AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high, ps FROM lists
+  UNION ALL
+  SELECT i + 1, CASE WHEN {ok.format('((low + high) / 2)')} THEN low ELSE (low + high) / 2 END,
+    CASE WHEN {ok.format('((low + high) / 2)')} THEN (low + high) / 2 ELSE high END, ps FROM bis WHERE i < 48),
+expo AS (SELECT CASE WHEN {ok.format('0.0')} THEN 0.0 WHEN NOT {ok.format('1.0')} THEN 1.0 ELSE round(high, 10) END AS a FROM bis WHERE i = 48),
+share AS (SELECT source, tokens, pow(tokens / total, a) AS q, total FROM src, tot, expo),
+plan AS (SELECT source, tokens, CAST(round(q / (SELECT sum(q) FROM share) * total) AS BIGINT) AS source_budget, total FROM share),
+plan2 AS (SELECT *, source_budget // tokens AS epochs, source_budget % tokens AS rest FROM plan),
+dealt AS (SELECT doc.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+  % greatest(1, CAST(ceil(total / {mixing.BLOCK_TOKENS}) AS BIGINT)) AS block FROM doc, tot),
+sums AS (SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS block_tokens FROM dealt GROUP BY 1, 2),
+sched AS (SELECT s.*, e.epoch, p.tokens, p.epochs, p.rest, p.source_budget,
+    CAST(coalesce(sum(block_tokens) OVER (PARTITION BY s.source, e.epoch ORDER BY md5(s.source || '|' || e.epoch || '|' || s.block), s.block
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM sums s JOIN plan2 p USING (source), LATERAL (SELECT unnest(range(0, p.epochs + 1)) AS epoch) e),
+drawn AS (SELECT t.doc_id, t.source, t.n_tokens, s.epoch, t.block, s.epoch * s.tokens + s.before AS block_start, s.source_budget,
+    CASE WHEN s.epoch = s.epochs AND before + block_tokens > rest THEN rest - before END AS cut
+  FROM dealt t JOIN sched s ON s.source = t.source AND s.block = t.block WHERE s.epoch < s.epochs OR s.before < s.rest),
+partly AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, block ORDER BY md5(epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), n_tokens
+  ROWS UNBOUNDED PRECEDING) AS upto FROM drawn WHERE cut IS NOT NULL)
+SELECT doc_id, source, n_tokens, epoch, block, block_start, source_budget FROM drawn WHERE cut IS NULL
+UNION ALL SELECT doc_id, source, n_tokens, epoch, block, block_start, source_budget FROM partly WHERE upto <= cut"""
+
+
+_DECONTAMINATE = rf"""
+WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item, least(len(w), 13) AS l, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS k
+  FROM it, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p) WHERE len(w) > 0),
+doc AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+dw AS (SELECT doc_id, p, l, array_to_string(w[p:p + l - 1], ' ') AS k
+  FROM doc, (SELECT DISTINCT l FROM win), LATERAL (SELECT unnest(range(1, len(w) - l + 2)) AS p)),
+hit AS (SELECT doc_id, p, l, item FROM dw JOIN win USING (l, k)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hit, LATERAL (SELECT unnest(range(p, p + l)) AS q) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _urls() -> str:
+    rules = ", ".join(f"({_text(h)}, {_text(p)}, {_text(v)})" for h, p, v in urlfilter.HOST_RULES)
+    patterns = ", ".join(f"({_text(rule)}, {_text(regex)})" for rule, kind, regex, _, _ in urlfilter.compile_rules() if kind == "pattern")
+    return rf"""
+WITH r(h, p, v) AS (VALUES {rules}), pat(rule, regex) AS (VALUES {patterns}),
+after AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+u AS (SELECT page_id, rest, coalesce({_LOWER.format("regexp_extract(rest, '^[^/?#]*')")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM after),
+best AS (SELECT page_id, max(struct_pack(n := length(h || p), rule := h || p, verdict := v)) AS b
+  FROM u, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+blocked AS (SELECT page_id, min(rule) AS pattern FROM u, pat WHERE regexp_matches({_LOWER.format('rest')}, regex) GROUP BY page_id)
+SELECT u.page_id, host, path, b.rule AS rule, coalesce(b.verdict, CASE WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN b IS NULL THEN pattern END AS pattern
+FROM u LEFT JOIN best USING (page_id) LEFT JOIN blocked USING (page_id)"""
+
+
+_SUBSTRING = rf"""
+WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS k FROM doc, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS p)),
+first AS (SELECT k, min(struct_pack(d := doc_id, p := p)) AS f FROM win GROUP BY k),
+cov AS (SELECT DISTINCT doc_id, q FROM win JOIN first USING (k), LATERAL (SELECT unnest(range(p, p + 20)) AS q) WHERE f.d <> doc_id OR f.p <> p),
+gone AS (SELECT doc_id, count(*) AS n_removed FROM cov GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM doc),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS kept FROM word ANTI JOIN cov USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _quality() -> str:
+    stops = ", ".join(_text(w) for w in quality.STOP_WORDS)
+    measure = {"n_words": "n_words"} | {name: f"coalesce({a} / nullif({b}, 0), 0)" for name, (a, b) in quality._RATIOS.items()}
+    broken = ", ".join(f"CASE WHEN NOT ({measure[m]} {op} {limit}) THEN {_text(name)} END" for name, m, op, limit in quality.RULES)
+    return rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM documents),
+tri AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS k FROM doc, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS p)),
+twice AS (SELECT doc_id, k FROM tri GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM tri JOIN twice USING (doc_id, k), LATERAL (SELECT unnest(range(p, p + 3)) AS q) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+    len(list_filter(w, lambda x: {_LOWER.format('x')} IN ({stops}))) AS n_stop_words, coalesce(n, 0) AS n_repeat_words
+  FROM doc LEFT JOIN rep USING (doc_id)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{broken}], lambda x: x IS NOT NULL) AS b FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(b) = 0 AS kept, array_to_string(b, ',') AS broken FROM j"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_chat_format": _chat(),
+    "op2_temperature_mix": _mix(),
+    "op3_decontaminate": _DECONTAMINATE,
+    "op5_url_filter": _urls(),
+    "op9_substring_dedup": _SUBSTRING,
+    "op10_quality_rules": _quality(),
+}

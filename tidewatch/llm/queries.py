@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, langid, mixing, simhash, substring
+from tidewatch.llm import chat, decontaminate, hmm, langid, mixing, quality, simhash, substring, urlfilter, wordpiece
 from tidewatch.llm.common import remainder, table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,29 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return wordpiece.token_counts(docs).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "n_words", "n_tokens", "max_word_tokens")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose id's crc32 is not 2 modulo 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = docs.where(remainder("doc_id", 7) != 2).select(F.coalesce("text", F.lit("")).alias("text"))
+    lex, tail_counts = hmm.lexicon(texts)
+    model, _ = hmm.train(texts, lex)
+    told = hmm.score(docs, lex, tail_counts, model)
+    return told.select(
+        F.col("row.doc_id").alias("doc_id"), F.coalesce(remainder("row.doc_id", 7) == 2, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", F.lit(lex.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def langid_model(spark: SparkSession, sf_dir: str):
     """Trained on the labelled documents whose id's crc32 is not 2 modulo 4."""
     docs = table(spark, sf_dir, "documents")
@@ -49,7 +76,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.base_failed().alias("base_failed"), "kept", F.array_join("broken", ",").alias("broken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_temperature_mix, op3_decontaminate, op7_language_id, op8_simhash_components, op9_substring_dedup)
+        op1_chat_format, op2_temperature_mix, op3_decontaminate, op4_token_counts, op5_url_filter, op6_hmm_score,
+        op7_language_id, op8_simhash_components, op9_substring_dedup, op10_quality_rules)
 }
