@@ -13,9 +13,10 @@ record -> new), but as set operations:
   a known record is in the window if its last_seen is recent or an earlier row of the batch
   hit it; a batch candidate must be an earlier leader;
 * **routing**: only where a leader has an edge to a closed record and no repost edge can a
-  reopen happen, which changes later decisions. Those companies are replayed in batch order
-  by a grouped pandas function over *edges and id hits only* (no string work); all others
-  are resolved set-wise.
+  reopen happen, which changes later decisions. The connected components of rows, records,
+  signatures and source ids that hold such a leader are replayed in batch order by a grouped
+  pandas function over *edges and id hits only* (no string work); all others are resolved
+  set-wise.
 
 Outputs: a ``decisions`` row per posting, the updated entity table, and the new rows of the
 observation log. Record ids of inserts are ``sha2(run_id|company|batch_seq)``, so a retried
@@ -210,8 +211,7 @@ def _make_replay(now: datetime, cutoff: datetime):
 
 
 def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int = DEFAULT_WINDOW_DAYS,
-                   threshold: float = S.DEFAULT_THRESHOLD, run_id: str = "run", checkpoint: bool = True,
-                   max_replay_group: int = 200_000) -> ClassifyResult:
+                   threshold: float = S.DEFAULT_THRESHOLD, run_id: str = "run", checkpoint: bool = True) -> ClassifyResult:
     t = S.check_threshold(threshold)
     now_dt = now if isinstance(now, datetime) else datetime.fromisoformat(str(now))
     cutoff_dt = now_dt - pd.Timedelta(days=window_days).to_pytimedelta()
@@ -299,9 +299,8 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     # One scoring pass: every batch signature against every candidate signature (known
     # candidates and batch signatures) of its company. Shared by the set-wise path (residue
     # leaders only) and the replay (all rows of routed components).
-    sig_cands = Kc.select("company_id", "title_sorted", "location_norm", F.lit(False).alias("is_batch")).unionByName(
-        R2.select("company_id", "title_sorted", "location_norm", F.lit(True).alias("is_batch")))
-    sp_all = score_signature_pairs(R2, sig_cands, t, symmetric_flag="is_batch")
+    sig_cands = Kc.select("company_id", "title_sorted", "location_norm").unionByName(R2.select("company_id", "title_sorted", "location_norm"))
+    sp_all = score_signature_pairs(R2, sig_cands, t)
     if checkpoint:
         sp_all = _ckpt(sp_all, "signature pairs")
     sp = sp_all
@@ -334,31 +333,22 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     routed_companies = triggers.select("company_id").distinct()
     Rc = R2.join(routed_companies, "company_id", "left_semi")
     Kc_all = K1.join(routed_companies, "company_id", "left_semi")
-    hit_ids = Rc.where(F.col("hit_id").isNotNull()).select(F.col("hit_id").alias("id")).distinct()
+    # every record that shares a source id with a routed row: if the first holder of an id takes
+    # another id by being reopened, the next holder answers for it
+    row_sids = Rc.where(F.col("sid").isNotNull()).select("company_id", F.col("sid").alias("source_identifier")).distinct()
     Kr = Kc_all.where((F.col("status") == "closed") | in_window).unionByName(
-        Kc_all.join(hit_ids, "id", "left_semi")
+        Kc_all.join(row_sids, ["company_id", "source_identifier"], "left_semi").select(*Kc_all.columns)
     ).dropDuplicates(["id"])
     sp_r = sp_all.join(routed_companies, "company_id", "left_semi")
 
     def sig_node(t_col, l_col):
         return F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col(t_col), F.col(l_col))
 
-    # Size of the replay input per routed company (rows + candidate records + signature edges).
-    # Under the bound a company is one replay group; above it, companies are split into
-    # connected components so no group is larger than its linked postings.
-    largest = 0
+    def sid_node(c):
+        return F.concat_ws("\x1f", F.lit("I"), F.col("company_id"), F.col(c))
+
+    # A replay group is a connected component of rows, records, signatures and source ids.
     if any_trigger:
-        sizes = (Rc.groupBy("company_id").count().unionByName(Kr.groupBy("company_id").count())
-                 .unionByName(sp_r.groupBy("company_id").count()))
-        largest = sizes.groupBy("company_id").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
-    if any_trigger and largest <= max_replay_group:
-        comp_of_company = F.concat(F.lit("C:"), F.col("company_id"))
-        routed_rows = Rc.select("batch_seq", comp_of_company.alias("comp"))
-        if checkpoint:
-            routed_rows = _ckpt(routed_rows, "routed rows")
-        ent_comp = Kr.select("id", comp_of_company.alias("comp"))
-        comps_routed_sigs = sp_r.select(sig_node("q_title", "q_loc").alias("node"), comp_of_company.alias("comp")).distinct()
-    elif any_trigger:
         from tidewatch.operators.components import connected_components
 
         row_node = F.concat(F.lit("B:"), F.col("batch_seq").cast("string"))
@@ -367,10 +357,9 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
             .unionByName(Kr.select(F.concat(F.lit("K:"), F.col("id")).alias("src"),
                                    sig_node("title_sorted", "location_norm").alias("dst")))
             .unionByName(sp_r.select(sig_node("q_title", "q_loc").alias("src"), sig_node("c_title", "c_loc").alias("dst")))
-            .unionByName(Rc.where(F.col("sid").isNotNull()).select(
-                row_node.alias("src"), F.concat_ws("\x1f", F.lit("I"), F.col("company_id"), F.col("sid")).alias("dst")))
-            .unionByName(Rc.where(F.col("hit_id").isNotNull()).select(
-                row_node.alias("src"), F.concat(F.lit("K:"), F.col("hit_id")).alias("dst")))
+            .unionByName(Rc.where(F.col("sid").isNotNull()).select(row_node.alias("src"), sid_node("sid").alias("dst")))
+            .unionByName(Kr.join(row_sids, ["company_id", "source_identifier"], "left_semi").select(
+                F.concat(F.lit("K:"), F.col("id")).alias("src"), sid_node("source_identifier").alias("dst")))
         )
         comps = connected_components(graph, checkpoint=checkpoint)
         row_comp = Rc.select("batch_seq", row_node.alias("node")).join(comps, "node").select("batch_seq", "comp")
@@ -580,10 +569,10 @@ class CycleResult:
 
 def run_cycle(entities: DataFrame, batch: DataFrame, now, window_days: int = DEFAULT_WINDOW_DAYS,
               threshold: float = S.DEFAULT_THRESHOLD, close_timeout_days: int = DEFAULT_CLOSE_TIMEOUT_DAYS,
-              run_id: str = "run", checkpoint: bool = True, max_replay_group: int = 200_000) -> CycleResult:
+              run_id: str = "run", checkpoint: bool = True) -> CycleResult:
     """Classify all -> mark missing -> close old missing. ``lifecycle`` has one row per
     entity with its status before and after (for A3)."""
-    res = classify_batch(entities, batch, now, window_days, threshold, run_id, checkpoint, max_replay_group)
+    res = classify_batch(entities, batch, now, window_days, threshold, run_id, checkpoint)
     after_classify = _ckpt(res.entities, "entities after classify") if checkpoint else res.entities
     marked = mark_missing(after_classify, res.decisions.select("entity_id"), now)
     closed = close_old_missing(marked, now, close_timeout_days)
