@@ -168,7 +168,9 @@ def with_signature(df, company_col: str = "company_id", title_col: str = "title"
     keep = [f"`{c}`" for c in df.columns if c not in ("title_norm", "location_norm", "title_sorted", "signature")]
     step = df.selectExpr(*keep, f"{spark_sql_normalize_title(f'`{title_col}`')} AS title_norm",
                          f"{spark_sql_normalize_location(f'`{location_col}`')} AS location_norm")
-    return step.selectExpr("*", f"{spark_sql_token_sort('title_norm')} AS title_sorted",
+    # a company id with the separator makes signatures that are compared as token sets, where the
+    # order of the title counts: such titles stay as they are
+    return step.selectExpr("*", f"CASE WHEN instr(`{company_col}`, '|') > 0 THEN title_norm ELSE {spark_sql_token_sort('title_norm')} END AS title_sorted",
                            f"concat(`{company_col}`, '|', title_norm, '|', location_norm) AS signature")
 
 

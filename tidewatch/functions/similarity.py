@@ -15,15 +15,16 @@ Split of work:
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import LongType
 
 # Component weights and the default threshold.
 COMPANY_WEIGHT = 0.10
 TITLE_WEIGHT = 0.60
 LOCATION_WEIGHT = 0.30
 DEFAULT_THRESHOLD = 0.90
+SEPARATOR = "|"
 
 
 def check_threshold(threshold: float) -> float:
@@ -70,32 +71,25 @@ def token_sort_ratio(a: str, b: str) -> float:
 
 
 def token_set_ratio(a: str, b: str) -> float:
-    """M3: set-based token ratio; only used for signatures that do not have three parts."""
-    if not a or not b:
-        return 0.0
-    ta, tb = set(a.split()), set(b.split())
-    if not ta or not tb:
+    """M3: the best Indel ratio among three strings: the common tokens, and the common tokens
+    followed by those of one side only (each sorted); 0 if a side has no token. Common tokens that
+    make up a whole side score 100."""
+    left, right = set(a.split()), set(b.split())
+    if not left or not right:
         return 0.0
-    inter = sorted(ta & tb)
-    diff_ab = sorted(ta - tb)
-    diff_ba = sorted(tb - ta)
-    if inter and (not diff_ab or not diff_ba):
+    both, only_left, only_right = (" ".join(sorted(x)) for x in (left & right, left - right, right - left))
+    if both and not (only_left and only_right):
         return 100.0
-    ab = " ".join(diff_ab)
-    ba = " ".join(diff_ba)
-    sect_len = len(" ".join(inter))
-    sep = 1 if sect_len else 0
-    sect_ab_len = sect_len + sep + len(ab)
-    sect_ba_len = sect_len + sep + len(ba)
+    gap = 1 if both else 0
+    size_left, size_right = len(both) + gap + len(only_left), len(both) + gap + len(only_right)
 
-    def norm(dist: int, lensum: int) -> float:
-        return 100 - 100 * dist / lensum if lensum else 100.0
+    def score(edits: int, size: int) -> float:
+        return 100 - 100 * edits / size
 
-    dist = len(ab) + len(ba) - 2 * lcs_length(ab, ba)
-    result = norm(dist, sect_ab_len + sect_ba_len)
-    if not inter:
-        return result
-    return max(result, norm(sep + len(ab), sect_len + sect_ab_len), norm(sep + len(ba), sect_len + sect_ba_len))
+    best = score(len(only_left) + len(only_right) - 2 * lcs_length(only_left, only_right), size_left + size_right)
+    if both:
+        best = max(best, score(gap + len(only_left), len(both) + size_left), score(gap + len(only_right), len(both) + size_right))
+    return best
 
 
 def similarity(sig1: str, sig2: str) -> float:
@@ -126,77 +120,6 @@ def lcs_len_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return frame.merge(uniq, on=["a", "b"], how="left")["v"].astype("int64")
 
 
-@F.pandas_udf(DoubleType())
-def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
-
-
-def _buckets(text: str):
-    import numpy as np
-
-    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    out = len(HIST_ALPHABET) + cp % HIST_OTHER
-    lower = (cp >= 97) & (cp <= 122)
-    digit = (cp >= 48) & (cp <= 57)
-    out = np.where(lower, cp - 97, out)
-    out = np.where(digit, cp - 48 + 26, out)
-    out = np.where(cp == 32, 36, out)
-    return np.bincount(out, minlength=HIST_SIZE)
-
-
-def _ratio_np(lensum, lcs):
-    import numpy as np
-
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = (1.0 - (lensum - 2 * lcs) / lensum) * 100
-    return np.where(lensum == 0, 100.0, r)
-
-
-LCS_PACK = 1 << 31
-
-
-def pair_lcs_kernel(qt: pd.Series, ct: pd.Series, ql: pd.Series, cl: pd.Series, threshold: float) -> pd.Series:
-    """For same-company signature pairs: ``title_lcs * 2^31 + location_lcs``, or -1 when the
-    character-histogram bound already proves the score is below ``threshold`` (lossless:
-    the bound is computed with the score formula itself, on upper bounds of both LCS)."""
-    import numpy as np
-
-    qt, ct, ql, cl = (x.fillna("").astype(str) for x in (qt, ct, ql, cl))
-    uniq = pd.unique(pd.concat([qt, ct, ql, cl], ignore_index=True))
-    pos = {u: i for i, u in enumerate(uniq)}
-    hist = np.stack([_buckets(u) for u in uniq]) if len(uniq) else np.zeros((0, HIST_SIZE), dtype=np.int64)
-    lens = np.array([len(u) for u in uniq], dtype=np.int64)
-    iq, ic = qt.map(pos).to_numpy(), ct.map(pos).to_numpy()
-    jq, jc = ql.map(pos).to_numpy(), cl.map(pos).to_numpy()
-    ub_t = np.minimum(np.minimum(lens[iq], lens[ic]), np.minimum(hist[iq], hist[ic]).sum(axis=1))
-    ub_l = np.minimum(np.minimum(lens[jq], lens[jc]), np.minimum(hist[jq], hist[jc]).sum(axis=1))
-    score_ub = ((COMPANY_WEIGHT * 100.0 + TITLE_WEIGHT * _ratio_np(lens[iq] + lens[ic], ub_t))
-                + LOCATION_WEIGHT * _ratio_np(lens[jq] + lens[jc], ub_l)) / 100.0
-    keep = (score_ub >= threshold) | ((qt.to_numpy() == ct.to_numpy()) & (ql.to_numpy() == cl.to_numpy()))
-    out = np.full(len(qt), -1, dtype=np.int64)
-    memo: dict[tuple[str, str], int] = {}
-
-    def lcs(a: str, b: str) -> int:
-        k = (a, b)
-        if k not in memo:
-            memo[k] = lcs_length(a, b)
-        return memo[k]
-
-    for i in np.nonzero(keep)[0]:
-        out[i] = lcs(qt.iat[i], ct.iat[i]) * LCS_PACK + lcs(ql.iat[i], cl.iat[i])
-    return pd.Series(out)
-
-
-def pair_lcs_udf(threshold: float):
-    t = check_threshold(threshold)
-
-    @F.pandas_udf(LongType())
-    def _udf(qt: pd.Series, ct: pd.Series, ql: pd.Series, cl: pd.Series) -> pd.Series:
-        return pair_lcs_kernel(qt, ct, ql, cl, t)
-
-    return _udf.asNondeterministic()
-
-
 # Deterministic in fact; flagged otherwise so the optimizer cannot copy the call into a pushed-down
 # filter (which would run the Python kernel twice per pair).
 lcs_len_udf = lcs_len_udf.asNondeterministic()
@@ -234,22 +157,19 @@ def ratio_upper_bound(a: Column, b: Column) -> Column:
 # Character-count bound. LCS(a, b) <= sum over characters of min(count_a, count_b); grouping
 # characters into buckets only loosens it, so any bucketing is lossless.
 HIST_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
-HIST_OTHER = 27
-HIST_SIZE = len(HIST_ALPHABET) + HIST_OTHER
-HIST_COLUMN_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def char_count_sql(col: str, prefix: str) -> list[str]:
     """Per-character counts of ``col`` as INT columns ``{prefix}0..`` (``length - length(replace)``,
     codegen'd), as SQL text for one ``selectExpr``."""
     outs = []
-    for i, ch in enumerate(HIST_COLUMN_CHARS):
+    for i, ch in enumerate(HIST_ALPHABET):
         outs.append(f"length({col}) - length(replace({col}, '{ch}', '')) AS {prefix}{i}")
     return outs
 
 
 def char_other_sql(col: str, prefix: str) -> str:
-    total = " + ".join(f"{prefix}{i}" for i in range(len(HIST_COLUMN_CHARS)))
+    total = " + ".join(f"{prefix}{i}" for i in range(len(HIST_ALPHABET)))
     return f"length({col}) - ({total}) AS {prefix}x"
 
 
@@ -263,14 +183,13 @@ def combine_sql(c: str, t: str, l: str) -> str:
     return f"(({COMPANY_WEIGHT!r}D * {c} + {TITLE_WEIGHT!r}D * {t}) + {LOCATION_WEIGHT!r}D * {l}) / 100.0D"
 
 
-def same_company_bounds_sql(qt: str, ct: str, ql: str, cl: str, qh: str, ch: str) -> tuple[str, str]:
-    """(length bound, character-count bound) of M4 for same-company pairs, as SQL text."""
-    lqt, lct, lql, lcl = (f"length({x})" for x in (qt, ct, ql, cl))
-    loc_ub = ratio_sql(lql, lcl, f"least({lql}, {lcl})")
-    length_bound = combine_sql("100.0D", ratio_sql(lqt, lct, f"least({lqt}, {lct})"), loc_ub)
-    counts = " + ".join([f"least({qh}{i}, {ch}{i})" for i in range(len(HIST_COLUMN_CHARS))] + [f"least({qh}x, {ch}x)"])
-    count_bound = combine_sql("100.0D", ratio_sql(lqt, lct, f"least({lqt}, {lct}, {counts})"), loc_ub)
-    return length_bound, count_bound
+def title_bounds_sql(qt: str, ct: str, qh: str, ch: str) -> tuple[str, str]:
+    """(length bound, character-count bound) of M4 for titles of one company with equal locations,
+    as SQL text."""
+    lqt, lct = f"length({qt})", f"length({ct})"
+    length_bound = combine_sql("100.0D", ratio_sql(lqt, lct, f"least({lqt}, {lct})"), "100.0D")
+    counts = " + ".join([f"least({qh}{i}, {ch}{i})" for i in range(len(HIST_ALPHABET))] + [f"least({qh}x, {ch}x)"])
+    return length_bound, combine_sql("100.0D", ratio_sql(lqt, lct, f"least({lqt}, {lct}, {counts})"), "100.0D")
 
 
 def same_company_score_bound(title_a: Column, title_b: Column, loc_a: Column, loc_b: Column) -> Column:
@@ -283,16 +202,36 @@ def same_company_score(title_sorted_a: Column, title_sorted_b: Column, loc_a: Co
     return combine(F.lit(100.0), ratio_col(title_sorted_a, title_sorted_b), ratio_col(loc_a, loc_b))
 
 
-def score_col(company_a: Column, title_sorted_a: Column, loc_a: Column,
-              company_b: Column, title_sorted_b: Column, loc_b: Column,
-              sig_a: Column | None = None, sig_b: Column | None = None) -> Column:
-    """M4 for arbitrary pairs. Signatures whose company id contains the separator take the
-    token-set fallback (M3) on the full signature strings."""
-    main = combine(ratio_col(company_a, company_b), ratio_col(title_sorted_a, title_sorted_b), ratio_col(loc_a, loc_b))
-    if sig_a is None or sig_b is None:
-        return main
-    odd = company_a.contains("|") | company_b.contains("|")
-    return F.when(odd, token_set_ratio_udf(sig_a, sig_b) / F.lit(100.0)).otherwise(main)
+def with_token_set_ratio(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """M3 on two string columns, in native array functions around the LCS of the one-sided tokens."""
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.col(c), r"\s+"), lambda x: x != ""))
+    text = lambda c: F.array_join(F.array_sort(c), " ")
+    step = df.withColumns({"_ta": tokens(a), "_tb": tokens(b)})
+    step = step.withColumns({
+        "_both": text(F.array_intersect("_ta", "_tb")), "_oa": text(F.array_except("_ta", "_tb")), "_ob": text(F.array_except("_tb", "_ta"))})
+    step = step.withColumn("_n", lcs_len_udf(F.col("_oa"), F.col("_ob")))
+    la, lb, ln = F.length("_oa"), F.length("_ob"), F.length("_both")
+    gap = F.when(ln > 0, 1).otherwise(0)
+    score = lambda edits, size: F.lit(100) - F.try_divide((F.lit(100) * edits).cast("double"), size.cast("double"))
+    main = score(la + lb - 2 * F.col("_n"), ln + gap + la + ln + gap + lb)
+    value = (
+        F.when((F.size("_ta") == 0) | (F.size("_tb") == 0), F.lit(0.0))
+        .when((ln > 0) & ((la == 0) | (lb == 0)), F.lit(100.0))
+        .when(ln > 0, F.greatest(main, score(gap + la, ln + ln + gap + la), score(gap + lb, ln + ln + gap + lb)))
+        .otherwise(main))
+    return step.withColumn(out, value).drop("_ta", "_tb", "_both", "_oa", "_ob", "_n")
+
+
+def with_score(df: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str], out: str = "score") -> DataFrame:
+    """M4 for arbitrary pairs of rows: ``a`` and ``b`` name the columns company, sorted title,
+    location and signature of each side. Signatures whose company id contains the separator are
+    scored by token sets (M3) in a branch of their own, so the rows of either branch never run
+    the other's code."""
+    odd = F.coalesce(F.col(a[0]).contains(SEPARATOR) | F.col(b[0]).contains(SEPARATOR), F.lit(False))
+    parts = [F.lit(100.0) if x == y else ratio_col(F.col(x), F.col(y)) for x, y in zip(a[:3], b[:3])]
+    whole = df.where(~odd).withColumn(out, combine(*parts))
+    sets = with_token_set_ratio(df.where(odd), a[3], b[3], out).withColumn(out, F.col(out) / F.lit(100.0))
+    return whole.unionByName(sets)
 
 
 # ---------------------------------------------------------------------------

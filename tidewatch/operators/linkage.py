@@ -1,15 +1,19 @@
 """Record linkage (J1, J4-J6, M5): id match and blocked fuzzy matching.
 
-Plan shape for the fuzzy operators:
-
-1. both sides are reduced to *distinct signatures per block* (company) before any pairing,
-   keeping only the earliest record per signature where the semantics allow it (ties go to
-   the earliest record, and equal signatures have equal scores);
-2. signature pairs are produced by an equi-join on the block key. A block whose pair count
-   is large is tiled over ``S x S`` salted sub-blocks (each side replicated ``S`` times), so
-   one hot company never lands in a single task;
-3. a lossless length bound is applied before the LCS kernel runs;
+Within a company the score is 0.1 + 0.6 * title + 0.3 * location, so its parts are scored apart and
+only once each:
+
+1. both sides are reduced to *distinct signatures per block* (company), cut with a checkpoint;
+2. pairs of distinct *titles* of a block are filtered by two lossless bounds with the location at
+   its best (string lengths, then per-character counts), and the LCS kernel runs once for each
+   distinct unordered pair of titles that is left, whatever companies and locations it stands in;
+3. only titles that can still reach the threshold are joined back to signatures; pairs of
+   locations are scored the same way (distinct pairs, length bound first);
 4. scores at or above the threshold are joined back to the records.
+
+A block whose number of title pairs is large is tiled over ``S x S`` salted sub-blocks, so one hot
+company never lands in a single task, whatever its size. Companies whose id contains the separator
+are scored by token sets (M3) over whole signatures.
 """
 
 from __future__ import annotations
@@ -19,26 +23,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidewatch.functions import similarity as S
+from tidewatch.session import ensure_checkpoint_dir
 
 PAIRS_PER_TILE = 250_000
-MAX_SALT = 64
 
 
 def salted_block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column,
-                      pairs_per_tile: int | None = None, max_salt: int | None = None) -> DataFrame:
+                      pairs_per_tile: int | None = None) -> DataFrame:
     """Inner equi-join on ``keys`` whose heavy blocks are split into ``S x S`` tiles.
 
     ``S = ceil(sqrt(n_left * n_right / pairs_per_tile))`` per block (1 for ordinary blocks);
     the block-size table is an aggregate (one row per block)."""
     pairs_per_tile = pairs_per_tile or PAIRS_PER_TILE
-    max_salt = max_salt or MAX_SALT
     ln = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ln"))
     rn = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rn"))
     pairs = F.col("_ln").cast("double") * F.col("_rn").cast("double")
     salt = ln.join(rn, keys).select(
-        *keys,
-        F.least(F.lit(max_salt), F.greatest(F.lit(1), F.ceil(F.sqrt(pairs / F.lit(float(pairs_per_tile)))))).cast("int").alias("_s"),
-    )
+        *keys, F.greatest(F.lit(1), F.ceil(F.sqrt(pairs / F.lit(float(pairs_per_tile))))).cast("int").alias("_s"))
     l2 = (
         left.join(salt, keys)
         .withColumn("_sl", F.pmod(F.xxhash64(left_id), F.col("_s")).cast("int"))
@@ -59,58 +60,59 @@ def salted_block_join(left: DataFrame, right: DataFrame, keys: list[str], left_i
     return l2.repartition(n, *tile).join(r2.repartition(n, *tile), tile).drop("_sl", "_sr")
 
 
-def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold: float,
-                          block: str = "company_id", symmetric_flag: str | None = None) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _with_lcs(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``pairs`` with the LCS length of columns ``a`` and ``b``; the kernel sees each distinct
+    unordered pair of unequal strings once."""
+    low, high = F.least(a, b).alias("_low"), F.greatest(a, b).alias("_high")
+    once = pairs.where(F.col(a) != F.col(b)).select(low, high).distinct().withColumn("_lcs", S.lcs_len_udf(F.col("_low"), F.col("_high")))
+    return pairs.select("*", low, high).join(once, ["_low", "_high"], "left").withColumn(
+        out, F.coalesce("_lcs", F.length(a).cast("bigint"))).drop("_low", "_high", "_lcs")
+
+
+def _score_parts(q: DataFrame, c: DataFrame, block: str, t: float) -> DataFrame:
+    """Scored pairs of distinct signatures (block, q_title, q_loc) and (block, c_title, c_loc)."""
+    qt, ct = q.select(block, "q_title").distinct(), c.select(block, "c_title").distinct()
+    qt = qt.selectExpr("*", *S.char_count_sql("q_title", "_qh")).selectExpr("*", S.char_other_sql("q_title", "_qh"))
+    ct = ct.selectExpr("*", *S.char_count_sql("c_title", "_ch")).selectExpr("*", S.char_other_sql("c_title", "_ch"))
+    len_bound, count_bound = S.title_bounds_sql("q_title", "c_title", "_qh", "_ch")
+    titles = salted_block_join(qt, ct, [block], F.col("q_title"), F.col("c_title")).where(
+        F.expr(f"{len_bound} >= {t!r}D")).where(F.expr(f"{count_bound} >= {t!r}D")).select(block, "q_title", "c_title")
+    titles = _with_lcs(titles, "q_title", "c_title", "_t").withColumn(
+        "_t", S.ratio_from_lcs(F.length("q_title"), F.length("c_title"), F.col("_t"))).where(
+        S.combine(F.lit(100.0), F.col("_t"), F.lit(100.0)) >= F.lit(t))
+    pairs = titles.join(q, [block, "q_title"]).join(c, [block, "c_title"]).where(
+        S.combine(F.lit(100.0), F.col("_t"), S.ratio_upper_bound(F.col("q_loc"), F.col("c_loc"))) >= F.lit(t))
+    pairs = _with_lcs(pairs, "q_loc", "c_loc", "_l")
+    score = S.combine(F.lit(100.0), F.col("_t"), S.ratio_from_lcs(F.length("q_loc"), F.length("c_loc"), F.col("_l")))
+    return pairs.select(block, "q_title", "q_loc", "c_title", "c_loc", score.alias("score"))
+
+
+def _score_token_sets(q: DataFrame, c: DataFrame, block: str) -> DataFrame:
+    """M3 over whole signatures, for blocks whose id contains the separator (their ``title_sorted``
+    keeps the title's order, see ``with_signature``)."""
+    pairs = salted_block_join(q, c, [block], F.concat_ws("|", "q_title", "q_loc"), F.concat_ws("|", "c_title", "c_loc"))
+    sig = lambda side: F.concat_ws("|", block, f"{side}_title", f"{side}_loc")
+    scored = S.with_token_set_ratio(pairs.withColumns({"_a": sig("q"), "_b": sig("c")}), "_a", "_b", "_r")
+    return scored.select(block, "q_title", "q_loc", "c_title", "c_loc", (F.col("_r") / F.lit(100.0)).alias("score"))
+
+
+def score_signature_pairs(queries: DataFrame, candidates: DataFrame, threshold: float, block: str = "company_id") -> DataFrame:
     """Distinct (query signature, candidate signature) pairs of one block scoring >= threshold.
 
     Inputs carry ``block, title_sorted, location_norm``; output columns:
-    ``block, q_title, q_loc, c_title, c_loc, score``.
-
-    ``symmetric_flag`` names a boolean candidate column marking signatures that are also
-    queries. The score is symmetric, so such pairs are scored once (query <= candidate) and
-    mirrored afterwards."""
+    ``block, q_title, q_loc, c_title, c_loc, score``."""
     t = S.check_threshold(threshold)
-    q = queries.select(F.col(block), F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc")).distinct()
-    if symmetric_flag:
-        c = candidates.groupBy(block, F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).agg(
-            F.max(F.col(symmetric_flag)).alias("_c_is_q"))
-    else:
-        c = candidates.select(F.col(block), F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).distinct()
-    # character counts of each distinct title, computed once per signature (native)
-    q = q.selectExpr("*", *S.char_count_sql("q_title", "_qh")).selectExpr("*", S.char_other_sql("q_title", "_qh"))
-    c = c.selectExpr("*", *S.char_count_sql("c_title", "_ch")).selectExpr("*", S.char_other_sql("c_title", "_ch"))
-    pairs = salted_block_join(
-        q, c, [block],
-        F.concat_ws("|", "q_title", "q_loc"), F.concat_ws("|", "c_title", "c_loc"),
-    )
-    if symmetric_flag:
-        pairs = pairs.where(F.expr("NOT _c_is_q OR struct(q_title, q_loc) <= struct(c_title, c_loc)"))
-    exact = "(q_title = c_title AND q_loc = c_loc)"
-    len_bound, count_bound = S.same_company_bounds_sql("q_title", "c_title", "q_loc", "c_loc", "_qh", "_ch")
-    # lossless filter 1 (native, codegen): string lengths only;
-    # lossless filter 2 (native): LCS <= sum of per-character minimum counts
-    pairs = pairs.where(F.expr(f"{exact} OR {len_bound} >= {t!r}D")).where(F.expr(f"{exact} OR {count_bound} >= {t!r}D"))
-    pairs = pairs.select(block, "q_title", "q_loc", "c_title", "c_loc", *(["_c_is_q"] if symmetric_flag else []))
-    # exact LCS for the survivors (Arrow batches; the kernel re-checks a finer histogram bound)
-    packed = S.pair_lcs_udf(t)(F.col("q_title"), F.col("c_title"), F.col("q_loc"), F.col("c_loc"))
-    scored = (
-        pairs.withColumn("_p", packed)
-        .where(F.col("_p") >= 0)
-        .withColumn("score", S.combine(
-            F.lit(100.0),
-            S.ratio_from_lcs(F.length("q_title"), F.length("c_title"), F.shiftright(F.col("_p"), 31)),
-            S.ratio_from_lcs(F.length("q_loc"), F.length("c_loc"), F.col("_p").bitwiseAND(F.lit(S.LCS_PACK - 1))),
-        ))
-        .drop("_p")
-    )
+    q = _cut(queries.select(block, F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc")).distinct())
+    c = _cut(candidates.select(block, F.col("title_sorted").alias("c_title"), F.col("location_norm").alias("c_loc")).distinct())
+    odd = F.col(block).contains(S.SEPARATOR)
+    scored = _score_parts(q.where(~odd), c.where(~odd), block, t).unionByName(_score_token_sets(q.where(odd), c.where(odd), block))
     # a score of exactly 0 is never selected, even at threshold 0
-    kept = scored.where((F.col("score") >= F.lit(t)) & (F.col("score") > F.lit(0.0)))
-    if not symmetric_flag:
-        return kept
-    mirrored = kept.where(F.col("_c_is_q") & ~F.expr(exact)).select(
-        block, F.col("c_title").alias("q_title"), F.col("c_loc").alias("q_loc"),
-        F.col("q_title").alias("c_title"), F.col("q_loc").alias("c_loc"), "score")
-    return kept.drop("_c_is_q").unionByName(mirrored)
+    return scored.where((F.col("score") >= F.lit(t)) & (F.col("score") > F.lit(0.0)))
 
 
 def match_by_source_id(batch: DataFrame, entities: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def find_best_match(queries: DataFrame, candidates: DataFrame, threshold: float
     """J4/J2/J3 core: per query row, the candidate of the same company with the highest score
     >= threshold; ties go to the lowest ``cand_seq``. Queries without a match keep NULLs.
     Candidate filtering (window, status) is the caller's ``where`` on ``candidates``."""
-    cand = _earliest_per_signature(candidates, cand_key, cand_seq)
+    cand = _cut(_earliest_per_signature(candidates, cand_key, cand_seq))
     sp = score_signature_pairs(queries, cand, threshold)
     best = (
         sp.join(

@@ -85,10 +85,7 @@ def _region_vs_nation_pairs(spark, sf):
         "batch_seq", F.col("title_sorted").alias("b_title"), F.col("location_norm").alias("b_loc"),
         F.col("signature").alias("b_signature"))
     pairs = a.join(b, "batch_seq")
-    return pairs.withColumn(
-        "score", S.score_col(F.col("company_id"), F.col("title_sorted"), F.col("location_norm"),
-                             F.col("company_id"), F.col("b_title"), F.col("b_loc"),
-                             F.col("signature"), F.col("b_signature")))
+    return S.with_score(pairs, ("company_id", "title_sorted", "location_norm", "signature"), ("company_id", "b_title", "b_loc", "b_signature"))
 
 
 @query("m4_similarity")
@@ -275,8 +272,7 @@ def f9(spark, sf):
 
 @query("f10_active_unapplied")
 def f10(spark, sf):
-    season = I.applications(spark, sf).where(F.col("applied_date") >= F.lit("1998-01-01").cast("date"))
-    return VW.active_unapplied(I.customer_jobs(spark, sf), season).select("id", "status")
+    return VW.active_unapplied(I.customer_jobs(spark, sf), I.applications(spark, sf)).select("id", "status")
 
 
 @query("f11_lookup_by_id")
@@ -551,8 +547,7 @@ def r3_stream(spark, sf):
     from tidewatch.streaming import stream as SS
 
     sink, ckpt = _stream_dirs(spark, "r3")
-    out = SS.run_available(SS.run_window_counts(SS.sightings_stream(spark, sf), "event_type", "6 hours"),
-                           sink, ckpt, mode="complete")
+    out = SS.run_available(SS.run_window_counts(SS.sightings_stream(spark, sf), "event_type", "6 hours"), sink, ckpt)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "observations")
 
