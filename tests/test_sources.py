@@ -65,6 +65,29 @@ def test_board_postings_edges(spark):
     assert P.flatten_board_postings(_docs(spark, {"total": 0})).count() == 0
 
 
+def test_union_splits_faulty_rows(spark):
+    rows = [("acme", "Acme", 1, 0, "u", "greenhouse", json.dumps({"jobs": [{"id": 1, "title": "A", "absolute_url": "u"}, {"id": 2, "title": "no url"}]})),
+            ("acme", "Acme", 1, 1, "u", "lever", json.dumps([{"id": "x", "text": "B", "hostedUrl": "h"}])),
+            ("acme", "Acme", 1, 2, "u", "lever", "{broken"), ("acme", "Acme", 1, 3, "u", "lever", json.dumps({"not": "a list"})),
+            ("zeta", "Zeta", 2, 0, "u", "workday", json.dumps({"jobPostings": [{"title": "C", "jobReqId": "9"}]})), ("zeta", "Zeta", 2, 1, "u", "workday", "[")]
+    docs = spark.createDataFrame(rows, "company_id string, company_name string, company_ord bigint, source_ord bigint, source_url string, adapter string, payload string")
+    valid, bad = P.split_postings(P.flatten_sources(docs))
+    assert [(r.company_id, r.title) for r in valid.orderBy("batch_seq").collect()] == [("acme", "A"), ("acme", "B"), ("zeta", "C")]
+    assert sorted((r.company_id, r._problem) for r in bad.collect()) == [
+        ("acme", "missing absolute_url"), ("acme", P.UNREADABLE), ("acme", P.UNREADABLE), ("zeta", P.UNREADABLE)]
+    assert P.union_sources(docs).count() == 3
+
+
+def test_numbers_do_not_collide(spark):
+    """Large positions and many sources keep rows apart and in order."""
+    rows = [(c, s, p) for c in (1, 2) for s in (0, 1, 1_000_000) for p in (0, 1, 2_000_000)]
+    df = spark.createDataFrame(rows, "company_ord bigint, source_ord bigint, _pos int").selectExpr(
+        "*", *[f"CAST(NULL AS string) AS {c}" for c in P.RAW_COLUMNS[1:-1]], "concat_ws(' ', company_ord, source_ord, _pos) AS _problem")
+    got = [r._problem for r in P.number_rows(df).orderBy("batch_seq").collect()]
+    assert got == [" ".join(map(str, r)) for r in sorted(rows)]
+    assert P.number_rows(df).select("batch_seq").distinct().count() == len(rows)
+
+
 def test_source_to_endpoint(spark):
     df = spark.createDataFrame([
         ("greenhouse", "https://boards.greenhouse.io/acme/"),

@@ -57,3 +57,17 @@ def test_archive_old(spark):
     assert archived.count() == expect
     assert remaining.count() == e.count() - expect
     assert set(r.archive_month for r in archived.select("archive_month").distinct().collect()) <= {"2023-12", "2024-01"}
+
+
+def test_uncommitted_version_is_never_current(spark):
+    import pytest
+
+    root = tempfile.mkdtemp(prefix="tw-state-")
+    e = I.entities0(spark, SF)
+    assert ST.current_snapshot(spark, root) is None
+    e.limit(3).write.parquet(f"{root}/entities/snapshot_ts=20240101-000000-000000")  # a crash before the commit
+    with pytest.raises(RuntimeError):
+        ST.current_snapshot(spark, root)
+    name = ST.write_state(e, root, datetime(2023, 1, 1))
+    assert ST.current_snapshot(spark, root) == name
+    assert ST.read_state(spark, root).count() == e.count()

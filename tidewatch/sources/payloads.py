@@ -42,13 +42,39 @@ POSTING_ITEM_SCHEMA = (
     "bulletFields: array<string>, jobReqId: string>>"
 )
 
-SEQ_COMPANY = 10 ** 12
-SEQ_SOURCE = 10 ** 6
+def number_rows(rows: DataFrame) -> DataFrame:
+    """``batch_seq`` in the order (company, source, position). The strides come from the rows
+    themselves (two numbers reach the driver), so no two rows share a number, however many
+    postings a source or sources a company has."""
+    top = rows.agg(F.max("_pos"), F.max("source_ord")).first()
+    per_source, per_company = (top[0] or 0) + 1, (top[1] or 0) + 1
+    seq = (F.col("company_ord").cast("bigint") * F.lit(per_company) + F.col("source_ord").cast("bigint")) * F.lit(per_source) + F.col("_pos").cast("bigint")
+    return rows.withColumn("batch_seq", seq).select(*RAW_COLUMNS)
 
 
-def _batch_seq(pos: Column) -> Column:
-    return (F.col("company_ord").cast("bigint") * F.lit(SEQ_COMPANY) + F.col("source_ord").cast("bigint") * F.lit(SEQ_SOURCE)
-            + pos.cast("bigint"))
+def split_postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantine) of flattened rows; the quarantine says why in ``_problem``."""
+    return rows.where(F.col("_problem").isNull()), rows.where(F.col("_problem").isNotNull())
+
+
+UNREADABLE = "unreadable document"
+
+
+def _explode(parsed: DataFrame, items: Column, opens: str) -> DataFrame:
+    """One row per item; a document that is no JSON, or does not open as its shape must, gives one
+    row without item."""
+    unreadable = F.try_parse_json("payload").isNull() | F.col("_d").isNull() | ~F.col("payload").rlike(rf"^\s*\{opens}")
+    keep = [c for c in parsed.columns if c != "_d"]
+    return parsed.withColumn("_bad", unreadable).select(
+        *keep, "_bad", F.posexplode_outer(F.when(~F.col("_bad"), items)).alias("_pos", "j")).where("_bad OR j IS NOT NULL").withColumn(
+        "_pos", F.coalesce("_pos", F.lit(0)))
+
+
+def _problem(*rules: tuple[Column, str]) -> Column:
+    out = F.when(F.col("_bad"), UNREADABLE)
+    for when, what in rules:
+        out = out.when(when, what)
+    return out
 
 
 def parse_iso(c: Column) -> Column:
@@ -61,19 +87,27 @@ def parse_epoch_ms(c: Column) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(None)).otherwise(F.timestamp_millis(c).cast("timestamp_ntz"))
 
 
+_ORDER = ["company_ord", "source_ord", "_pos"]
+
+
 def _finish(df: DataFrame) -> DataFrame:
-    for c in RAW_COLUMNS:
+    """The raw columns but ``batch_seq``, and the columns that order rows."""
+    for c in RAW_COLUMNS[1:]:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("timestamp_ntz" if c.endswith("_date") else "string"))
-    return df.select(*RAW_COLUMNS)
+    return df.select(*_ORDER, *RAW_COLUMNS[1:])
 
 
-def flatten_board_object(docs: DataFrame) -> DataFrame:
+def _raw() -> Column:
+    return F.when(F.col("_bad"), F.col("payload")).otherwise(F.to_json(F.col("j"))).alias("raw_data")
+
+
+def _board_object(docs: DataFrame) -> DataFrame:
     """``{"jobs": [...]}`` documents. location: object -> its ``name`` (missing key ->
     'Unknown Location', null -> NULL), string -> as is, anything else -> 'Unknown Location';
     first department name; a job without id/title/absolute_url is quarantined."""
     parsed = docs.withColumn("_d", F.from_json("payload", BOARD_OBJECT_SCHEMA))
-    ex = parsed.select("*", F.posexplode(F.coalesce(F.col("_d.jobs"), F.array())).alias("_pos", "j"))
+    ex = _explode(parsed, F.col("_d.jobs"), "{")
     loc = F.col("j.location")
     loc_map = F.from_json(loc, "map<string, string>")
     location = (
@@ -82,50 +116,48 @@ def flatten_board_object(docs: DataFrame) -> DataFrame:
         .when(loc.startswith("["), F.lit(UNKNOWN_LOCATION))
         .otherwise(loc)
     )
-    problem = (
-        F.when(F.col("j.id").isNull(), "missing id").when(F.col("j.title").isNull(), "missing title")
-        .when(F.col("j.absolute_url").isNull(), "missing absolute_url")
-    )
+    problem = _problem(
+        (F.col("j.id").isNull(), "missing id"), (F.col("j.title").isNull(), "missing title"),
+        (F.col("j.absolute_url").isNull(), "missing absolute_url"))
     return _finish(ex.select(
-        _batch_seq(F.col("_pos")).alias("batch_seq"), "company_id", "company_name",
+        *_ORDER, "company_id", "company_name",
         F.col("j.title").alias("title"), location.alias("location"), F.col("j.absolute_url").alias("url"),
         F.col("j.id").alias("source_identifier"),
         F.try_element_at(F.col("j.departments"), F.lit(1))["name"].alias("department"),
         F.col("j.content").alias("description"),
         parse_iso(F.col("j.updated_at")).alias("updated_date"),
-        F.to_json(F.col("j")).alias("raw_data"),
+        _raw(),
         problem.alias("_problem"),
     ))
 
 
-def flatten_board_array(docs: DataFrame) -> DataFrame:
+def _board_array(docs: DataFrame) -> DataFrame:
     """Top-level array documents. location = categories.location (falsy -> 'Unknown
     Location'); team -> department; createdAt epoch-ms (falsy -> NULL); ``categories: null``
     or a missing id/text/hostedUrl -> quarantine."""
     parsed = docs.withColumn("_d", F.from_json("payload", BOARD_ARRAY_SCHEMA))
-    ex = parsed.select("*", F.posexplode(F.coalesce(F.col("_d"), F.array())).alias("_pos", "j"))
     # the same items as maps tell an explicit ``"categories": null`` from an absent key
-    ex = ex.withColumn("_m", F.try_element_at(F.from_json("payload", "array<map<string, string>>"), F.col("_pos") + 1))
+    parsed = parsed.withColumn("_maps", F.from_json("payload", "array<map<string, string>>"))
+    ex = _explode(parsed, F.arrays_zip(F.col("_d").alias("j"), F.col("_maps").alias("m")), "[").drop("_maps")
+    ex = ex.withColumns({"_m": F.col("j.m"), "j": F.col("j.j")})
     loc = F.col("j.categories.location")
-    problem = (
-        F.when(F.col("j.id").isNull(), "missing id").when(F.col("j.text").isNull(), "missing text")
-        .when(F.col("j.hostedUrl").isNull(), "missing hostedUrl")
-        .when(F.map_contains_key(F.col("_m"), "categories") & F.col("_m")["categories"].isNull(), "categories is null")
-    )
+    problem = _problem(
+        (F.col("j.id").isNull(), "missing id"), (F.col("j.text").isNull(), "missing text"), (F.col("j.hostedUrl").isNull(), "missing hostedUrl"),
+        (F.map_contains_key(F.col("_m"), "categories") & F.col("_m")["categories"].isNull(), "categories is null"))
     return _finish(ex.select(
-        _batch_seq(F.col("_pos")).alias("batch_seq"), "company_id", "company_name",
+        *_ORDER, "company_id", "company_name",
         F.col("j.text").alias("title"),
         F.when(loc.isNull() | (loc == ""), F.lit(UNKNOWN_LOCATION)).otherwise(loc).alias("location"),
         F.col("j.hostedUrl").alias("url"), F.col("j.id").alias("source_identifier"),
         F.col("j.categories.team").alias("department"),
         F.col("j.descriptionPlain").alias("description"),
         parse_epoch_ms(F.col("j.createdAt")).alias("posted_date"),
-        F.to_json(F.col("j")).alias("raw_data"),
+        _raw(),
         problem.alias("_problem"),
     ))
 
 
-def flatten_board_postings(docs: DataFrame) -> DataFrame:
+def _board_postings(docs: DataFrame) -> DataFrame:
     """S3: ``jobPostings`` if it is a list, else ``jobs`` if that is a list, else nothing.
     title default 'Unknown Title'; locationsText string, or list joined by ', ', else
     'Unknown Location'; url = scheme://host of the source + externalPath, or the source url;
@@ -133,7 +165,7 @@ def flatten_board_postings(docs: DataFrame) -> DataFrame:
     parsed = docs.withColumn("_d", F.from_json("payload", POSTINGS_SCHEMA))
     jp, jb = F.col("_d.jobPostings"), F.col("_d.jobs")
     items_text = F.when(jp.startswith("["), jp).when(jb.startswith("["), jb)
-    ex = parsed.select("*", F.posexplode(F.coalesce(F.from_json(items_text, POSTING_ITEM_SCHEMA), F.array())).alias("_pos", "j"))
+    ex = _explode(parsed, F.from_json(items_text, POSTING_ITEM_SCHEMA), "{")
     lt = F.col("j.locationsText")
     lt_list = F.from_json(lt, "array<string>")
     location = (
@@ -145,32 +177,53 @@ def flatten_board_postings(docs: DataFrame) -> DataFrame:
     first_bullet = F.try_element_at(F.col("j.bulletFields"), F.lit(1))
     sid = F.when(first_bullet.isNotNull() & (first_bullet != ""), first_bullet).otherwise(F.col("j.jobReqId"))
     return _finish(ex.select(
-        _batch_seq(F.col("_pos")).alias("batch_seq"), "company_id", "company_name",
+        *_ORDER, "company_id", "company_name",
         F.coalesce(F.col("j.title"), F.lit(UNKNOWN_TITLE)).alias("title"),
         location.alias("location"),
         absolute_url(F.col("source_url"), F.col("j.externalPath")).alias("url"),
         sid.alias("source_identifier"),
         parse_iso(F.col("j.postedOn")).alias("posted_date"),
-        F.to_json(F.col("j")).alias("raw_data"),
-        F.lit(None).cast("string").alias("_problem"),
+        _raw(),
+        _problem().alias("_problem"),
     ))
 
 
+def flatten_board_object(docs: DataFrame) -> DataFrame:
+    """S1, see ``_board_object``."""
+    return number_rows(_board_object(docs))
+
+
+def flatten_board_array(docs: DataFrame) -> DataFrame:
+    """S2, see ``_board_array``."""
+    return number_rows(_board_array(docs))
+
+
+def flatten_board_postings(docs: DataFrame) -> DataFrame:
+    """S3, see ``_board_postings``."""
+    return number_rows(_board_postings(docs))
+
+
 FLATTENERS = {
-    "greenhouse": flatten_board_object,
-    "lever": flatten_board_array,
-    "workday": flatten_board_postings,
+    "greenhouse": _board_object,
+    "lever": _board_array,
+    "workday": _board_postings,
 }
 
 
-def union_sources(docs: DataFrame) -> DataFrame:
-    """All sources of all companies -> one batch; ``docs`` carries ``adapter``. Each shape
-    is flattened from its own subset, then ``unionByName``; ordering comes from batch_seq."""
+def flatten_sources(docs: DataFrame) -> DataFrame:
+    """All sources of all companies as numbered rows, faulty ones included; ``docs`` carries
+    ``adapter``. Each shape is flattened from its own subset, then ``unionByName``."""
     parts = [fn(docs.where(F.col("adapter") == name)) for name, fn in FLATTENERS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return number_rows(out)
+
+
+def union_sources(docs: DataFrame) -> DataFrame:
+    """The valid postings of all sources as one batch; ``split_postings(flatten_sources(docs))``
+    also gives the others."""
+    return split_postings(flatten_sources(docs))[0]
 
 
 def read_payload_files(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:

@@ -40,22 +40,38 @@ def snapshot_name(ts: datetime) -> str:
 
 
 def write_state(entities: DataFrame, root: str, ts: datetime, observations: DataFrame | None = None) -> str:
-    """S7 + S12: write a new version and make it current. Returns the snapshot name."""
+    """S7 + S12: write a new version, then commit it with a marker of its own. The newest
+    committed version is the current one; nothing that readers use is ever overwritten, and a
+    version without marker does not exist for them. Returns the snapshot name."""
     spark = entities.sparkSession
     name = snapshot_name(ts)
     (entities.withColumn("schema_version", F.lit(SCHEMA_VERSION))
      .write.mode("overwrite").parquet(f"{root}/entities/snapshot_ts={name}"))
     if observations is not None:
-        observations.withColumn("run", F.lit(name)).write.mode("append").partitionBy("run").parquet(f"{root}/observations")
-    spark.createDataFrame([(name,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+        observations.write.mode("overwrite").parquet(f"{root}/observations/run={name}")
+    mark_committed(spark, root, name)
     return name
 
 
+def mark_committed(spark: SparkSession, root: str, name: str) -> None:
+    fs, p = _fs(spark, f"{root}/_committed/{name}")
+    fs.create(p, True).close()
+
+
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Names of the committed versions, oldest first (file names only)."""
+    fs, p = _fs(spark, f"{root}/_committed")
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def current_snapshot(spark: SparkSession, root: str) -> str | None:
-    fs, p = _fs(spark, f"{root}/_current")
-    if not fs.exists(p):
-        return None
-    return spark.read.text(f"{root}/_current").first()[0]
+    """The newest committed version; None for a new root. Versions without any commit are an
+    error, not an empty state."""
+    names = committed(spark, root)
+    fs, p = _fs(spark, f"{root}/entities")
+    if not names and fs.exists(p) and fs.listStatus(p):
+        raise RuntimeError(f"{root} has versions but none is committed")
+    return names[-1] if names else None
 
 
 def read_state(spark: SparkSession, root: str, snapshot: str | None = None,
@@ -72,8 +88,8 @@ def read_state(spark: SparkSession, root: str, snapshot: str | None = None,
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Name, job_count, size in bytes, version; newest first. Counts come from Parquet
-    footers and file metadata (``_metadata``), not a data scan."""
+    """Name, job_count, size in bytes, version; newest first. Sizes come from file metadata;
+    the counts read the version column of each file."""
     df = spark.read.parquet(f"{root}/entities")
     files = df.select("snapshot_ts", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("sz"))
     sizes = files.distinct().groupBy("snapshot_ts").agg(F.sum("sz").alias("size_bytes"))
@@ -89,17 +105,14 @@ def snapshots_to_rotate(snapshots: DataFrame, max_versions: int = DEFAULT_MAX_VE
 
 
 def rotate_snapshots(spark: SparkSession, root: str, max_versions: int = DEFAULT_MAX_VERSIONS) -> int:
-    """Delete the partitions beyond the newest N (never the current one)."""
-    names = [r[0] for r in snapshots_to_rotate(list_snapshots(spark, root).select("snapshot_ts"), max_versions).collect()]
-    cur = current_snapshot(spark, root)
-    deleted = 0
-    for n in names:
-        if n == cur:
-            continue
-        fs, p = _fs(spark, f"{root}/entities/snapshot_ts={n}")
-        if fs.delete(p, True):
-            deleted += 1
-    return deleted
+    """Delete the versions beyond the newest N (never the current one), each marker first."""
+    names = committed(spark, root)
+    old = names[:-max_versions] if max_versions > 0 else names[:-1]
+    for n in old:
+        for path in (f"{root}/_committed/{n}", f"{root}/entities/snapshot_ts={n}"):
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+    return len(old)
 
 
 def restore_snapshot(spark: SparkSession, root: str, name: str, ts: datetime) -> bool:
@@ -113,17 +126,26 @@ def restore_snapshot(spark: SparkSession, root: str, name: str, ts: datetime) ->
     return True
 
 
+#: What Spark says of a file that is no Parquet file; other errors say nothing about the data.
+CORRUPT = ("CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "Could not read footer")
+
+
 def cleanup_corrupted(spark: SparkSession, root: str) -> int:
-    """Drop snapshot partitions that cannot be read."""
+    """Drop versions whose files are no Parquet files. The current version is never
+    dropped, and any other error (permissions, network) is raised."""
     fs, base = _fs(spark, f"{root}/entities")
-    cleaned = 0
+    current, cleaned = current_snapshot(spark, root), 0
     for st in fs.listStatus(base):
         name = st.getPath().getName()
-        if not name.startswith("snapshot_ts="):
+        if not name.startswith("snapshot_ts=") or name == f"snapshot_ts={current}":
             continue
         try:
-            spark.read.parquet(st.getPath().toString()).limit(1).count()
-        except Exception:  # unreadable footer / schema: corrupt version
+            spark.read.parquet(st.getPath().toString()).count()
+        except Exception as error:
+            if not any(text in str(error) for text in CORRUPT):
+                raise
+            marker_fs, marker = _fs(spark, f"{root}/_committed/{name.removeprefix('snapshot_ts=')}")
+            marker_fs.delete(marker, False)
             fs.delete(st.getPath(), True)
             cleaned += 1
     return cleaned
