@@ -201,7 +201,7 @@ SELECT company_id, err IS NULL AS is_valid, err AS error FROM (
     WHEN contains(company_id, '--') THEN 'Company ID cannot contain consecutive hyphens' END AS err
   FROM ids)""")
 oracle("f9_needs_follow_up", _with(APPS) + f"SELECT id, job_id, next_follow_up FROM apps WHERE next_follow_up IS NOT NULL AND next_follow_up <= {AS_OF}")
-oracle("f10_active_unapplied", _with(CJ, APPS) + "SELECT id, status FROM cj WHERE status <> 'closed' AND id NOT IN (SELECT job_id FROM apps WHERE applied_date >= DATE '1998-01-01')")
+oracle("f10_active_unapplied", _with(CJ, APPS) + "SELECT id, status FROM cj WHERE status <> 'closed' AND id NOT IN (SELECT job_id FROM apps)")
 oracle("f11_lookup_by_id", _with(CJ) + f"SELECT {VIEW} FROM cj WHERE id = 'c-42' ORDER BY entity_seq LIMIT 1")
 
 oracle("p1_job_detail", _with(CJ, APPS) + """, obs AS (
@@ -257,7 +257,23 @@ FROM g GROUP BY entity_id, sid""")
 oracle("r3_run_window_counts", """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start,
   time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS observations
 FROM events GROUP BY ALL""")
-ORACLES["r3_run_window_counts_stream"] = ORACLES["r3_run_window_counts"]
+# what the watermark (the latest sighting less a day) has passed
+oracle("r3_run_window_counts_stream", f"""SELECT * FROM ({ORACLES["r3_run_window_counts"]})
+WHERE window_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""")
+oracle("r2_entity_lifecycle_stream", """
+WITH log AS (SELECT event_type || ':' || user_id AS entity_id, ts FROM events),
+wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS wm FROM log),
+g AS (SELECT *, lag(ts) OVER w AS prev, lead(ts) OVER w AS next, row_number() OVER w AS rn FROM log
+      WINDOW w AS (PARTITION BY entity_id ORDER BY ts)),
+seen AS (SELECT entity_id, ts, count(*) OVER (PARTITION BY entity_id ORDER BY ts) AS sightings, prev, next, rn FROM g),
+ev AS (
+  SELECT entity_id, CASE WHEN rn > 1 AND ts > prev + INTERVAL 7 DAY THEN 'reopened' ELSE 'active' END AS status, ts AS due, sightings
+  FROM seen WHERE rn = 1 OR ts > prev + INTERVAL 3 DAY
+  UNION ALL
+  SELECT entity_id, 'missing', ts + INTERVAL 3 DAY, sightings FROM seen WHERE next IS NULL OR next > ts + INTERVAL 3 DAY
+  UNION ALL
+  SELECT entity_id, 'closed', ts + INTERVAL 7 DAY, sightings FROM seen WHERE next IS NULL OR next > ts + INTERVAL 7 DAY)
+SELECT entity_id, status, due AS "at", sightings FROM ev, wm WHERE due < wm""")
 oracle("a6_evaluate_labels", """SELECT *,
   CASE WHEN expected_positive > 0 THEN true_positives / expected_positive ELSE 0.0 END AS detection_rate,
   CASE WHEN expected_negative > 0 THEN false_positives / expected_negative ELSE 0.0 END AS false_positive_rate,
@@ -346,3 +362,81 @@ SELECT collection_id, (CASE WHEN collection_id = 'household' THEN '0.9.0' ELSE '
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+# --- classification cycle -----------------------------------------------------------------------
+# A plain walk in batch order: one recursion step per posting of a company (companies run side by
+# side), over a list of all its known records.
+
+_BOUND = (f"((0.1::DOUBLE * 100.0::DOUBLE + 0.6::DOUBLE * {sql_ratio_upper_bound('a.title_sorted', 'b.title_sorted')}) "
+          f"+ 0.3::DOUBLE * {sql_ratio_upper_bound('a.location_norm', 'b.location_norm')}) / 100.0::DOUBLE")
+_PAIR = sql_same_company_score("a.title_sorted", "b.title_sorted", "a.location_norm", "b.location_norm")
+
+
+def _pick(test: str) -> str:
+    """The record with the highest score among those that pass, ties to the earliest, as a list of
+    none or one."""
+    return f"""list_sort(list_transform(list_filter(state, lambda x: {test} AND list_contains(near_sigs, x.sig)),
+    lambda x: struct_pack(worse := -near_scores[list_position(near_sigs, x.sig)], ord := x.ord, ref := x.ref)))[1:1]"""
+
+
+WALK = "WITH RECURSIVE " + ",\n".join([_postings(), E0, B1]) + f""",
+sig AS (SELECT DISTINCT company_id, signature, title_sorted, location_norm FROM (
+  SELECT company_id, signature, title_sorted, location_norm FROM e0 UNION ALL SELECT company_id, signature, title_sorted, location_norm FROM b1)),
+pair AS MATERIALIZED (SELECT a.company_id, a.signature AS a, b.signature AS b, {_PAIR} AS score
+  FROM sig a JOIN sig b ON a.company_id = b.company_id WHERE {_BOUND} >= {T}),
+near AS MATERIALIZED (SELECT company_id, a, list(b ORDER BY b) AS near_sigs, list(score ORDER BY b) AS near_scores FROM pair WHERE score >= {T} GROUP BY ALL),
+todo AS MATERIALIZED (SELECT b.company_id, b.batch_seq, b.signature, nullif(b.source_identifier, '') AS sid, b.source_identifier, near_sigs, near_scores,
+    row_number() OVER (PARTITION BY b.company_id ORDER BY b.batch_seq) AS n
+  FROM b1 b LEFT JOIN near ON near.company_id = b.company_id AND near.a = b.signature),
+start AS (SELECT company_id, list(struct_pack(ref := 'K:' || id, ord := entity_seq::BIGINT, sig := signature, status := status,
+    last_seen := last_seen::TIMESTAMP, sid := source_identifier, cls := classification, updated_at := updated_at::TIMESTAMP) ORDER BY entity_seq) AS state
+  FROM e0 GROUP BY company_id),
+walk AS (
+  SELECT c.company_id, 0::BIGINT AS n, coalesce(state, []) AS state, NULL::BIGINT AS batch_seq, NULL::VARCHAR AS decision,
+    NULL::VARCHAR AS entity_ref, NULL::VARCHAR AS target_ref, NULL::DOUBLE AS score
+  FROM (SELECT company_id FROM e0 UNION SELECT company_id FROM b1) c LEFT JOIN start USING (company_id)
+  UNION ALL
+  SELECT company_id, n,
+    CASE decision
+      WHEN 'existing' THEN list_transform(state, lambda x: CASE WHEN x.ref = entity_ref THEN struct_pack(ref := x.ref, ord := x.ord, sig := x.sig,
+        status := CASE x.status WHEN 'missing' THEN 'active' ELSE x.status END, last_seen := {NOW}, sid := x.sid, cls := x.cls, updated_at := {NOW}) ELSE x END)
+      WHEN 'reopened' THEN list_transform(state, lambda x: CASE WHEN x.ref = entity_ref THEN struct_pack(ref := x.ref, ord := x.ord, sig := x.sig,
+        status := 'reopened', last_seen := {NOW}, sid := sid, cls := x.cls, updated_at := {NOW}) ELSE x END)
+      ELSE list_append(state, struct_pack(ref := 'B:' || batch_seq, ord := 1000000000000 + batch_seq, sig := signature, status := 'active',
+        last_seen := {NOW}, sid := source_identifier, cls := decision, updated_at := {NOW})) END,
+    batch_seq, decision, entity_ref, target_ref, score
+  FROM (SELECT *, CASE WHEN len(hit) > 0 THEN 'existing' WHEN len(recent) > 0 THEN 'repost' WHEN len(closed) > 0 THEN 'reopened' ELSE 'new' END AS decision,
+      CASE WHEN len(hit) > 0 THEN hit[1].ref WHEN len(recent) = 0 AND len(closed) > 0 THEN closed[1].ref ELSE 'B:' || batch_seq END AS entity_ref,
+      CASE WHEN len(hit) > 0 THEN NULL WHEN len(recent) > 0 THEN recent[1].ref WHEN len(closed) > 0 THEN closed[1].ref END AS target_ref,
+      CASE WHEN len(hit) > 0 THEN NULL WHEN len(recent) > 0 THEN -recent[1].worse WHEN len(closed) > 0 THEN -closed[1].worse END AS score
+    FROM (SELECT walk.company_id, todo.n, walk.state, todo.batch_seq, todo.signature, todo.sid, todo.source_identifier,
+        list_filter(walk.state, lambda x: x.sid = todo.sid)[1:1] AS hit,
+        {_pick(f"x.status <> 'closed' AND x.last_seen >= {NOW} - INTERVAL 30 DAY")} AS recent,
+        {_pick("x.status = 'closed'")} AS closed
+      FROM walk JOIN todo ON todo.company_id = walk.company_id AND todo.n = walk.n + 1))),
+decided AS (SELECT batch_seq, company_id, decision,
+    CASE WHEN entity_ref LIKE 'K:%' THEN substr(entity_ref, 3) ELSE sha256('fixture|' || company_id || '|' || substr(entity_ref, 3)) END AS entity_id,
+    CASE WHEN target_ref LIKE 'K:%' THEN substr(target_ref, 3) ELSE sha256('fixture|' || company_id || '|' || substr(target_ref, 3)) END AS target_id, score
+  FROM walk WHERE n > 0),
+ended AS (SELECT company_id, unnest(state) AS s FROM walk QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY n DESC) = 1),
+classified AS (SELECT company_id, CASE WHEN s.ref LIKE 'K:%' THEN substr(s.ref, 3) ELSE sha256('fixture|' || company_id || '|' || substr(s.ref, 3)) END AS id,
+    s.status AS status, s.cls AS classification, s.last_seen AS last_seen, s.updated_at AS updated_at, s.sid AS source_identifier FROM ended),
+marked AS (SELECT * REPLACE (CASE WHEN gone THEN 'missing' ELSE status END AS status, CASE WHEN gone THEN {NOW} ELSE updated_at END AS updated_at), status AS before
+  FROM (SELECT *, status = 'active' AND id NOT IN (SELECT entity_id FROM decided) AS gone FROM classified)),
+final AS (SELECT * REPLACE (CASE WHEN late THEN 'closed' ELSE status END AS status, CASE WHEN late THEN {NOW} ELSE updated_at END AS updated_at)
+  FROM (SELECT *, status = 'missing' AND last_seen < {NOW} - INTERVAL 7 DAY AS late FROM marked))
+"""
+_SUMMARY = """summary AS (SELECT d.company_id, count(*) AS jobs_fetched, count(entity_id) AS jobs_classified,
+    count(*) FILTER (classification = 'new') AS new_jobs, count(*) FILTER (classification = 'repost') AS repost_jobs,
+    count(*) FILTER (classification = 'existing') AS existing_jobs, count(*) FILTER (decision = 'existing') AS decided_existing,
+    count(*) FILTER (decision = 'repost') AS decided_repost, count(*) FILTER (decision = 'reopened') AS decided_reopened,
+    count(*) FILTER (decision = 'new') AS decided_new
+  FROM decided d LEFT JOIN final f ON f.id = d.entity_id GROUP BY d.company_id)"""
+
+oracle("c1_c4_classify_batch", WALK + "SELECT batch_seq, company_id, decision, entity_id, target_id, score FROM decided")
+oracle("c6_cycle_state", WALK + "SELECT id, status, classification, last_seen, updated_at, source_identifier FROM final")
+oracle("a1_run_summary", WALK + f", {_SUMMARY} SELECT * FROM summary")
+oracle("a2_run_totals", WALK + f""", {_SUMMARY} SELECT count(*) AS companies_processed, count(*) AS companies_succeeded, 0 AS companies_failed,
+  CAST(sum(jobs_fetched) AS BIGINT) AS jobs_fetched, CAST(sum(jobs_classified) AS BIGINT) AS jobs_classified FROM summary""")
+oracle("a3_lifecycle_counts", WALK + """SELECT count(*) FILTER (before = 'active' AND status IN ('missing', 'closed')) AS marked_missing,
+  count(*) FILTER (before <> 'closed' AND status = 'closed') AS closed FROM final""")

@@ -1,11 +1,10 @@
 """Structured Streaming forms of the cycle.
 
-* R1 ``start_ingestion``: posting batches landing in a directory drive ``run_cycle`` through
-  ``foreachBatch``; each micro-batch writes one state version named after its batch id, so a
-  replayed micro-batch (after a failure) finds its version and is skipped (idempotent).
+* R1 ``start_ingestion``: postings landing in a directory are staged through ``foreachBatch``;
+  each complete run drives ``run_cycle`` once and is committed with one marker.
 * R2 ``entity_lifecycle``: per-entity state machine with event-time timers
-  (``applyInPandasWithState``): a sighting makes an entity active; no sighting for
-  ``missing_after`` -> missing; for ``close_after`` more -> closed. State is bounded per key.
+  (``applyInPandasWithState``): active, missing, closed, reopened up to the watermark; what is
+  not final yet waits as presence intervals.
 * R3 ``run_window_counts``: tumbling windows with a watermark.
 * R4 ``presence_sessions``: session windows with a watermark.
 * R5 ``split_late``: rows older than the running watermark go to a side table instead of
@@ -30,53 +29,92 @@ from tidewatch.sources import state as ST
 
 # --- R1 -----------------------------------------------------------------------------------------
 
-
-def cycle_batch_handler(state_root: str, clock_col: str = "observed_at", **cycle_kw):
-    """foreachBatch function: classify the micro-batch against the current state and write the
-    next version. The run clock is the batch's latest ``clock_col`` (data time, not wall
-    time), so a replay recomputes the same result."""
+_EMPTY_STATE = ("id string, entity_seq bigint, company_id string, company_name string, title string, "
+                "location string, url string, classification string, classification_reasoning string, "
+                "status string, first_seen timestamp_ntz, last_seen timestamp_ntz, source_identifier string, "
+                "department string, description string, created_at timestamp_ntz, updated_at timestamp_ntz")
+
+
+def _known(spark: SparkSession, state_root: str) -> tuple[DataFrame, DataFrame | None]:
+    """(valid records of the last committed run, its quarantine)."""
+    if ST.current_snapshot(spark, state_root) is None:
+        from tidewatch.functions.normalize import with_signature
+        from tidewatch.operators.classify import ENTITY_COLUMNS
+
+        return with_signature(spark.createDataFrame([], _EMPTY_STATE)).select(*ENTITY_COLUMNS), None
+    return ST.read_state(spark, state_root, quarantine=True)
+
+
+def landed_whole(landing_dir: str, run_col: str = "run_id"):
+    """A run is complete once its folder ``run_id=<run>`` has the ``_SUCCESS`` file of its writer."""
+    def done(spark: SparkSession, run: str) -> bool:
+        fs, p = ST._fs(spark, f"{landing_dir}/{run_col}={run}/_SUCCESS")
+        return fs.exists(p)
+
+    return done
+
+
+def commit_complete_runs(spark: SparkSession, state_root: str, is_complete, clock_col: str = "observed_at",
+                         run_col: str = "run_id", **cycle_kw) -> list[str]:
+    """Run the cycle once for each staged run that is complete and not committed, in the order of
+    run ids. A run is classified as a whole, so what it did not see is missing whatever the number
+    of its files; its clock is the latest ``clock_col`` of its rows. All outputs of a run go to
+    paths of its own and one marker commits them, so a retry after any write gives the same state.
+    A run older than the last committed one is an error."""
+    fs, p = ST._fs(spark, f"{state_root}/staged")
+    if not fs.exists(p):
+        return []
+    staged = spark.read.parquet(f"{state_root}/staged")
+    done = ST.committed(spark, state_root)
+    runs = sorted(r[0] for r in staged.where(F.col("_late") == F.lit(False)).select(run_col).distinct().collect() if r[0] not in done)
+    out = []
+    for run in runs:
+        if not is_complete(spark, run):
+            break  # later runs wait for it
+        if done and run < done[-1]:
+            raise ValueError(f"run {run} is older than the committed run {done[-1]}")
+        rows = staged.where((F.col(run_col) == run) & ~F.col("_late"))
+        now = rows.agg(F.max(clock_col)).first()[0]
+        known, bad = _known(spark, state_root)
+        res = run_cycle(known, rows.drop(clock_col, run_col, "_late", "_batch"), now, run_id=run, **cycle_kw)
+        (res.entities.withColumn("schema_version", F.lit(ST.SCHEMA_VERSION))
+         .write.mode("overwrite").parquet(f"{state_root}/entities/snapshot_ts={run}"))
+        res.observations.write.mode("overwrite").parquet(f"{state_root}/observations/run={run}")
+        res.decisions.write.mode("overwrite").parquet(f"{state_root}/decisions/run={run}")
+        if bad is not None:
+            bad.write.mode("overwrite").parquet(f"{state_root}/quarantine/run={run}")
+        ST.mark_committed(spark, state_root, run)
+        done.append(run)
+        out.append(run)
+    return out
+
+
+def cycle_batch_handler(state_root: str, is_complete, clock_col: str = "observed_at", run_col: str = "run_id", **cycle_kw):
+    """foreachBatch function: stage the micro-batch under its number (a replay writes the same
+    files), then commit the runs that are complete. Rows that arrive for a run already committed
+    are staged as late and change nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        name = f"batch-{batch_id:012d}"
-        fs, p = ST._fs(spark, f"{state_root}/entities/snapshot_ts={name}")
-        if fs.exists(p):  # replay of a committed micro-batch
-            return
-        now = batch.agg(F.max(clock_col)).first()[0]
-        if now is None:
-            return
-        current = ST.current_snapshot(spark, state_root)
-        known = ST.read_state(spark, state_root) if current else None
-        rows = batch.drop(clock_col)
-        if known is None:
-            from tidewatch.functions.normalize import with_signature
-            from tidewatch.operators.classify import ENTITY_COLUMNS
-
-            empty_schema = ("id string, entity_seq bigint, company_id string, company_name string, title string, "
-                            "location string, url string, classification string, classification_reasoning string, "
-                            "status string, first_seen timestamp_ntz, last_seen timestamp_ntz, source_identifier string, "
-                            "department string, description string, created_at timestamp_ntz, updated_at timestamp_ntz")
-            known = with_signature(spark.createDataFrame([], empty_schema)).select(*ENTITY_COLUMNS)
-        res = run_cycle(known, rows, now, run_id=name, **cycle_kw)
-        entities = res.entities
-        (entities.withColumn("schema_version", F.lit("1.0.0"))
-         .write.mode("overwrite").parquet(f"{state_root}/entities/snapshot_ts={name}"))
-        res.observations.withColumn("run", F.lit(name)).write.mode("append").partitionBy("run").parquet(
-            f"{state_root}/observations")
-        res.decisions.withColumn("run", F.lit(name)).write.mode("append").partitionBy("run").parquet(
-            f"{state_root}/decisions")
-        spark.createDataFrame([(name,)], "v string").coalesce(1).write.mode("overwrite").text(f"{state_root}/_current")
+        late = F.col(run_col).isin(ST.committed(spark, state_root))
+        fs, p = ST._fs(spark, f"{state_root}/staged/_batch={batch_id}")
+        if not fs.exists(p):  # the first try decided what is late
+            path = f"{state_root}/staging/{batch_id}"
+            batch.withColumn("_late", F.coalesce(late, F.lit(False))).write.mode("overwrite").parquet(path)
+            fs.mkdirs(p.getParent())
+            fs.rename(ST._fs(spark, path)[1], p)
+        commit_complete_runs(spark, state_root, is_complete, clock_col, run_col, **cycle_kw)
 
     return handle
 
 
 def start_ingestion(spark: SparkSession, landing_dir: str, schema: str, state_root: str, checkpoint: str,
-                    file_format: str = "parquet", available_now: bool = True, **cycle_kw):
-    """Stream posting files from ``landing_dir`` through the classification cycle."""
-    stream = (spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").load(landing_dir))
-    writer = stream.writeStream.foreachBatch(cycle_batch_handler(state_root, **cycle_kw)).option(
-        "checkpointLocation", checkpoint)
+                    file_format: str = "parquet", available_now: bool = True, is_complete=None, run_col: str = "run_id", **cycle_kw):
+    """Stream posting files from ``landing_dir/run_id=<run>/`` through the cycle, one cycle for
+    each run, however many files and micro-batches it comes in."""
+    stream = spark.readStream.format(file_format).schema(schema).load(landing_dir)
+    handler = cycle_batch_handler(state_root, is_complete or landed_whole(landing_dir, run_col), run_col=run_col, **cycle_kw)
+    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
@@ -84,72 +122,96 @@ def start_ingestion(spark: SparkSession, landing_dir: str, schema: str, state_ro
 # --- R2 -----------------------------------------------------------------------------------------
 
 LIFECYCLE_OUTPUT = "entity_id string, status string, at timestamp, sightings long"
-LIFECYCLE_STATE = "status string, last_seen timestamp, sightings long"
-
-
-def _lifecycle_fn(missing_after_ms: int, close_after_ms: int):
-    """Transitions are due at last_seen + missing_after (missing) and last_seen + close_after
-    (closed). A transition already behind the watermark is emitted at once (a timer may not be
-    set in the past)."""
-
-    def row(entity, status, at, n):
-        return pd.DataFrame({"entity_id": [entity], "status": [status], "at": [at], "sightings": [n]})
-
-    def ms_of(ts) -> int:
-        return int(pd.Timestamp(ts).timestamp() * 1000)
-
-    def advance(entity, status, last, n, wm, state, out):
-        """From ``status`` at ``last``, emit every transition due by the watermark, then arm
-        the next timer or drop the state once closed."""
-        if status == "active":
-            if ms_of(last) + missing_after_ms > wm:
-                state.update(("active", last, n))
-                state.setTimeoutTimestamp(ms_of(last) + missing_after_ms)
-                return
-            out.append(row(entity, "missing", last, n))
-            status = "missing"
-        if status == "missing":
-            if ms_of(last) + close_after_ms > wm:
-                state.update(("missing", last, n))
-                state.setTimeoutTimestamp(ms_of(last) + close_after_ms)
-                return
-            out.append(row(entity, "closed", last, n))
-            state.remove()
+LIFECYCLE_STATE = ("status string, last_us long, sightings long, "
+                   "begins array<long>, ends array<long>, counts array<long>, firsts array<long>")
+
+
+def merge_presence(open_: list[tuple], times, gap_us: int) -> list[tuple]:
+    """Presence intervals (begin, end, sightings, sightings at begin), in order, after adding the
+    sighting times; intervals no more than ``gap_us`` apart are one."""
+    import numpy as np
+
+    t = np.sort(np.asarray(times, dtype=np.int64))
+    cut = np.flatnonzero(np.diff(t) > gap_us) + 1
+    starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(t)]))
+    new = [(int(t[s]), int(t[e - 1]), int(e - s), int(np.searchsorted(t, t[s], "right") - s)) for s, e in zip(starts, stops)] if len(t) else []
+    out: list[tuple] = []
+    for b, e, n, first in sorted(open_ + new):
+        if out and b - out[-1][1] <= gap_us:
+            pb, pe, pn, pf = out[-1]
+            out[-1] = (pb, max(pe, e), pn + n, pf + (first if b == pb else 0))
+        else:
+            out.append((b, e, n, first))
+    return out
+
+
+def _lifecycle_fn(missing_us: int, close_us: int):
+    """Only what the watermark has passed is final, so transitions are emitted up to the watermark
+    and the rest waits in the state as presence intervals: the result does not depend on how the
+    sightings were cut into files or micro-batches."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entity = key[0]
-        wm = state.getCurrentWatermarkMs()
-        out: list[pd.DataFrame] = []
-        if state.hasTimedOut:
-            status, last_seen, n = state.get
-            advance(entity, status, last_seen, n, wm, state, out)
-        else:
-            prev = state.get if state.exists else None
-            n = prev[2] if prev else 0
-            last = prev[1] if prev else None
+        status, last, total, open_ = None, 0, 0, []
+        if state.exists:
+            status, last, total, *lists = state.get
+            open_ = list(zip(*map(list, lists)))
+        if not state.hasTimedOut:
             for pdf in pdfs:
-                n += len(pdf)
-                m = pdf["ts"].max()
-                last = m if last is None or m > last else last
-            if prev is None or prev[0] != "active":
-                out.append(row(entity, "active", last, n))
-            advance(entity, "active", last, n, wm, state, out)
+                open_ = merge_presence(open_, pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(), missing_us)
+        wm = state.getCurrentWatermarkMs()
+        out = []
+
+        def passed(us: int) -> bool:
+            return us < wm * 1000
+
+        due = None
+        while due is None:
+            if status == "active":
+                b, e, n, _ = open_[0]
+                if not passed(e + missing_us):
+                    due = e + missing_us
+                    break
+                open_.pop(0)
+                status, last, total = "missing", e, total + n
+                out.append(("missing", e + missing_us, total))
+            elif status == "missing" and (not open_ or open_[0][0] > last + close_us):
+                if not passed(last + close_us):
+                    due = last + close_us
+                    break
+                status = "closed"
+                out.append(("closed", last + close_us, total))
+            elif open_:
+                b, e, n, first = open_[0]
+                if not passed(b):
+                    due = b
+                    break
+                out.append(("reopened" if status == "closed" else "active", b, total + first))
+                status = "active"
+            else:
+                break
+        state.update((status, last, total, *([x[k] for x in open_] for k in range(4))))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due // 1000, wm + 1))
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield pd.DataFrame({
+                "entity_id": [key[0]] * len(out), "status": [x[0] for x in out],
+                "at": pd.to_datetime([x[1] for x in out], unit="us"), "sightings": [x[2] for x in out]})
 
     return fn
 
 
 def entity_lifecycle(sightings: DataFrame, missing_after: str = "3 days", close_after: str = "14 days",
                      watermark: str = "1 day", entity: str = "entity_id", ts: str = "ts") -> DataFrame:
-    """R2: transitions (active / missing / closed) per entity from a sightings stream."""
-    def ms(interval: str) -> int:
-        num, unit = interval.split()
-        return int(pd.Timedelta(f"{num} {unit.rstrip('s')}s" if unit.endswith("s") else f"{num} {unit}").total_seconds() * 1000)
+    """R2: the transitions of each entity up to the watermark: ``active`` at a first sighting or one
+    after being missing, ``missing`` once it has not been seen for more than ``missing_after``,
+    ``closed`` for more than ``close_after`` (both from the last sighting), ``reopened`` at a
+    sighting after that. ``at`` is when the transition is due, ``sightings`` those up to then."""
+    def us(interval: str) -> int:
+        return int(pd.Timedelta(interval).total_seconds() * 1_000_000)
 
     s = sightings.select(F.col(entity).alias("entity_id"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", watermark)
     return s.groupBy("entity_id").applyInPandasWithState(
-        _lifecycle_fn(ms(missing_after), ms(close_after)), LIFECYCLE_OUTPUT, LIFECYCLE_STATE, "append",
+        _lifecycle_fn(us(missing_after), us(close_after)), LIFECYCLE_OUTPUT, LIFECYCLE_STATE, "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
@@ -185,21 +247,20 @@ def split_late(batch: DataFrame, watermark_ts, ts: str = "ts") -> tuple[DataFram
 
 
 def late_aware_sink(main_path: str, late_path: str, lateness: str = "1 day", ts: str = "ts"):
-    """foreachBatch function for R5: keeps the max event time seen so far in a one-row table
-    next to the sink, routes rows older than (max - lateness) to ``late_path``."""
+    """foreachBatch function for R5: rows older than (latest event time of earlier batches -
+    lateness) go to ``late_path``. Each batch writes paths of its own, its latest event time among
+    them, so a replay of a batch writes the same again."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fs, p = ST._fs(spark, f"{main_path}/_max_event_time")
-        seen = spark.read.parquet(f"{main_path}/_max_event_time").first()[0] if fs.exists(p) else None
+        marks = f"{main_path}/_max_event_time"
+        fs, p = ST._fs(spark, marks)
+        seen = spark.read.parquet(marks).where(F.col("batch_id") < batch_id).agg(F.max("m")).first()[0] if fs.exists(p) else None
         wm = None if seen is None else (pd.Timestamp(seen) - pd.Timedelta(lateness)).to_pydatetime()
         on_time, late = split_late(batch, wm, ts)
-        on_time.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{main_path}/rows")
-        late.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(late_path)
-        cur = batch.agg(F.max(F.col(ts).cast("timestamp")).alias("m")).first()[0]
-        if cur is not None and (seen is None or cur > seen):
-            spark.createDataFrame([(cur,)], "m timestamp").coalesce(1).write.mode("overwrite").parquet(
-                f"{main_path}/_max_event_time")
+        on_time.write.mode("overwrite").parquet(f"{main_path}/rows/batch_id={batch_id}")
+        late.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+        batch.agg(F.max(F.col(ts).cast("timestamp")).alias("m")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
 
     return handle
 
@@ -220,12 +281,12 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
 
 
 def sightings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table of a driver directory as a stream of sightings (one file)."""
+    """The events table of a driver directory (one file or a folder of part files) as a stream of
+    sightings."""
     schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    fs, p = ST._fs(spark, f"{sf_dir}/events.parquet")
+    reader = spark.readStream.schema(schema)
+    raw = (reader.parquet(f"{sf_dir}/events.parquet") if fs.getFileStatus(p).isDirectory()
+           else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir))  # a stream reads folders
     return raw.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("entity_id"),
                       "ts", "event_id", "event_type")
-
-
-def now_utc() -> datetime:  # pragma: no cover - convenience for interactive runs
-    return datetime.utcnow()
