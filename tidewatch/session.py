@@ -34,14 +34,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint dir; only when none is configured (tests, local
-    runs) set a scratch one. Lineage is cut with ``checkpoint()`` against this dir, never
-    ``localCheckpoint``."""
+    """Return the cluster's shared checkpoint dir. Where none is configured, a session in local
+    mode (tests) gets a scratch one; on a cluster that is an error, as a machine-local folder
+    would be seen by one machine only. Lineage is cut with ``checkpoint()`` against this dir,
+    never ``localCheckpoint``."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
