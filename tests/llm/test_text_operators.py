@@ -218,7 +218,7 @@ def test_quality_rules(spark):
     assert got[3]["kept"] and got[3]["n_repeat_words"] == 0
     assert got[4]["n_repeat_words"] == 120 and not got[4]["kept"]
     assert got[5]["n_symbols"] == 30 and "symbols" in got[5]["broken"]
-    assert got[6]["n_dup_lines"] == 2 and got[6]["n_lines"] == 3
+    assert got[6]["n_dup_lines"] == 2 and got[6]["n_lines"] == 3 and "repeated_lines" in got[6]["broken"]
     assert got[7]["n_repeat_words"] == 4
     assert got[8]["n_repeat_words"] == 6
     assert quality.judge(frame(spark, [])).count() == 0

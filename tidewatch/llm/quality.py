@@ -36,7 +36,7 @@ RULES = [
     ("word_length_high", "mean_word_chars", "<=", 12.0),
     ("symbols", "symbol_ratio", "<=", 0.1),
     ("stop_words", "stop_ratio", ">=", 0.02),
-    ("repeated_lines", "dup_line_ratio", "<=", 0.3),
+    ("repeated_lines", "dup_line_ratio", "<=", 0.5),  # a text of three lines may repeat one
     ("repeated_words", "repeat_ratio", "<=", 0.5),
 ]
 
