@@ -48,7 +48,10 @@ def test_matches_equal_pairwise_similarity(spark):
     sigs = {r.n: (r.company_id, r.signature) for r in df.collect()}
     for t in (0.9, 0.7):
         got = {r.batch_seq: (r.match_key, r.match_score) for r in J.find_best_match(left, right, t).collect()}
+        low = {r.batch_seq: (r.match_key, r.best_score) for r in J.find_best_match(left, right, t, with_best_score=True).collect()}
         for n in range(0, 120, 2):
+            top = max([similarity(sigs[n][1], sigs[m][1]) for m in range(1, 120, 2) if sigs[m][0] == sigs[n][0]], default=0.0)
+            assert low[n] == (got[n][0], top)
             scored = [(similarity(sigs[n][1], sigs[m][1]), -m) for m in range(1, 120, 2) if sigs[m][0] == sigs[n][0]]
             best = max([x for x in scored if x[0] >= t], default=None)
             assert got[n] == ((str(-best[1]), best[0]) if best else (None, None)), n

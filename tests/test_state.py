@@ -71,3 +71,25 @@ def test_uncommitted_version_is_never_current(spark):
     name = ST.write_state(e, root, datetime(2023, 1, 1))
     assert ST.current_snapshot(spark, root) == name
     assert ST.read_state(spark, root).count() == e.count()
+
+
+def test_read_json_collections(spark):
+    import json
+
+    root = tempfile.mkdtemp(prefix="tw-state-")
+    job = {"id": "1", "company_id": "acme", "company_name": "Acme", "title": "T", "location": "L", "url": "https://x.org/1", "signature": "acme|t|l",
+           "classification": "new", "classification_reasoning": "r", "status": "active", "first_seen": "2024-01-01T00:00:00", "last_seen": "2024-01-02T00:00:00",
+           "source_identifier": "A", "observations": [{"timestamp": "2024-01-01T00:00:00", "url": "u"}], "created_at": "2024-01-01T00:00:00", "updated_at": "2024-01-02T00:00:00"}
+    docs = {"a.json": {"version": "1.0.0", "generated_at": "2024-01-03", "jobs": [job, {**job, "id": "2", "status": "bogus"}, {**job, "title": "later"}, {**job, "id": "3"}]},
+            "b.json": {"version": "0.9.0", "generated_at": "2024-01-03", "jobs": [job]}, "c.json": {"version": "1.0.0", "jobs": []}}
+    for name, doc in docs.items():
+        with open(os.path.join(root, name), "w") as fh:
+            json.dump(doc, fh, indent=2)
+    with open(os.path.join(root, "d.json"), "w") as fh:
+        fh.write("{broken")
+    valid, bad, about = ST.read_collection(spark, root)
+    got = sorted((os.path.basename(r.collection), r.id, r.title, r.entity_seq, str(r.last_seen)) for r in valid.collect())
+    assert got == [("a.json", "1", "later", 0, "2024-01-02 00:00:00"), ("a.json", "3", "T", 3, "2024-01-02 00:00:00"), ("b.json", "1", "T", 0, "2024-01-02 00:00:00")]
+    assert [(r.id, r.violations) for r in bad.collect()] == [("2", ["status is not one of the allowed values"])]
+    docs = {os.path.basename(r.collection): (r.readable, r.version_ok, r.jobs) for r in about.collect()}
+    assert docs == {"a.json": (True, True, 4), "b.json": (True, False, 1), "c.json": (True, True, 0), "d.json": (False, False, 0)}

@@ -134,12 +134,16 @@ def _earliest_per_signature(candidates: DataFrame, key: str, seq: str) -> DataFr
 
 
 def find_best_match(queries: DataFrame, candidates: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,
-                    query_key: str = "batch_seq", cand_key: str = "id", cand_seq: str = "entity_seq") -> DataFrame:
+                    query_key: str = "batch_seq", cand_key: str = "id", cand_seq: str = "entity_seq",
+                    with_best_score: bool = False) -> DataFrame:
     """J4/J2/J3 core: per query row, the candidate of the same company with the highest score
     >= threshold; ties go to the lowest ``cand_seq``. Queries without a match keep NULLs.
-    Candidate filtering (window, status) is the caller's ``where`` on ``candidates``."""
+    Candidate filtering (window, status) is the caller's ``where`` on ``candidates``.
+
+    ``with_best_score`` adds ``best_score``, the highest score even if it is below the threshold (0
+    without candidates); no bound can prune there, so all titles of a company are scored."""
     cand = _cut(_earliest_per_signature(candidates, cand_key, cand_seq))
-    sp = score_signature_pairs(queries, cand, threshold)
+    sp = score_signature_pairs(queries, cand, 0.0 if with_best_score else threshold)
     best = (
         sp.join(
             cand.withColumnRenamed("title_sorted", "c_title").withColumnRenamed("location_norm", "c_loc"),
@@ -155,7 +159,12 @@ def find_best_match(queries: DataFrame, candidates: DataFrame, threshold: float
             F.col("m.score").alias("match_score"),
         )
     )
-    return queries.join(best, ["company_id", "title_sorted", "location_norm"], "left")
+    found = queries.join(best, ["company_id", "title_sorted", "location_norm"], "left")
+    if not with_best_score:
+        return found
+    hit = F.col("match_score") >= F.lit(S.check_threshold(threshold))
+    return found.withColumn("best_score", F.coalesce("match_score", F.lit(0.0))).withColumns(
+        {"match_key": F.when(hit, F.col("match_key")), "match_score": F.when(hit, F.col("match_score"))})
 
 
 def find_all_matches(queries: DataFrame, candidates: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,

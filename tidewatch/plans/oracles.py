@@ -104,6 +104,9 @@ SELECT b.batch_seq, best.match_key, best.match_score FROM b1 b LEFT JOIN best US
 oracle("j2_best_similar_recent", _best_sql(f"status <> 'closed' AND last_seen >= {NOW} - INTERVAL 30 DAY"))
 oracle("j3_best_similar_closed", _best_sql("status = 'closed'"))
 oracle("j4_find_best_match", _best_sql("TRUE"))
+oracle("j4_best_score_below_threshold", _best_sql("TRUE").split("best AS (")[0].replace(f">= {T}", ">= 0") + f"""best AS (
+  SELECT batch_seq, id, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY batch_seq ORDER BY score DESC, entity_seq) = 1)
+SELECT b.batch_seq, CASE WHEN score >= {T} THEN best.id END AS match_key, coalesce(score, 0) AS best_score FROM b1 b LEFT JOIN best USING (batch_seq)""")
 oracle("j5_find_all_matches", _best_sql("TRUE").split("best AS (")[0] + f"""ranked AS (
   SELECT batch_seq, id AS match_key, score AS match_score,
          row_number() OVER (PARTITION BY batch_seq ORDER BY score DESC, entity_seq) AS match_rank
@@ -201,7 +204,7 @@ SELECT company_id, err IS NULL AS is_valid, err AS error FROM (
     WHEN contains(company_id, '--') THEN 'Company ID cannot contain consecutive hyphens' END AS err
   FROM ids)""")
 oracle("f9_needs_follow_up", _with(APPS) + f"SELECT id, job_id, next_follow_up FROM apps WHERE next_follow_up IS NOT NULL AND next_follow_up <= {AS_OF}")
-oracle("f10_active_unapplied", _with(CJ, APPS) + "SELECT id, status FROM cj WHERE status <> 'closed' AND id NOT IN (SELECT job_id FROM apps)")
+oracle("f10_active_unapplied", _with(CJ, APPS) + "SELECT id, status FROM cj WHERE status <> 'closed' AND id NOT IN (SELECT job_id FROM apps WHERE stage = 'interview')")
 oracle("f11_lookup_by_id", _with(CJ) + f"SELECT {VIEW} FROM cj WHERE id = 'c-42' ORDER BY entity_seq LIMIT 1")
 
 oracle("p1_job_detail", _with(CJ, APPS) + """, obs AS (
@@ -360,9 +363,6 @@ per AS (
 SELECT collection_id, (CASE WHEN collection_id = 'household' THEN '0.9.0' ELSE '1.0.0' END) = '1.0.0' AND ok AS is_valid, job_count FROM per""")
 
 
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
-
 # --- classification cycle -----------------------------------------------------------------------
 # A plain walk in batch order: one recursion step per posting of a company (companies run side by
 # side), over a list of all its known records.
@@ -424,7 +424,7 @@ classified AS (SELECT company_id, CASE WHEN s.ref LIKE 'K:%' THEN substr(s.ref,
 marked AS (SELECT * REPLACE (CASE WHEN gone THEN 'missing' ELSE status END AS status, CASE WHEN gone THEN {NOW} ELSE updated_at END AS updated_at), status AS before
   FROM (SELECT *, status = 'active' AND id NOT IN (SELECT entity_id FROM decided) AS gone FROM classified)),
 final AS (SELECT * REPLACE (CASE WHEN late THEN 'closed' ELSE status END AS status, CASE WHEN late THEN {NOW} ELSE updated_at END AS updated_at)
-  FROM (SELECT *, status = 'missing' AND last_seen < {NOW} - INTERVAL 7 DAY AS late FROM marked))
+  FROM (SELECT *, status = 'missing' AND last_seen < {NOW} - INTERVAL 14 DAY AS late FROM marked))
 """
 _SUMMARY = """summary AS (SELECT d.company_id, count(*) AS jobs_fetched, count(entity_id) AS jobs_classified,
     count(*) FILTER (classification = 'new') AS new_jobs, count(*) FILTER (classification = 'repost') AS repost_jobs,
@@ -440,3 +440,7 @@ oracle("a2_run_totals", WALK + f""", {_SUMMARY} SELECT count(*) AS companies_pro
   CAST(sum(jobs_fetched) AS BIGINT) AS jobs_fetched, CAST(sum(jobs_classified) AS BIGINT) AS jobs_classified FROM summary""")
 oracle("a3_lifecycle_counts", WALK + """SELECT count(*) FILTER (before = 'active' AND status IN ('missing', 'closed')) AS marked_missing,
   count(*) FILTER (before <> 'closed' AND status = 'closed') AS closed FROM final""")
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

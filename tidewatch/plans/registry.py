@@ -139,6 +139,12 @@ def j4(spark, sf):
     return _best(spark, sf, lambda cut: F.lit(True))
 
 
+@query("j4_best_score_below_threshold")
+def j4_score(spark, sf):
+    return J.find_best_match(_batch_sig(spark, sf), I.entities0(spark, sf), THRESHOLD, with_best_score=True).select(
+        "batch_seq", "match_key", "best_score")
+
+
 @query("j5_find_all_matches")
 def j5(spark, sf):
     K = I.entities0(spark, sf)
@@ -146,8 +152,7 @@ def j5(spark, sf):
         "batch_seq", "match_key", "match_score", "match_rank")
 
 
-# --- classification cycle (order-dependent: no SQL oracle; checked against a row-by-row
-#     replica in tests) -------------------------------------------------------------------
+# --- classification cycle (order-dependent: the oracle is a recursive walk in batch order) -------------------------------------------------------------------
 
 def _cycle(spark, sf):
     return C.run_cycle(I.entities0(spark, sf), I.batch1(spark, sf), NOW, WINDOW_DAYS, THRESHOLD, TIMEOUT_DAYS, run_id="fixture")
@@ -272,7 +277,7 @@ def f9(spark, sf):
 
 @query("f10_active_unapplied")
 def f10(spark, sf):
-    return VW.active_unapplied(I.customer_jobs(spark, sf), I.applications(spark, sf)).select("id", "status")
+    return VW.active_unapplied(I.customer_jobs(spark, sf), A.filter_stage(I.applications(spark, sf), "interview")).select("id", "status")
 
 
 @query("f11_lookup_by_id")

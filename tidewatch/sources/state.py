@@ -87,6 +87,41 @@ def read_state(spark: SparkSession, root: str, snapshot: str | None = None,
     return (valid, bad) if quarantine else valid
 
 
+COLLECTION_SCHEMA = (
+    "version string, generated_at string, job_count bigint, jobs array<struct<id: string, company_id: string, company_name: string, "
+    "title: string, location: string, url: string, signature: string, classification: string, classification_reasoning: string, "
+    "status: string, first_seen: string, last_seen: string, source_identifier: string, department: string, description: string, "
+    "observations: array<struct<timestamp: string, source_identifier: string, url: string, note: string>>, created_at: string, updated_at: string>>"
+)
+
+
+def read_collection(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S6 on JSON collections (one ``{version, generated_at, jobs[]}`` document per file):
+    (valid records, quarantine with ``violations``, documents). A document says whether it could
+    be read and whether its version is the expected one; another version is still read. Duplicate
+    ids of a document: the last wins, the first position is kept."""
+    docs = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("collection"), F.try_parse_json("value").isNotNull().alias("readable"),
+        F.from_json("value", COLLECTION_SCHEMA).alias("d"))
+    about = docs.select(
+        "collection", "readable", "d.version", (F.coalesce("d.version", F.lit("unknown")) == SCHEMA_VERSION).alias("version_ok"),
+        "d.generated_at", F.coalesce(F.size("d.jobs"), F.lit(0)).cast("bigint").alias("jobs"))
+    rows = docs.where("readable").select("collection", F.posexplode("d.jobs").alias("entity_seq", "j")).select(
+        "collection", F.col("entity_seq").cast("bigint"), "j.*")
+    rows = rows.withColumns({c: F.try_to_timestamp(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen", "created_at", "updated_at")})
+    valid, bad = split_valid(rows, record_violations(rows))
+    keyed = valid.withColumn("_key", F.struct("collection", "id"))
+    once = dedupe_last_wins(keyed, "_key").select(*rows.columns)
+    return once, bad, about
+
+
+def write_collection(entities: DataFrame, path: str, generated_at: str) -> None:
+    """S7 on JSON: one record a line below an envelope table, as S11 does for applications."""
+    entities.write.mode("overwrite").json(f"{path}/jobs")
+    entities.agg(F.count(F.lit(1)).alias("job_count")).select(
+        F.lit(SCHEMA_VERSION).alias("version"), F.lit(generated_at).alias("generated_at"), "job_count").coalesce(1).write.mode("overwrite").json(f"{path}/envelope")
+
+
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Name, job_count, size in bytes, version; newest first. Sizes come from file metadata;
     the counts read the version column of each file."""
