@@ -29,12 +29,19 @@ def run_summary(decisions: DataFrame, entities: DataFrame, sources: DataFrame |
     return out
 
 
-def run_totals(summary: DataFrame, failed_companies: int = 0) -> DataFrame:
-    """A2: totals over the per-company summary."""
-    return summary.agg(
-        (F.count(F.lit(1)) + F.lit(failed_companies)).alias("companies_processed"),
-        F.count(F.lit(1)).alias("companies_succeeded"),
-        F.lit(failed_companies).alias("companies_failed"),
+def run_totals(summary: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """A2: totals over the per-company summary. ``failed`` has a row (company_id) for each company
+    whose sources or configuration failed, as often as they did; such a company counts once, and as
+    failed even if another of its sources gave postings."""
+    ok = summary.select("company_id", "jobs_fetched", "jobs_classified", F.lit(0).alias("bad"))
+    rows = ok if failed is None else ok.unionByName(failed.select(
+        "company_id", F.lit(0).cast("bigint").alias("jobs_fetched"), F.lit(0).cast("bigint").alias("jobs_classified"), F.lit(1).alias("bad")))
+    each = rows.groupBy("company_id").agg(
+        F.sum("jobs_fetched").alias("jobs_fetched"), F.sum("jobs_classified").alias("jobs_classified"), F.max("bad").alias("bad"))
+    return each.agg(
+        F.count(F.lit(1)).alias("companies_processed"),
+        F.count_if(F.col("bad") == 0).alias("companies_succeeded"),
+        F.count_if(F.col("bad") == 1).cast("int").alias("companies_failed"),
         F.sum("jobs_fetched").alias("jobs_fetched"),
         F.sum("jobs_classified").alias("jobs_classified"),
     )
@@ -103,6 +110,16 @@ def classification_stability(log: DataFrame, entity: str = "entity_id", ts: str
     return first.groupBy(F.to_date("first_ts").alias("run_date")).agg(F.count(F.lit(1)).alias("new_entities"))
 
 
+def decisions_per_run(log: DataFrame, entity: str = "entity_id", ts: str = "ts") -> DataFrame:
+    """Per run (day) how many of the entities it saw are new and how many existing: with stable
+    ids the share of new ones falls."""
+    seen = log.groupBy(F.col(entity).alias("e"), F.to_date(ts).alias("run_date")).agg(F.count(F.lit(1)).alias("n"))
+    first = seen.groupBy("e").agg(F.min("run_date").alias("first_run"))
+    return seen.join(first, "e").groupBy("run_date").agg(
+        F.count_if(F.col("run_date") == F.col("first_run")).alias("decided_new"),
+        F.count_if(F.col("run_date") > F.col("first_run")).alias("decided_existing"))
+
+
 def volume_alert(df: DataFrame, key: str = "company_id", threshold: int = 10) -> DataFrame:
     """Per key row count and whether it falls below the alert threshold."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("job_count")).withColumn(

@@ -441,6 +441,22 @@ oracle("a2_run_totals", WALK + f""", {_SUMMARY} SELECT count(*) AS companies_pro
 oracle("a3_lifecycle_counts", WALK + """SELECT count(*) FILTER (before = 'active' AND status IN ('missing', 'closed')) AS marked_missing,
   count(*) FILTER (before <> 'closed' AND status = 'closed') AS closed FROM final""")
 
+_FAULTY = """c AS (SELECT s_suppkey AS company_seq,
+    lower(replace(s_name, '#', '-')) || CASE WHEN s_suppkey % 11 = 0 THEN '_x' ELSE '' END AS id,
+    CASE WHEN s_suppkey % 5 = 0 THEN 'missing required field: name' WHEN s_suppkey % 7 = 0 THEN 'invalid adapter'
+      WHEN s_suppkey % 3 = 0 THEN 'must have at least one source' END AS problem FROM supplier)"""
+oracle("s19_load_companies_faulty", _with(_FAULTY) + """SELECT company_seq, id, problem,
+  regexp_full_match(id, '[a-z0-9-]+') AND NOT contains(id, '--') AND NOT starts_with(id, '-') AND NOT ends_with(id, '-') AS id_format_valid FROM c""")
+oracle("a2_run_totals_with_failures", _with(_postings(), _FAULTY, """co AS (
+  SELECT company_id AS id, count(*) AS n, 0 AS bad FROM postings GROUP BY ALL UNION ALL SELECT id, 0, 1 FROM c WHERE problem IS NOT NULL),
+g AS (SELECT id, sum(n) AS n, max(bad) AS bad FROM co GROUP BY id)""") + """SELECT count(*) AS companies_processed, count(*) FILTER (bad = 0) AS companies_succeeded,
+  CAST(count(*) FILTER (bad = 1) AS INTEGER) AS companies_failed, CAST(sum(n) AS BIGINT) AS jobs_fetched, CAST(sum(n) AS BIGINT) AS jobs_classified FROM g""")
+oracle("s13_list_versions", _with(_postings()) + """SELECT '2024010' || (k + 1) || '-000000-000000' AS snapshot_ts, count(*) AS job_count, '1.0.0' AS version
+  FROM postings, (SELECT unnest([0, 1, 2]) AS k) WHERE batch_seq % 3 = 0 AND batch_seq % (3 * (k + 1)) = 0 GROUP BY k""")
+oracle("a7_decisions_per_run", _with(LOG) + """, seen AS (SELECT DISTINCT entity_id, CAST(ts AS DATE) AS run_date FROM log),
+f AS (SELECT *, min(run_date) OVER (PARTITION BY entity_id) AS first_run FROM seen)
+SELECT run_date, count(*) FILTER (run_date = first_run) AS decided_new, count(*) FILTER (run_date > first_run) AS decided_existing FROM f GROUP BY run_date""")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

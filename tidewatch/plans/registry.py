@@ -180,6 +180,15 @@ def a2(spark, sf):
     return M.run_totals(M.run_summary(res.decisions, res.entities))
 
 
+@query("a2_run_totals_with_failures")
+def a2_failed(spark, sf):
+    """Postings per company, and the watchlist rows whose configuration is faulty as failures."""
+    p = I.postings(spark, sf)
+    summary = p.groupBy("company_id").agg(F.count(F.lit(1)).alias("jobs_fetched"), F.count("source_identifier").alias("jobs_classified"))
+    failed = X.company_problems(_faulty_companies(spark, sf)).where("problem IS NOT NULL").select(F.col("id").alias("company_id"))
+    return M.run_totals(summary, failed)
+
+
 @query("a3_lifecycle_counts")
 def a3(spark, sf):
     return M.lifecycle_counts(_cycle(spark, sf).lifecycle)
@@ -384,6 +393,11 @@ def a7(spark, sf):
     return M.classification_stability(I.observation_log(spark, sf))
 
 
+@query("a7_decisions_per_run")
+def a7_runs(spark, sf):
+    return M.decisions_per_run(I.observation_log(spark, sf))
+
+
 @query("a8_volume_alert")
 def a8(spark, sf):
     return M.volume_alert(I.postings(spark, sf), "company_id", 10)
@@ -516,6 +530,16 @@ def s13(spark, sf):
     return _event_snapshots(spark, sf).groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("job_count"))
 
 
+@query("s13_list_versions")
+def s13_versions(spark, sf):
+    """Three committed versions of the known set, as ``list_snapshots`` shows them."""
+    root, _ = _stream_dirs(spark, "s13")
+    known = I.entities0(spark, sf)
+    for k in range(3):
+        ST.write_state(known.where(F.pmod("entity_seq", F.lit(3 * (k + 1))) == 0), root, datetime(2024, 1, 1 + k))
+    return ST.list_snapshots(spark, root).select(F.col("snapshot_ts").cast("string").alias("snapshot_ts"), "job_count", "version")
+
+
 @query("s14_rotate_snapshots")
 def s14(spark, sf):
     return ST.snapshots_to_rotate(_event_snapshots(spark, sf).select("snapshot_ts"), max_versions=10)
@@ -527,6 +551,21 @@ def s17(spark, sf):
     return archived.select("id", "company_id", "signature", "last_seen", "archive_month")
 
 
+def _faulty_companies(spark, sf):
+    """The watchlist with some names, adapters, urls and ids spoilt by supplier number."""
+    k = F.col("company_seq")
+    spoilt = lambda n, c, value: F.when(F.pmod(k, F.lit(n)) == 0, value).otherwise(F.col(c))
+    none = F.lit(None).cast("string")
+    return I.companies(spark, sf).withColumns({
+        "name": spoilt(5, "name", none), "adapter": spoilt(7, "adapter", F.lit("rss")), "source_url": spoilt(3, "source_url", F.lit("")),
+        "id": spoilt(11, "id", F.concat(F.col("id"), F.lit("_x")))})
+
+
+@query("s19_load_companies_faulty")
+def s19_faulty(spark, sf):
+    return X.company_problems(_faulty_companies(spark, sf)).select("company_seq", "id", "problem", "id_format_valid")
+
+
 @query("s19_load_companies")
 def s19(spark, sf):
     return X.company_problems(I.companies(spark, sf)).select("id", "adapter", "problem", "id_format_valid")
