@@ -33,7 +33,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def rest(url: Column) -> Column:
     """The URL after the first ``://``; null if there is none."""
-    return F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url")))
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + F.lit(3)))
 
 
 def host(after: Column) -> Column:

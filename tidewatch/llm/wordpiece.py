@@ -1,4 +1,4 @@
-"""Token counts: greedy longest-match word pieces in linear time, without building pieces.
+r"""Token counts: greedy longest-match word pieces in linear time, without building pieces.
 
 The vocabulary is a trie of byte strings. A node that is a piece fails to the root with one popped
 token; any other node fails to where its parent's failure chain can go on with its byte, and the
