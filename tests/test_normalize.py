@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.normalize import create_signature, normalize_location, normalize_title
