@@ -46,6 +46,12 @@ def _grams(text: str):
             yield (h ^ (h >> np.uint32(15))) * _K2 >> np.uint32(16)
 
 
+def _has_letter(text: str) -> bool:
+    """Some characters that are neither digits nor letters, such as superscripts, count as word
+    characters."""
+    return any(found.group().isalpha() for found in _LETTER.finditer(text))
+
+
 def _decode(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
@@ -103,7 +109,7 @@ def _score(model):
             size = 0
             for i, data in enumerate(utf8_rows(batch.column(1))):
                 text = _decode(data) if data else ""
-                if not langs or not _LETTER.search(text):
+                if not langs or not _has_letter(text):
                     continue
                 heard[i] = True
                 for grams in _grams(text):
