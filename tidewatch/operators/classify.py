@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType,
@@ -37,8 +37,9 @@ from pyspark.sql.types import (
 
 from tidewatch.functions import similarity as S
 from tidewatch.functions.normalize import with_signature
-from tidewatch.operators.linkage import score_signature_pairs
+from tidewatch.operators.linkage import format_2f, score_signature_pairs
 
+# Reason texts (this one and the two that are built below).
 NEW_REASON = "New job posting (no previous match found)"
 DEFAULT_WINDOW_DAYS = 30
 DEFAULT_CLOSE_TIMEOUT_DAYS = 14
@@ -269,13 +270,16 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         .agg(F.min("entity_seq").alias("x_seq"), F.min_by("id", "entity_seq").alias("x_id"),
              F.min_by("first_seen", "entity_seq").alias("x_first"))
     )
-    exact_k = (
-        L.select("batch_seq", "company_id", "title_sorted", "location_norm")
-        .join(exk, ["company_id", "title_sorted", "location_norm"])
-        .where(F.col("elig_from").isNull() | (F.col("elig_from") < F.col("batch_seq")))
-        .groupBy("batch_seq")
-        .agg(F.min_by(F.struct("x_id", "x_first"), "x_seq").alias("xk"))
-    )
+    # the earliest candidate that is eligible before a leader: a running minimum along the batch,
+    # linear in leaders and candidates of a signature
+    sig = ["company_id", "title_sorted", "location_norm"]
+    steps = L.select(*sig, F.col("batch_seq").alias("pos"), F.lit(0).alias("turn"), F.col("batch_seq"),
+                     F.lit(None).cast("struct<x_seq: bigint, x_id: string, x_first: timestamp_ntz>").alias("cand")).unionByName(
+        exk.select(*sig, F.coalesce("elig_from", F.lit(-1)).alias("pos"), F.lit(1).alias("turn"), F.lit(None).cast("bigint").alias("batch_seq"),
+                   F.struct(F.col("x_seq").cast("bigint").alias("x_seq"), "x_id", "x_first").alias("cand")))
+    upto = Window.partitionBy(*sig).orderBy("pos", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact_k = steps.withColumn("best", F.min("cand").over(upto)).where(F.col("batch_seq").isNotNull() & F.col("best").isNotNull()).select(
+        "batch_seq", F.struct(F.col("best.x_id").alias("x_id"), F.col("best.x_first").alias("x_first")).alias("xk"))
     exb = L.groupBy("company_id", "title_sorted", "location_norm").agg(F.min("batch_seq").alias("xb_seq"))
     L2 = (
         L.join(exb, ["company_id", "title_sorted", "location_norm"], "left")
@@ -472,7 +476,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     seq_base = (seq_base if seq_base is not None else 0) + 1
     reason_repost = F.concat(
         F.lit("Likely repost of job "), F.col("target_id"), F.lit(" (similarity: "),
-        _fmt2(F.col("score")), F.lit(", first seen: "), F.date_format("target_first_seen", "yyyy-MM-dd"), F.lit(")"),
+        format_2f(F.col("score")), F.lit(", first seen: "), F.date_format("target_first_seen", "yyyy-MM-dd"), F.lit(")"),
     )
     inserts = dec_rows.where(F.col("decision").isin("new", "repost")).select(
         F.col("entity_id").alias("id"),
@@ -524,15 +528,6 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     return ClassifyResult(decisions.select(*DECISION_COLUMNS), entities_out, observations)
 
 
-@F.pandas_udf(StringType())
-def _fmt2_udf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v != v else f"{v:.2f}")
-
-
-def _fmt2(c):
-    return _fmt2_udf(c.cast("double"))
-
-
 # ---------------------------------------------------------------------------
 # Lifecycle
 # ---------------------------------------------------------------------------

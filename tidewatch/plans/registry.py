@@ -362,13 +362,7 @@ def a5(spark, sf):
 
 @query("w2_gap_since_previous")
 def w2(spark, sf):
-    log = I.observation_log(spark, sf)
-    from pyspark.sql import Window
-    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
-    # NTZ difference in microseconds (independent of the session time zone)
-    gap_us = F.expr("timestampdiff(MICROSECOND, prev_ts, ts)")
-    return (log.withColumn("prev_ts", F.lag("ts").over(w))
-            .select("entity_id", "event_id", (gap_us / F.lit(1000000.0)).alias("gap_seconds")))
+    return M.gap_since_previous(I.observation_log(spark, sf)).select("entity_id", "event_id", "gap_seconds")
 
 
 @query("r4_presence_sessions")

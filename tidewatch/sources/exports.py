@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.validate import VALID_ADAPTERS, validate_company_id
 
+# Export headers.
 CSV_COLUMNS = ["id", "company_id", "company_name", "title", "location", "department", "url", "classification",
                "status", "first_seen", "last_seen", "signature"]
 VIEW_HEADERS = ["Company", "Title", "Location", "Status", "Classification", "First Seen", "Last Seen", "URL"]

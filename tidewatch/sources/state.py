@@ -25,6 +25,7 @@ SNAPSHOT_FORMAT = "%Y%m%d-%H%M%S-%f"
 DEFAULT_MAX_VERSIONS = 30
 DEFAULT_RETENTION_DAYS = 180
 
+# Archive columns.
 ARCHIVE_COLUMNS = ["id", "company_id", "company_name", "title", "location", "signature", "classification",
                    "first_seen", "last_seen"]
 
