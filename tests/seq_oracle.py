@@ -4,7 +4,27 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from tidewatch.functions.similarity import similarity
+
+def _common(a, b):
+    """Longest common subsequence by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], max(row[j], row[j - 1], last + (x == y))
+    return row[-1]
+
+
+def _ratio(a, b):
+    size = len(a) + len(b)
+    return (1.0 - (size - 2 * _common(a, b)) / size) * 100 if size else 100.0
+
+
+def similarity(a, b):
+    """Company, sorted title and location with weights 0.1, 0.6, 0.3."""
+    (c1, t1, l1), (c2, t2, l2) = a.split("|"), b.split("|")
+    t1, t2 = (" ".join(sorted(t.split())) for t in (t1, t2))
+    return (0.1 * _ratio(c1, c2) + 0.6 * _ratio(t1, t2) + 0.3 * _ratio(l1, l2)) / 100.0
 
 
 def classify_sequential(entities: list[dict], batch: list[dict], now: datetime, window_days=30, threshold=0.90):

@@ -1,7 +1,7 @@
 """Title / location normalisation and signatures (N1-N4), as native Spark column expressions.
 
-Everything here is a plain ``Column -> Column`` function: no UDF, so it stays inside
-whole-stage codegen and runs wherever the rows already are (no shuffle).
+Everything here is a plain ``Column -> Column`` function: no UDF and no shuffle; rows stay where
+they are. (The lambdas over words are interpreted by the JVM, not code-generated.)
 """
 
 from __future__ import annotations
@@ -220,44 +220,3 @@ def normalization_details(title: Column, location: Column) -> Column:
         location.alias("original_location"),
         normalize_location(location).alias("normalized_location"),
     )
-
-
-# ---------------------------------------------------------------------------
-# The same expressions as DuckDB SQL text (used by oracle queries); generated from the
-# fixed tables above so both sides share one definition.
-# ---------------------------------------------------------------------------
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _sql_case(var: str, d: dict[str, str], default: str) -> str:
-    arms = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in d.items())
-    return f"(CASE {var} {arms} ELSE {default} END)"
-
-
-def sql_normalize_title(expr: str) -> str:
-    cleaned = f"regexp_replace(lower({expr}), {_sql_str(TITLE_DROP_RE)}, ' ', 'g')"
-    words = f"list_filter(string_split_regex({cleaned}, {_sql_str(WS_RUN_RE)}), lambda w: w <> '')"
-    expanded = f"array_to_string(list_transform({words}, lambda w: {_sql_case('w', TITLE_ABBREVIATIONS, 'w')}), ' ')"
-    out = f"array_to_string(list_filter(string_split(replace({expanded}, '-', ' '), ' '), lambda w: w <> ''), ' ')"
-    return f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN '' ELSE {out} END)"
-
-
-def sql_normalize_location(expr: str) -> str:
-    low = f"lower({expr})"
-    cleaned = f"regexp_replace({low}, {_sql_str(LOCATION_DROP_RE)}, ' ', 'g')"
-    words = f"list_filter(string_split_regex({cleaned}, {_sql_str(LOCATION_SPLIT_RE)}), lambda w: w <> '')"
-    per_word = _sql_case("w", STATE_ABBREVIATIONS, _sql_case("w", LOCATION_NORMALIZATIONS, "w"))
-    joined = f"array_to_string(list_transform({words}, lambda w: {per_word}), ' ')"
-    processed = f"(CASE WHEN {joined} = '' THEN 'unknown' ELSE {joined} END)"
-    whole = _sql_case(low, LOCATION_NORMALIZATIONS, processed)
-    return f"(CASE WHEN {expr} IS NULL OR {expr} = '' THEN 'unknown' ELSE {whole} END)"
-
-
-def sql_token_sort(expr: str) -> str:
-    return (
-        f"array_to_string(list_sort(list_filter(string_split_regex({expr}, {_sql_str(WS_RUN_RE)}), "
-        f"lambda w: w <> '')), ' ')"
-    )

@@ -232,41 +232,3 @@ def with_score(df: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, s
     whole = df.where(~odd).withColumn(out, combine(*parts))
     sets = with_token_set_ratio(df.where(odd), a[3], b[3], out).withColumn(out, F.col(out) / F.lit(100.0))
     return whole.unionByName(sets)
-
-
-# ---------------------------------------------------------------------------
-# DuckDB SQL text for oracles: LCS by the same bit-parallel recurrence on HUGEINT
-# (strings up to 126 characters, which covers every fixture string).
-# ---------------------------------------------------------------------------
-
-
-def sql_lcs(a: str, b: str) -> str:
-    one = "1::HUGEINT"
-    full = f"(({one} << length({b})::HUGEINT) - 1)"
-    mask_of = (
-        f"list_reduce(list_transform(range(1, length({b}) + 1), lambda k: CASE WHEN substr({b}, k::BIGINT, 1) = c "
-        f"THEN ({one} << (k - 1)::HUGEINT) ELSE 0::HUGEINT END), lambda x, y: x | y, 0::HUGEINT)"
-    )
-    masks = f"list_transform(string_split({a}, ''), lambda c: {mask_of})"
-    v = f"list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})"
-    return f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({b}) - bit_count({v}) END)"
-
-
-def sql_ratio(a: str, b: str) -> str:
-    lensum = f"(length({a}) + length({b}))"
-    return (
-        f"(CASE WHEN {lensum} = 0 THEN 100.0 ELSE "
-        f"(1.0::DOUBLE - ({lensum} - 2 * {sql_lcs(a, b)})::DOUBLE / {lensum}::DOUBLE) * 100 END)"
-    )
-
-
-def sql_same_company_score(ta: str, tb: str, la: str, lb: str) -> str:
-    return f"((0.1::DOUBLE * 100.0::DOUBLE + 0.6::DOUBLE * {sql_ratio(ta, tb)}) + 0.3::DOUBLE * {sql_ratio(la, lb)}) / 100.0::DOUBLE"
-
-
-def sql_ratio_upper_bound(a: str, b: str) -> str:
-    lensum = f"(length({a}) + length({b}))"
-    return (
-        f"(CASE WHEN {lensum} = 0 THEN 100.0 ELSE "
-        f"(1.0::DOUBLE - ({lensum} - 2 * least(length({a}), length({b})))::DOUBLE / {lensum}::DOUBLE) * 100 END)"
-    )

@@ -1,11 +1,10 @@
 """DuckDB oracle SQL for the registered queries (same derivations, written independently as
-SQL over the driver's pre-registered views). Normalisation / similarity SQL is generated from
-the same fixed tables as the Spark expressions."""
+SQL over the driver's pre-registered views). Normalisation and similarity are stated again in
+``oracle_text``, with tables and weights of their own."""
 
 from __future__ import annotations
 
-from tidewatch.functions.normalize import sql_normalize_location, sql_normalize_title, sql_token_sort
-from tidewatch.functions.similarity import sql_ratio_upper_bound, sql_same_company_score
+from tidewatch.plans import oracle_text as T_
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 AS_OF = "DATE '1996-01-01'"
@@ -25,8 +24,8 @@ def _postings(loc: str = "r.r_name", name: str = "postings") -> str:
 
 def _sig(src: str, name: str) -> str:
     return f"""{name} AS (
-  SELECT *, {sql_token_sort('title_norm')} AS title_sorted, company_id || '|' || title_norm || '|' || location_norm AS signature
-  FROM (SELECT *, {sql_normalize_title('title')} AS title_norm, {sql_normalize_location('location')} AS location_norm FROM {src}))"""
+  SELECT *, {T_.sorted_words('title_norm')} AS title_sorted, company_id || '|' || title_norm || '|' || location_norm AS signature
+  FROM (SELECT *, {T_.title('title')} AS title_norm, {T_.place('location')} AS location_norm FROM {src}))"""
 
 
 E0 = f"""e0_raw AS (
@@ -56,19 +55,19 @@ def oracle(name: str, sql: str) -> None:
 
 # --- normalisation / similarity ---------------------------------------------------------------
 
-oracle("n1_normalize_title", _with(_postings()) + f"SELECT batch_seq, title, {sql_normalize_title('title')} AS title_norm FROM postings")
-oracle("n1_normalize_document_text", f"SELECT doc_id, {sql_normalize_title('text')} AS text_norm FROM documents")
+oracle("n1_normalize_title", _with(_postings()) + f"SELECT batch_seq, title, {T_.title('title')} AS title_norm FROM postings")
+oracle("n1_normalize_document_text", f"SELECT doc_id, {T_.title('text')} AS text_norm FROM documents")
 oracle("n2_normalize_location", _with(_postings('n.n_name')) +
-       f"SELECT batch_seq, location, {sql_normalize_location('location')} AS location_norm FROM postings")
+       f"SELECT batch_seq, location, {T_.place('location')} AS location_norm FROM postings")
 oracle("n3_create_signature", _with(_postings(), _sig('postings', 'ps')) + "SELECT batch_seq, signature FROM ps")
 oracle("n4_normalization_details", _with(_postings('n.n_name')) +
-       f"SELECT batch_seq, title AS original_title, {sql_normalize_title('title')} AS normalized_title, "
-       f"location AS original_location, {sql_normalize_location('location')} AS normalized_location FROM postings")
+       f"SELECT batch_seq, title AS original_title, {T_.title('title')} AS normalized_title, "
+       f"location AS original_location, {T_.place('location')} AS normalized_location FROM postings")
 oracle("m2_token_sort", _with(_postings(), _sig('postings', 'ps')) + "SELECT batch_seq, title_sorted FROM ps")
 
 PAIRS = _with(_postings(), _postings('n.n_name', 'postings_n'), _sig('postings', 'pa'), _sig('postings_n', 'pb'),
               f"""pairs AS (SELECT a.batch_seq, a.signature, b.signature AS b_signature,
-  {sql_same_company_score('a.title_sorted', 'b.title_sorted', 'a.location_norm', 'b.location_norm')} AS score
+  {T_.score('a.title_sorted', 'b.title_sorted', 'a.location_norm', 'b.location_norm')} AS score
   FROM pa a JOIN pb b USING (batch_seq))""")
 oracle("m4_similarity", PAIRS + "SELECT batch_seq, score FROM pairs")
 oracle("j6_is_match", PAIRS + f"SELECT batch_seq, score >= {T} AS is_match FROM pairs")
@@ -87,9 +86,8 @@ SELECT b.batch_seq, idx.matched_id FROM b1 b LEFT JOIN idx USING (company_id, so
 
 
 def _best_sql(cand_filter: str) -> str:
-    bound = (f"((0.1::DOUBLE * 100.0::DOUBLE + 0.6::DOUBLE * {sql_ratio_upper_bound('b.title_sorted', 'c.title_sorted')}) "
-             f"+ 0.3::DOUBLE * {sql_ratio_upper_bound('b.location_norm', 'c.location_norm')}) / 100.0::DOUBLE")
-    score = sql_same_company_score('b.title_sorted', 'c.title_sorted', 'b.location_norm', 'c.location_norm')
+    bound = T_.score_bound('b.title_sorted', 'c.title_sorted', 'b.location_norm', 'c.location_norm')
+    score = T_.score('b.title_sorted', 'c.title_sorted', 'b.location_norm', 'c.location_norm')
     return LINK + f""", cand AS (SELECT * FROM e0 WHERE {cand_filter}),
 scored AS (
   SELECT b.batch_seq, c.id, c.entity_seq, {score} AS score
@@ -367,9 +365,8 @@ SELECT collection_id, (CASE WHEN collection_id = 'household' THEN '0.9.0' ELSE '
 # A plain walk in batch order: one recursion step per posting of a company (companies run side by
 # side), over a list of all its known records.
 
-_BOUND = (f"((0.1::DOUBLE * 100.0::DOUBLE + 0.6::DOUBLE * {sql_ratio_upper_bound('a.title_sorted', 'b.title_sorted')}) "
-          f"+ 0.3::DOUBLE * {sql_ratio_upper_bound('a.location_norm', 'b.location_norm')}) / 100.0::DOUBLE")
-_PAIR = sql_same_company_score("a.title_sorted", "b.title_sorted", "a.location_norm", "b.location_norm")
+_BOUND = T_.score_bound("a.title_sorted", "b.title_sorted", "a.location_norm", "b.location_norm")
+_PAIR = T_.score("a.title_sorted", "b.title_sorted", "a.location_norm", "b.location_norm")
 
 
 def _pick(test: str) -> str:
