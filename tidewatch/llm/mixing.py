@@ -8,7 +8,7 @@ found by bisection. Each Spark job takes six halvings at once (63 inner points)
 sources; only those 65 rows reach the driver.
 
 The weights are realised in whole documents. A source's documents are dealt by hash into blocks
-of about ``block_tokens`` tokens. Its token budget is a number of whole epochs and a rest; in each
+of about ``block_tokens`` tokens (more if that were over ``MAX_BLOCKS`` blocks). Its token budget is a number of whole epochs and a rest; in each
 epoch the blocks come in another pseudo-random order, the rest takes blocks in the order of the
 last epoch until it is used up, and the block at which it runs out is drawn document by document.
 So windows run over blocks, and over the documents of one block of each source.
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import WORD_PATTERN, scratch_table
 
 ENTROPY_RATIO, MAX_REPEAT, BLOCK_TOKENS = 0.95, 4.0, 20_000
+#: Blocks per source at most; with more tokens, blocks grow instead, so that the schedule of a
+#: source stays a small table.
+MAX_BLOCKS = 1_000_000
 #: Bisection: 2^-48 and less between the ends; the exponent is then rounded, so that the order of
 #: summation cannot change the mix.
 _ROUNDS, _POINTS, _DIGITS = 8, 64, 10
@@ -75,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).cache()
     total = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     a = exponent(sources, total * budget_ratio, entropy_ratio, max_repeat) if total else 1.0
-    blocks = max(1, -(-total // block_tokens))
+    blocks = min(MAX_BLOCKS, max(1, -(-total // block_tokens)))
     share = F.pow(F.col("tokens") / F.lit(float(max(total, 1))), F.lit(a))
     whole = sources.select(share.alias("q")).agg(F.sum("q")).first()[0] or 1.0
     plan = sources.select(

@@ -47,7 +47,7 @@ share AS (SELECT source, tokens, pow(tokens / total, a) AS q, total FROM src, to
 plan AS (SELECT source, tokens, CAST(round(q / (SELECT sum(q) FROM share) * total) AS BIGINT) AS source_budget, total FROM share),
 plan2 AS (SELECT *, source_budget // tokens AS epochs, source_budget % tokens AS rest FROM plan),
 dealt AS (SELECT doc.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
-  % greatest(1, CAST(ceil(total / {mixing.BLOCK_TOKENS}) AS BIGINT)) AS block FROM doc, tot),
+  % greatest(1, least({mixing.MAX_BLOCKS}, CAST(ceil(total / {mixing.BLOCK_TOKENS}) AS BIGINT))) AS block FROM doc, tot),
 sums AS (SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS block_tokens FROM dealt GROUP BY 1, 2),
 sched AS (SELECT s.*, e.epoch, p.tokens, p.epochs, p.rest, p.source_budget,
     CAST(coalesce(sum(block_tokens) OVER (PARTITION BY s.source, e.epoch ORDER BY md5(s.source || '|' || e.epoch || '|' || s.block), s.block
