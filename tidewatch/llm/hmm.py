@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ class Lexicon:
     n_tokens: int
     n_types: int
     log_place: np.ndarray    # log10 of (count + 1)
+    kind: np.ndarray         # class of the head words
 
     @property
     def classes(self) -> int:
@@ -119,17 +121,17 @@ def lexicon(texts: DataFrame) -> tuple[Lexicon, DataFrame]:
         tokens[_bucket(word)] -= c
         types[_bucket(word)] -= 1
     found = Lexicon({w: i for i, w in enumerate(words)}, n, own, tokens, types, n_docs,
-                    sum(r["tokens"] for r in levels) + n_docs, sum(r["types"] for r in levels) + (n_docs > 0), np.log10(n + 1))
+                    sum(r["tokens"] for r in levels) + n_docs, sum(r["types"] for r in levels) + (n_docs > 0), np.log10(n + 1),
+                    np.array([i if i < own else own + _bucket(w) for i, w in enumerate(words)] + [0], np.int64))
     return found, counts.where(level < least)
 
 
 def _classes(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """(row in the head or -1, class) of words."""
-    get, own = lex.place.get, lex.own
-    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    kind = at.copy()
-    for i in np.flatnonzero((at < 0) | (at >= own)).tolist():
-        kind[i] = own + zlib.crc32(words[i]) % BUCKETS
+    at = np.fromiter(map(lex.place.get, words, repeat(-1)), np.int64, len(words))
+    kind = lex.kind[at]
+    for i in np.flatnonzero(at < 0).tolist():
+        kind[i] = lex.own + _bucket(words[i])
     return at, kind
 
 
