@@ -454,6 +454,13 @@ oracle("a7_decisions_per_run", _with(LOG) + """, seen AS (SELECT DISTINCT entity
 f AS (SELECT *, min(run_date) OVER (PARTITION BY entity_id) AS first_run FROM seen)
 SELECT run_date, count(*) FILTER (run_date = first_run) AS decided_new, count(*) FILTER (run_date > first_run) AS decided_existing FROM f GROUP BY run_date""")
 
+oracle("c7_observation_append", WALK + f"""SELECT entity_id, {NOW} AS timestamp, d.batch_seq, b.source_identifier, b.url,
+  CASE WHEN decision = 'reopened' THEN 'Job reopened' END AS note FROM decided d JOIN b1 b USING (batch_seq)""")
+oracle("t7_applications_survive_the_cycle", WALK + """SELECT e0.id AS job_id, e0.status AS status_before, f.status AS status_after
+  FROM e0 LEFT JOIN final f ON f.id = e0.id WHERE entity_seq % 2 = 0""")
+oracle("s18_migrate", LINK + "SELECT id, status = 'closed' AS archived, '1.1.0' AS schema_version FROM e0")
+oracle("r5_split_late", _with(LOG) + "SELECT entity_id, event_id, ts < (SELECT max(ts) FROM log) - INTERVAL 10 DAY AS late FROM log")
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -5,7 +5,7 @@ over the driver tables (through the derivations in ``inputs``). Oracles live in
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,6 +168,20 @@ def cycle_state(spark, sf):
     return _cycle(spark, sf).entities.select("id", "status", "classification", "last_seen", "updated_at", "source_identifier")
 
 
+@query("c7_observation_append")
+def observations(spark, sf):
+    return _cycle(spark, sf).observations.select("entity_id", "timestamp", "batch_seq", "source_identifier", "url", "note")
+
+
+@query("t7_applications_survive_the_cycle")
+def t7(spark, sf):
+    """Applications to every second known record, with the record's state after the cycle: ids are
+    kept through missing, closed and reopened."""
+    apps = I.entities0(spark, sf).where(F.pmod("entity_seq", F.lit(2)) == 0).select(F.col("id").alias("job_id"), F.col("status").alias("status_before"))
+    after = _cycle(spark, sf).entities.select(F.col("id").alias("job_id"), F.col("status").alias("status_after"))
+    return apps.join(after, "job_id", "left")
+
+
 @query("a1_run_summary")
 def a1(spark, sf):
     res = _cycle(spark, sf)
@@ -534,6 +548,18 @@ def s13_versions(spark, sf):
     return ST.list_snapshots(spark, root).select(F.col("snapshot_ts").cast("string").alias("snapshot_ts"), "job_count", "version")
 
 
+def _add_archived(df):
+    return df.withColumn("archived", F.col("status") == "closed")
+
+
+@query("s18_migrate")
+def s18(spark, sf):
+    """The known set migrated to a version with an ``archived`` flag, and whether all of it was."""
+    ST.register_migration("1.0.0", "1.1.0")(_add_archived)
+    moved = ST.migrate(I.entities0(spark, sf).withColumn("schema_version", F.lit("1.0.0")), "1.0.0", "1.1.0")
+    return moved.select("id", "archived", "schema_version")
+
+
 @query("s14_rotate_snapshots")
 def s14(spark, sf):
     return ST.snapshots_to_rotate(_event_snapshots(spark, sf).select("snapshot_ts"), max_versions=10)
@@ -574,9 +600,12 @@ def queries() -> dict[str, Query]:
 def _stream_dirs(spark, name):
     import uuid
 
-    from tidewatch.session import ensure_checkpoint_dir
+    from tidewatch.session import discard_at_exit, ensure_checkpoint_dir
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    fs, path = ST._fs(spark, base)
+    fs.mkdirs(path)
+    discard_at_exit(spark, base)
     return f"{base}/sink", f"{base}/checkpoint"
 
 
@@ -599,6 +628,17 @@ def r2_stream(spark, sf):
     return out.select("entity_id", "status", F.col("at").cast("timestamp_ntz").alias("at"), "sightings")
 
 
+@query("r5_split_late")
+def r5(spark, sf):
+    """The whole log against a watermark ten days before its latest sighting: both parts."""
+    from tidewatch.streaming import stream as SS
+
+    log = I.observation_log(spark, sf)
+    latest = log.agg(F.max("ts")).first()[0]
+    on_time, late = SS.split_late(log, None if latest is None else latest - timedelta(days=10))
+    return on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))).select("entity_id", "event_id", "late")
+
+
 @query("o3_sort_oldest_first")
 def o3(spark, sf):
     return VW.sort_jobs(I.customer_jobs(spark, sf), "oldest").select("id", "first_seen", "entity_seq")

@@ -49,3 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that exists when the application ends: for tables written below the
+    checkpoint dir that only this application reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
