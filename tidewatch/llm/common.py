@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.session import discard_at_exit, ensure_checkpoint_dir
 
 #: Words are runs of ``[^\x20\x09-\x0D]``: what bytes.split() gives.
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -28,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back: cuts the
-    lineage with files that every executor sees. The folder's owner removes old ``scratch-*``
-    folders as it removes checkpoints."""
+    lineage with files that every executor sees. They go when the application ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    discard_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
