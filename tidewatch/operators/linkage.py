@@ -80,13 +80,13 @@ def _score_parts(q: DataFrame, c: DataFrame, block: str, t: float) -> DataFrame:
     qt = qt.selectExpr("*", *S.char_count_sql("q_title", "_qh")).selectExpr("*", S.char_other_sql("q_title", "_qh"))
     ct = ct.selectExpr("*", *S.char_count_sql("c_title", "_ch")).selectExpr("*", S.char_other_sql("c_title", "_ch"))
     len_bound, count_bound = S.title_bounds_sql("q_title", "c_title", "_qh", "_ch")
-    titles = salted_block_join(qt, ct, [block], F.col("q_title"), F.col("c_title")).where(
-        F.expr(f"{len_bound} >= {t!r}D")).where(F.expr(f"{count_bound} >= {t!r}D")).select(block, "q_title", "c_title")
+    titles = _cut(salted_block_join(qt, ct, [block], F.col("q_title"), F.col("c_title")).where(
+        F.expr(f"{len_bound} >= {t!r}D")).where(F.expr(f"{count_bound} >= {t!r}D")).select(block, "q_title", "c_title"))
     titles = _with_lcs(titles, "q_title", "c_title", "_t").withColumn(
         "_t", S.ratio_from_lcs(F.length("q_title"), F.length("c_title"), F.col("_t"))).where(
         S.combine(F.lit(100.0), F.col("_t"), F.lit(100.0)) >= F.lit(t))
-    pairs = titles.join(q, [block, "q_title"]).join(c, [block, "c_title"]).where(
-        S.combine(F.lit(100.0), F.col("_t"), S.ratio_upper_bound(F.col("q_loc"), F.col("c_loc"))) >= F.lit(t))
+    pairs = _cut(titles.join(q, [block, "q_title"]).join(c, [block, "c_title"]).where(
+        S.combine(F.lit(100.0), F.col("_t"), S.ratio_upper_bound(F.col("q_loc"), F.col("c_loc"))) >= F.lit(t)))
     pairs = _with_lcs(pairs, "q_loc", "c_loc", "_l")
     score = S.combine(F.lit(100.0), F.col("_t"), S.ratio_from_lcs(F.length("q_loc"), F.length("c_loc"), F.col("_l")))
     return pairs.select(block, "q_title", "q_loc", "c_title", "c_loc", score.alias("score"))
