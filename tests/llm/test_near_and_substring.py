@@ -106,6 +106,31 @@ def test_substring_equals_brute_force(spark, seed):
     assert rows(got, "id", "n_words", "n_removed", "sha") == sorted(brute.substring(docs), key=repr)
 
 
+def test_substring_tells_apart_texts_of_one_id(spark):
+    """Thousands of texts of different lengths under the null id share passages: each gets its own
+    ranges. The earliest windows are those with the smallest start (see the module)."""
+    rng = random.Random(9)
+    shared = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(8)]
+    texts = []
+    for i in range(5000):
+        parts = [" ".join(f"u{i}x{j}" for j in range(rng.randint(1, 60)))]
+        if i % 3:
+            parts.insert(rng.randint(0, 1), rng.choice(shared))
+        texts.append("\n".join(parts))
+    first, want = {}, []
+    for text in texts:
+        w = text.split()
+        for i in range(len(w) - 19):
+            key = tuple(w[i:i + 20])
+            first[key] = min(i, first.get(key, i))
+    for text in texts:
+        w = text.split()
+        gone = {j for i in range(len(w) - 19) if first[tuple(w[i:i + 20])] < i for j in range(i, i + 20)}
+        want.append((len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = substring.remove_repeats(make(spark, [(None, t) for t in texts]).repartition(5))
+    assert rows(got, "n_words", "n_removed", "kept") == sorted(want, key=repr)
+
+
 def test_substring_pieces_of_long_texts(spark, monkeypatch):
     docs = corpus(4)
     records = [r for block in (64, substring._BLOCK) for r in [[]]]

@@ -12,7 +12,7 @@ Each symbol carries its context: the words that alone decide that it is formed.
 stands. After two rounds it picks the one whose context has the smallest hash as its anchor
 (windows that own none stand for themselves). Neighbouring windows share anchors, so a text gives
 about one record for five words: (hash of the anchor's context, hash of all words of the windows
-that picked it, place).
+that picked it, place, hash of the text, which tells apart rows that share an id).
 
 Rounds:
 1. Records meet by anchor. Equal records are equal stretches: all but the earliest are repeats.
@@ -166,9 +166,9 @@ def _records(pieces: list[tuple[int, int, np.ndarray]], window: int, rounds: int
     return anchor, stretch, np.array(row_of)[who], s + np.array(shift)[who], n
 
 
-#: A place in one number: start << 26 | 20 bits of the text's hash << 6 | windows << 1 | repeat known.
-def _place(start, text_hash, n, known):
-    return start << 26 | (text_hash & 0xFFFFF) << 6 | n << 1 | known
+#: A place in one number: start << 6 | windows << 1 | repeat known.
+def _place(start, n, known):
+    return start << 6 | n << 1 | known
 
 
 def _pieces(row: int, names: np.ndarray, window: int):
@@ -176,26 +176,32 @@ def _pieces(row: int, names: np.ndarray, window: int):
         yield row, start, names[start:start + _BLOCK + window - 1]
 
 
-_ROW = ["anchor", "stretch", "id", "place"]
+_ROW = ["anchor", "stretch", "id", "place", "hash"]
 
 
-def _batch(anchor, stretch, ids, place) -> pa.RecordBatch:
+def _batch(anchor, stretch, ids, place, hashes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(x).astype(_U).view(np.int64)) for x in (anchor, stretch)] + [pa.array(np.asarray(x, np.int64)) for x in (ids, place)], names=_ROW)
+        [pa.array(np.asarray(x).astype(_U).view(np.int64)) for x in (anchor, stretch)] + [pa.array(np.asarray(x, np.int64)) for x in (ids, place, hashes)], names=_ROW)
 
 
-def _sort_known(anchor, stretch, ids, place) -> pa.RecordBatch:
+def _text_hash(data: bytes) -> int:
+    """64 bits as a signed number."""
+    x = xxhash.xxh64_intdigest(data)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _sort_known(anchor, stretch, ids, place, hashes) -> pa.RecordBatch:
     """Merge equal records of a batch: the earliest goes on, the others are known repeats (their
     anchor is set to scattered values, as they need no meeting). Rows that repeat a row go."""
-    order = np.lexsort((place, ids, stretch, anchor))
-    anchor, stretch, ids, place = anchor[order], stretch[order], ids[order], place[order]
+    order = np.lexsort((hashes, place, ids, stretch, anchor))
+    anchor, stretch, ids, place, hashes = (x[order] for x in (anchor, stretch, ids, place, hashes))
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])))
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    again = ~new & np.concatenate(([False], (ids[1:] == ids[:-1]) & (place[1:] == place[:-1])))
-    known = (ids != ids[first]) | (place >> 26 != place[first] >> 26)
+    again = ~new & np.concatenate(([False], (ids[1:] == ids[:-1]) & (place[1:] == place[:-1]) & (hashes[1:] == hashes[:-1])))
+    known = (ids != ids[first]) | (place >> 6 != place[first] >> 6)
     keep = ~again
-    spread = np.where(known, _mix(ids.astype(_U) + (place.astype(_U) << _U(7))), anchor)
-    return _batch(spread[keep], stretch[keep], ids[keep], (place | known)[keep])
+    spread = np.where(known, _mix((ids.astype(_U) + (place.astype(_U) << _U(7))) ^ hashes.astype(_U)), anchor)
+    return _batch(spread[keep], stretch[keep], ids[keep], (place | known)[keep], hashes[keep])
 
 
 def _parse(window: int, rounds: int):
@@ -209,7 +215,7 @@ def _parse(window: int, rounds: int):
                 part = _word_names(data, names)
                 if len(part) < window:
                     continue
-                hashes[i] = xxhash.xxh64_intdigest(data) & 0xFFFFF
+                hashes[i] = _text_hash(data)
                 for piece in _pieces(i, part, window):
                     pieces.append(piece)
                     held += len(piece[2])
@@ -220,35 +226,35 @@ def _parse(window: int, rounds: int):
                 out.append(_records(pieces, window, rounds))
             if out:
                 anchor, stretch, row, start, n = (np.concatenate(x) for x in zip(*out))
-                yield _sort_known(anchor, stretch, ids[row], _place(start, hashes[row], n, 0))
+                yield _sort_known(anchor, stretch, ids[row], _place(start, n, 0), hashes[row])
     return run
 
 
 def _resolve(batches):
-    """Over rows sorted by (anchor, stretch, id, place): (id, place, open) of repeats (open false)
-    and of the earliest records of stretches whose anchor has others (open true)."""
+    """Over rows sorted by _ROW: (id, place, hash, open) of repeats (open false) and of the earliest records of stretches whose anchor has others 
+    (open true)."""
     last = None  # (anchor, stretch, first id, first start)
-    held = [np.empty(0, t) for t in (_U, _U, np.int64, np.int64)]  # earliest records of the last anchor
+    held = [np.empty(0, t) for t in (_U, _U, np.int64, np.int64, np.int64)]  # earliest records of the last anchor
     several = None  # anchor that has several stretches
     for batch in batches:
         anchor, stretch = (batch.column(i).to_numpy(zero_copy_only=False).view(_U) for i in (0, 1))
-        ids, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        ids, place, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
         known = (place & 1).astype(bool)
-        out = [(ids[known], place[known])]
-        anchor, stretch, ids, place = (x[~known] for x in (anchor, stretch, ids, place))
-        opened = (np.empty(0, np.int64),) * 2
+        out = [(ids[known], place[known], hashes[known])]
+        anchor, stretch, ids, place, hashes = (x[~known] for x in (anchor, stretch, ids, place, hashes))
+        opened = (np.empty(0, np.int64),) * 3
         if len(anchor):
             new = np.concatenate(([last is None or (anchor[0], stretch[0]) != last[:2]],
                                   (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])))
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            start = place >> 26
+            start = place >> 6
             carried = last[2:] if last else (0, 0)
             first_id = np.where(first < 0, carried[0], ids[first])
             first_start = np.where(first < 0, carried[1], start[first])
             repeat = (ids != first_id) | (start != first_start)
-            out.append((ids[repeat], place[repeat]))
+            out.append((ids[repeat], place[repeat], hashes[repeat]))
             last = (anchor[-1], stretch[-1], int(first_id[-1]), int(first_start[-1]))
-            a, b, c, d = (np.concatenate((h, x[~repeat])) for h, x in zip(held, (anchor, stretch, ids, place)))
+            a, b, c, d, e = (np.concatenate((h, x[~repeat])) for h, x in zip(held, (anchor, stretch, ids, place, hashes)))
             if len(a):
                 edge = np.concatenate(([True], a[1:] != a[:-1]))
                 group = np.cumsum(edge) - 1
@@ -258,17 +264,17 @@ def _resolve(batches):
                     many |= a[edge] == several
                 tail = group == group[-1]
                 show = many[group]
-                opened = (c[show], d[show])
+                opened = (c[show], d[show], e[show])
                 several = a[-1] if many[-1] else None
-                held = [x[tail & ~show] for x in (a, b, c, d)]
-        ids, place = (np.concatenate([o[k] for o in out] + [opened[k]]) for k in (0, 1))
+                held = [x[tail & ~show] for x in (a, b, c, d, e)]
+        ids, place, hashes = (np.concatenate([o[k] for o in out] + [opened[k]]) for k in (0, 1, 2))
         flag = np.zeros(len(ids), bool)
         flag[len(ids) - len(opened[0]):] = True
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(flag)], names=["id", "place", "open"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(hashes), pa.array(flag)], names=["id", "place", "hash", "open"])
 
 
 def _meet(records: DataFrame) -> DataFrame:
-    return records.repartition("anchor").sortWithinPartitions(*_ROW).mapInArrow(_resolve, "id bigint, place bigint, open boolean")
+    return records.repartition("anchor").sortWithinPartitions(*_ROW).mapInArrow(_resolve, "id bigint, place bigint, hash bigint, open boolean")
 
 
 def _windows(window: int):
@@ -284,14 +290,14 @@ def _windows(window: int):
                 part = _word_names(unpack(data), names)
                 ranges = np.unique(np.array(places[i], np.int64))
                 n = ranges >> 1 & 31
-                s = np.repeat(ranges >> 26, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                s = np.repeat(ranges >> 6, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 for at in range(0, len(part) - window + 1, _BLOCK):  # sums over pieces, as in parsing
                     here = s[(s >= at) & (s < at + _BLOCK)] - at
                     if len(here):
                         piece = part[at:at + _BLOCK + window - 1]
                         length = np.full(len(here), window)
                         out.append((_Rolling(piece, 0).of(here, length), _Rolling(piece, 1).of(here, length),
-                                    np.full(len(here), ids[i], np.int64), _place(here + at, hashes[i], 1, 0)))
+                                    np.full(len(here), ids[i], np.int64), _place(here + at, 1, 0), np.full(len(here), hashes[i], np.int64)))
             if out:
                 yield _sort_known(*(np.concatenate(x) for x in zip(*out)))
     return run
@@ -303,7 +309,7 @@ def _pack(batches):
     for batch in batches:
         hashes, packed = [], []
         for data in utf8_rows(batch.column(1)):
-            hashes.append(xxhash.xxh64_intdigest(data or b"") & 0xFFFFF)
+            hashes.append(_text_hash(data or b""))
             packed.append(None if data is None else pack(data))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(hashes, pa.int64()), pa.array(packed, pa.binary()), *batch.columns[2:]],
@@ -324,8 +330,8 @@ def _strip(window: int, verbatim: bool):
                     ranges = np.array(places[i], np.int64)
                     size = sum(map(len, word_runs(text)))
                     edges = np.zeros(size + 1, np.int64)
-                    np.add.at(edges, ranges >> 26, 1)
-                    np.add.at(edges, (ranges >> 26) + (ranges >> 1 & 31) + window - 1, -1)
+                    np.add.at(edges, ranges >> 6, 1)
+                    np.add.at(edges, (ranges >> 6) + (ranges >> 1 & 31) + window - 1, -1)
                     marks = np.cumsum(edges)[:-1] > 0
                 count, parts = 0, []
                 for words in word_runs(text):
@@ -359,16 +365,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.col(text_col).cast("string").alias("text")
     row = F.struct(F.col(id_col), *[F.col(c) for c in docs.columns if c not in (id_col, text_col)]).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
-    schema = "anchor bigint, stretch bigint, id bigint, place bigint"
+    schema = ", ".join(f"{c} bigint" for c in _ROW)
     found = scratch_table(_meet(docs.select(key, text).mapInArrow(_parse(window, rounds), schema)), "repeats")
 
     def of_text(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", F.expr("place >> 6 & 1048575").alias("hash")).agg(F.collect_list("place").alias("places"))
+        return rows.groupBy("id", "hash").agg(F.collect_list("place").alias("places"))
 
     packed = docs.select(key, text).mapInArrow(_pack, "id bigint, hash bigint, packed binary")
     opened = packed.join(of_text(found.where("open")), ["id", "hash"])
     windows = _meet(opened.mapInArrow(_windows(window), schema))
-    repeats = of_text(found.where("NOT open").select("id", "place").unionByName(windows.where("NOT open").select("id", "place")))
+    repeats = of_text(found.where("NOT open").unionByName(windows.where("NOT open")))
     whole = docs.select(key, text, row).mapInArrow(_pack, f"id bigint, hash bigint, packed binary, row {kind}")
     return whole.join(repeats, ["id", "hash"], "left").select("packed", "row", "places").mapInArrow(
         _strip(window, verbatim), f"n_words bigint, n_removed bigint, kept string, row {kind}")
