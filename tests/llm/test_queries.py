@@ -6,6 +6,7 @@ import tempfile
 import duckdb
 import pytest
 
+from tidewatch.llm import urlfilter
 from tidewatch.llm.oracles import ORACLES
 from tidewatch.llm.queries import QUERIES
 
@@ -63,6 +64,32 @@ def test_edge_rows_equal_sql(spark, edges, name):
     compare(spark, edges, name)
 
 
+#: Verdicts written by hand, not made from the module's lists.
+VERDICTS = {
+    "https://casino-win.example.com/en/1.html": "block",
+    "http://m.spam-farm.example.com/fr/2": "block",
+    "https://www.cheap-pills.example.com/en/3": "block",
+    "http://blog.adult-x.example.com/en/4/": "block",
+    "https://free-bets.example.com/en/5#top": "block",
+    "http://m.FREE-BETS.example.org/en/6?utm_source=feed": "block",
+    "https://www.ads-track.example.com/en/7": "block",
+    "http://ads-track.example.org/8": "block",
+    "http://example.com/ads/top/banner/9": "block",
+    "http://ads-track.example.net/en/10": "allow",  # a host rule decides
+    "http://org/fr/free-bets/": "allow",
+    "http://example.com/free-betsy/11": "allow",
+    "http://uploads-track.example.com/en/12": "allow",
+    "http://example.com/free/bets/13": "allow",
+    "http://example.com/ads/14": "allow",
+    "http://thtion.example.com/en/15": "allow",
+}
+
+
+def test_url_verdicts(spark):
+    pages = spark.createDataFrame(list(enumerate(VERDICTS)), "page_id bigint, url string")
+    assert {r["url"]: r["verdict"] for r in urlfilter.judge(pages).collect()} == VERDICTS
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, edges, name):
     d = tempfile.mkdtemp(prefix="tw-llm-none-")

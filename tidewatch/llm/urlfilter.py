@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: (host, path prefix, verdict).
 HOST_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Patterns over the lower-cased URL after "://".
-BLOCK_PATTERNS = ["^spam-farm^", "^cheap-pills^", "^adult-x^", "^casino^", "^xxx^", "^viagra^", "^free-download^*.exe^", "^login^*^redirect^", "^ads^*^banner^"]
+BLOCK_PATTERNS = ["^spam-farm^", "^cheap-pills^", "^adult-x^", "^casino^", "^xxx^", "^viagra^", "^free-download^*.exe^", "^login^*^redirect^", "^ads^*^banner^", "^free-bets^", "^ads-track^"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
