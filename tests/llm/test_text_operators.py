@@ -133,6 +133,23 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, untrained).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go(spark):
+    """Posteriors of long texts are near 1 whatever they hold; the fit tells."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    model = langid.train(docs.where(remainder("doc_id", 4) != 2))
+    planted = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 5,
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem " * 5,
+        "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα " * 5,
+        "# $ % & | < > ~ { } " * 30 + "a", "4397110767823743 " * 30 + "a"]
+    odd = spark.createDataFrame([(-1 - i, None, t) for i, t in enumerate(planted)], docs.schema)
+    assert langid.predict(odd, model).where("score < 0.9").count() == 0
+    short = [(-100, None, "der"), (-101, None, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From the that of and this with')]
+    kept = langid.drop_unidentified(docs.unionByName(odd).unionByName(spark.createDataFrame(short, docs.schema)), model)
+    want = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")} | {-100, -101}
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
 def test_language_grams_do_not_depend_on_chunks(monkeypatch):
     text = "".join(random.Random(1).choices("abcdé ", k=5000))
     whole = np.sort(np.concatenate(list(langid._grams(text))))

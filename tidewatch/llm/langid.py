@@ -7,7 +7,13 @@ BUCKETS x languages, is broadcast - its size does not depend on the corpus, and
 languages is checked. Scoring looks the n-grams of a batch of texts up in the matrix and sums the
 rows of each text in numpy.
 
-The score is the posterior probability of the predicted language. Defined results: a null text or
+The score is the posterior probability of the predicted language. It says which language is the
+likeliest, not that the text is in any of them, and comes near 1 after some dozen n-grams. Whether
+a text fits its language is told by its mean log probability per n-gram: the language's own n-grams
+reach ``mean`` on average, n-grams at random -log(BUCKETS), and a text fits if it is no further than
+``REACH`` of the way from the first to the second, with ``ERRORS`` standard errors of its mean
+allowed for its length. Words with digits (numbers, keys, addresses) are in no language: a text that
+does not fit also counts as fitting if it does without them and keeps ``REST`` of its n-grams. Defined results: a null text or
 one without a letter is ``und`` with score 0; rows without a label do not train; without any
 training row every text is ``und``; ties go to the language that sorts first.
 """
@@ -27,10 +33,12 @@ from tidewatch.llm.common import utf8_rows
 BUCKETS = 1 << 16
 ALPHA = 0.5
 MAX_LANGUAGES = 1000
+REACH, ERRORS, REST = 0.65, 2.0, 0.25
 UNKNOWN = "und"
 #: Characters that are looked up at a time.
 _CHUNK = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
+_WITH_DIGITS = re.compile(r"\S*\d\S*")
 _K1, _K2, _K3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -90,13 +98,23 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return langs, np.log(np.array([prior[x] / total for x in langs])) if langs else np.empty(0), log_p.astype(np.float32)
 
 
-def _score(model):
+def _expected(log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the log probability of an n-gram of each language."""
+    log_p = log_p.astype(np.float64)
+    p = np.exp(log_p)
+    mean = (p * log_p).sum(axis=0)
+    return mean, np.sqrt(np.maximum((p * log_p ** 2).sum(axis=0) - mean ** 2, 0.0))
+
+
+def _score(model, fit: bool = False):
+    """``fit``: also tells whether a text fits its language."""
     def run(batches):
         langs, prior, log_p = model.value
+        mean, spread = _expected(log_p) if fit and langs else (None, None)
         for batch in batches:
             n = batch.num_rows
             sums = np.zeros((n, len(langs)))
-            heard = np.zeros(n, bool)
+            heard, n_grams = np.zeros(n, bool), np.zeros(n, np.int64)
             held, sizes, rows = [], [], []
 
             def flush():
@@ -116,24 +134,39 @@ def _score(model):
                     if len(grams):
                         held.append(grams), sizes.append(len(grams)), rows.append(i)
                         size += len(grams)
+                        n_grams[i] += len(grams)
                     if size > _CHUNK:
                         flush()
                         size = 0
             flush()
-            pred, score = [UNKNOWN] * n, np.zeros(n)
+            pred, score, fits = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
             if langs:
-                sums += prior
+                likelihood = sums
+                sums = sums + prior
                 best = sums.argmax(axis=1)
+                if fit:
+                    some = np.maximum(n_grams, 1)
+                    floor = mean - REACH * (mean + np.log(BUCKETS))
+                    reached = likelihood[np.arange(n), best] / some
+                    fits = heard & ((n_grams == 0) | (reached >= floor[best] - ERRORS * spread[best] / np.sqrt(some)))
+                    again = np.flatnonzero(heard & ~fits)
+                    for i, data in zip(again.tolist(), utf8_rows(batch.column(1).take(pa.array(again, pa.int64())))):
+                        b, total, kept = best[i], 0.0, 0
+                        for grams in _grams(_WITH_DIGITS.sub("", _decode(data))):
+                            total += log_p[grams, b].sum(dtype=np.float64)
+                            kept += len(grams)
+                        fits[i] = kept >= REST * n_grams[i] and total >= (floor[b] - ERRORS * spread[b] / np.sqrt(kept)) * kept
                 post = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 pred = [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), heard.tolist())]
                 score = np.where(heard, post, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), *batch.columns[2:]],
-                                             names=["row", "lang_pred", "score", *batch.schema.names[2:]])
+            more = ([pa.array(fits)], ["fits"]) if fit else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), *more[0], *batch.columns[2:]],
+                                             names=["row", "lang_pred", "score", *more[1], *batch.schema.names[2:]])
     return run
 
 
 def predict(docs: DataFrame, model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(row, lang_pred, score[, text]) of every row; ``row`` is a struct of the columns of
+    """(row, lang_pred, score[, fits, text]) of every row; ``row`` is a struct of the columns of
     ``docs`` but the text."""
     rest = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("none")]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -142,13 +175,13 @@ def predict(docs: DataFrame, model, text_col: str = "text", keep_text: bool = Fa
     if not keep_text:
         score = _score(shared)
         return rows.mapInArrow(lambda it: score(it), f"row {kind}, lang_pred string, score double")
-    score = _score(shared)
+    score = _score(shared, fit=True)
     twice = rows.select("row", "text", F.col("text").alias("kept"))
-    return twice.mapInArrow(lambda it: score(it), f"row {kind}, lang_pred string, score double, kept string")
+    return twice.mapInArrow(lambda it: score(it), f"row {kind}, lang_pred string, score double, fits boolean, kept string")
 
 
 def drop_unidentified(docs: DataFrame, model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """``docs`` without texts that have no letter or whose best language scores below
-    ``min_score``."""
-    told = predict(docs, model, text_col, keep_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    """``docs`` without texts that have no letter, whose best language scores below ``min_score``
+    or that do not fit that language."""
+    told = predict(docs, model, text_col, keep_text=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & F.col("fits"))
     return told.select(*[F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
