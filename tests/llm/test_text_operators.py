@@ -1,5 +1,6 @@
 """Decontamination, token counts, language ID, language model, quality rules on small inputs."""
 
+import glob
 import math
 import random
 import zlib
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import brute
 from tidewatch.llm import decontaminate, hmm, langid, mixing, quality, wordpiece
 from tidewatch.llm.common import remainder
+from tidewatch.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +47,18 @@ def test_decontaminate_equals_brute_force(spark, shard):
     assert sorted(map(tuple, got), key=repr) == sorted(brute.decontaminate(docs, items), key=repr)
 
 
+def test_decontaminate_holds_one_shard_at_a_time(spark):
+    """However many shards the items have, the plan has one stage with an automaton, and one
+    scratch table stays."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    docs, items = contaminated_corpus()
+    before = set(glob.glob(f"{folder}/scratch-spans-*"))
+    hit = decontaminate.match_items(frame(spark, docs), items_frame(spark, items), shard_words=60)
+    assert hit._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert len(set(glob.glob(f"{folder}/scratch-spans-*")) - before) == 1
+    assert hit.count() == len(docs)
+
+
 def test_decontaminate_long_text_in_runs(spark, monkeypatch):
     docs, items = contaminated_corpus()
     automaton = decontaminate.Automaton([(str(i), decontaminate._item_words(t.encode())) for i, t in items if i is not None and t], 13)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import discard_at_exit, ensure_checkpoint_dir
+from tidewatch.session import discard, discard_at_exit, ensure_checkpoint_dir
 
 #: Words are runs of ``[^\x20\x09-\x0D]``: what bytes.split() gives.
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -26,13 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_table(df: DataFrame, tag: str) -> DataFrame:
+def scratch_table(df: DataFrame, tag: str, replaces: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back: cuts the
-    lineage with files that every executor sees. They go when the application ends."""
+    lineage with files that every executor sees. They go when the application ends; those of the
+    path in ``replaces`` go at once, and it is set to this table's path."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     discard_at_exit(spark, path)
+    if replaces is not None:
+        for old in replaces:
+            discard(spark, old)
+        replaces[:] = [path]
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,10 @@ items that hold the window.
 
 The items are the bounded side: they are dealt into shards of at most ``SHARD_WORDS`` words, each
 shard's automaton is built once per Python worker from broadcast words, and documents stream
-through the shards one after another, row by row, with no shuffle. Stretches of a document in
+through it row by row, with no shuffle. With several shards the documents pass them one after
+another, over a scratch table that replaces the one before, and a shard's broadcast goes before the
+next is made: however many words the items have, the driver and each worker hold one shard at a
+time. Stretches of a document in
 which some adjacent pair of words occurs in no item cannot hold a window across that pair; they
 are skipped with a vectorised look-up, and only the rest is read by the automaton.
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import utf8_rows, word_runs
+from tidewatch.llm.common import scratch_table, utf8_rows, word_runs
 
 WINDOW = 13
 #: A document is contaminated if hit words make up at least one part in so many.
@@ -228,10 +231,15 @@ def match_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
                       F.expr("CAST(array() AS array<string>)").alias("items"), F.struct(*rest).alias("row"))
     kind = out.schema["row"].dataType.simpleString()
     context = docs.sparkSession.sparkContext
+    shared, replaces = None, []
     for shard in _shards(items, item_col, item_text_col, shard_words):
+        if shared is not None:
+            out = scratch_table(out, "spans", replaces)
+            shared.destroy()
         key = hashlib.sha256(repr(shard).encode()).hexdigest()
+        shared = context.broadcast((key, shard))
         out = out.mapInArrow(
-            _scan(context.broadcast((key, shard)), window),
+            _scan(shared, window),
             f"text string, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>, row {kind}")
     return out
 

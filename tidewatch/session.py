@@ -51,6 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the checkpoint dir that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard_at_exit(spark: SparkSession, path: str) -> None:
     """Delete a folder that exists when the application ends: for tables written below the
     checkpoint dir that only this application reads."""
