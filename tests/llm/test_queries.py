@@ -11,7 +11,7 @@ from tidewatch.llm.oracles import ORACLES
 from tidewatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "pages", "conversations")
+TABLES = ("documents", "benchmark", "pages", "conversations", "labels")
 
 
 def compare(spark, sf, name):
@@ -55,7 +55,13 @@ def edges(spark):
     rows = [(i, k * (3 if i == 3 else 1), r, t, "extra") for i, turns in convs.items() for k, (r, t) in enumerate(turns)]
     rows += [(2, 0, "user", "hi", "extra"), (None, 0, "user", "hi", "extra"), (11, None, "user", "x", "extra")]
     rows += [(12, k, "user", f"turn {k}", "extra") for k in range(600)]
+    # conversations rebuilt from one another, turnless ones, a long one, equal ones, repeated rows
+    rows += [(40, k, "user", f"shared {k}", "extra") for k in range(21)] + [(40, None, "user", "null turn", "extra"), (40, None, None, "", "extra")]
+    rows += [(c, k, "user", f"own {k} of {c % 3}", "extra") for c in range(41, 60) for k in range(c % 7)] + [(61, 0, "user", "no base", "extra")] * 2
+    rows += [(62, k, "user", f"turn {k}", "extra") for k in range(30)] + [(40, 3, "user", "shared 3", "extra")]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part string").write.parquet(f"{d}/conversations.parquet")
+    labels = [(i, 1, int(i % 5 == 0), "extra") for i in range(40)] + [(None, 1, 1, "extra"), (4, None, None, "extra"), (4, 1, 1, "extra")]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, score string").write.parquet(f"{d}/labels.parquet")
     return d
 
 

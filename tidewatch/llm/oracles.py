@@ -123,6 +123,52 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(b) = 0 AS kept, array_to_string(b, ',') AS broken FROM j"""
 
 
+#: crc32 of the decimal digits of {0}, unsigned: eight steps a byte.
+_CRC32 = """(xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''),
+  lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295))"""
+
+_PREFIX_TRIE = rf"""
+WITH said AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(coalesce(role, '') || chr(10) || coalesce(text, '')), 1, 15)) AS p,
+    struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, list(s ORDER BY p) AS l, {_CRC32.format("conv_id")} % 4 AS h FROM said GROUP BY conv_id),
+built AS (SELECT c.conv_id, coalesce(b.l[1:c.h], []) || coalesce(c.l[c.h + 1:], []) AS l FROM conv c LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 20),
+pre AS (SELECT conv_id, d, l[1:d] AS k, len(l) = d AS whole FROM built, LATERAL (SELECT unnest(range(0, len(l) + 1)) AS d)),
+node AS (SELECT k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (whole) AS n_ends,
+    sha256(coalesce(string_agg(CASE WHEN whole THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM pre GROUP BY k, d),
+kid AS (SELECT k[1:depth - 1] AS k, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1, 2),
+own AS (SELECT node.k, node.depth, coalesce(n, 0) AS n_children, CASE WHEN node.depth = 0 THEN 0
+    ELSE (n_convs - 1) * len(regexp_extract_all(node.k[node.depth].t, '{_WORD}')) END AS saved FROM node LEFT JOIN kid ON kid.k = node.k AND kid.depth = node.depth),
+sub AS (SELECT u.k, u.depth, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM own u JOIN own v ON v.depth >= u.depth AND v.k[1:u.depth] = u.k GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, own.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256, n.n_ends
+FROM node n JOIN own ON own.k = n.k AND own.depth = n.depth JOIN sub ON sub.k = n.k AND sub.depth = n.depth
+LEFT JOIN node p ON p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1]"""
+
+
+_DIVERGENCE = rf"""
+WITH doc AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT i, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term FROM word GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+tot AS (SELECT lang, source, sum(n) AS n FROM cnt GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (CAST(coalesce(t.n, 0) AS HUGEINT) + v) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN tot t ON t.lang = g.lang AND t.source = g.source),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // (CAST(any_value(a) AS HUGEINT) + any_value(v)) AS q
+  FROM cnt JOIN (SELECT lang, sum(n) AS a FROM tot GROUP BY lang) USING (lang) JOIN sizes USING (lang) GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 4),
+told AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM told) WHERE part = 'pair' OR rank <= 200"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": _chat(),
     "op2_temperature_mix": _mix(),
@@ -130,4 +176,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": _urls(),
     "op9_substring_dedup": _SUBSTRING,
     "op10_quality_rules": _quality(),
+    "op11_prefix_trie": _PREFIX_TRIE,
+    "op13_source_divergence": _DIVERGENCE,
 }
