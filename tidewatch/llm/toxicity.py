@@ -215,6 +215,11 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
     return model
 
 
+def chance(odds: float) -> float:
+    """The probability of given log odds."""
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+
+
 def _score(shared):
     def run(batches):
         model = shared.value
@@ -227,7 +232,7 @@ def _score(shared):
                 n_words.append(len(words))
                 found.append(hits)
                 excepted.append(left)
-                scores.append(1 / (1 + math.exp(min(-(model.slope * weight + model.base), 700.0))))
+                scores.append(chance(model.slope * weight + model.base))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(scores, pa.float64()), pa.array(n_words, pa.int64()), pa.array(found, pa.int64()), pa.array(excepted, pa.int64())],
                 names=["row", "score", "n_words", "n_matches", "n_excepted"])
