@@ -4,8 +4,8 @@
    documents that hold the term, and its count in each source. When they grow past ``HOLD`` entries
    they are spilled as rows, so memory is bounded and a frequent term is one row a spill, not one an
    occurrence.
-2. Stripes are ranged by language and term and merged as a sorted stream; terms in at least
-   ``MIN_DOCS`` documents of their language are kept.
+2. Stripes meet by language and term and are merged; terms in at least ``MIN_DOCS`` documents of
+   their language are kept.
 3. Totals follow from the kept stripes. Each merged stripe then emits its divergences directly: its
    share of every pair of sources of the language, added up in the task over tiles of ``TILE``
    x ``TILE`` sources, and the terms that a source uses more than its language does.
@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,40 +40,41 @@ from tidewatch.llm.common import scratch_table, utf8_rows, word_runs
 MIN_DOCS, TOP = 3, 200
 #: Stripe entries that a task holds before it spills them; terms of one step; sources a side of a
 #: tile, and tiles that a task holds; groups whose totals may be broadcast (beyond: a join).
-HOLD, STEP, TILE, HOLD_TILES, BROADCAST = 400_000, 2048, 64, 256, 100_000
+HOLD, STEP, TILE, HOLD_TILES, BROADCAST = 600_000, 2048, 64, 256, 100_000
 SCALE = 10 ** 9
 
 #: Terms are runs of ASCII letters, lower-cased, and of bytes beyond ASCII; all else separates.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_CELLS = "sources array<struct<source: string, n: bigint>>"
-_STRIPE = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()),
-                     ("sources", pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())])))])
+_STRIPE = ["lang", "term", "docs", "sources"]
 
 
 def _fold(batches):
-    docs: dict[str, Counter] = {}                 # language -> term -> documents
-    counts: dict[tuple[str, str], Counter] = {}   # (language, source) -> term -> occurrences
+    docs: dict[str, Counter] = {}                # language -> term -> documents
+    counts: dict[str, dict[str, Counter]] = {}   # language -> source -> term -> occurrences
     held = 0
 
     def out():
-        stripes: dict[tuple[str, bytes], list] = {}
-        for (lang, source), counter in counts.items():
-            for term, n in counter.items():
-                stripes.setdefault((lang, term), []).append({"source": source, "n": n})
-        keys = list(stripes)
-        for at in range(0, len(keys), 10_000):
-            part = keys[at:at + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in part], pa.string()), pa.array([k[1].decode() for k in part], pa.string()),
-                 pa.array([docs[lang][term] for lang, term in part], pa.int64()), pa.array([stripes[k] for k in part], _STRIPE.field("sources").type)],
-                schema=_STRIPE)
+        for lang, of in docs.items():
+            terms, place = list(of), {term: i for i, term in enumerate(of)}
+            names, found = list(counts[lang]), list(counts[lang].values())
+            row = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64)
+            n = np.fromiter(chain.from_iterable(c.values() for c in found), np.int64)
+            source = np.repeat(np.arange(len(names)), [len(c) for c in found])
+            order = np.argsort(row, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(terms)))))
+            cells = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(source[order])), pa.array(n[order])], ["source", "n"])
+            stripes = pa.RecordBatch.from_arrays(
+                [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(terms), np.int64))), pa.array(terms, pa.binary()).cast(pa.string()),
+                 pa.array(of.values(), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), cells)], names=_STRIPE)
+            for at in range(0, len(terms), 20_000):
+                yield stripes.slice(at, 20_000)
         docs.clear()
         counts.clear()
 
     for batch in batches:
         for lang, source, data in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), utf8_rows(batch.column("text"))):
-            counter, seen = counts.setdefault((lang, source), Counter()), set()
+            counter, seen = counts.setdefault(lang, {}).setdefault(source, Counter()), set()
             before = len(counter)
             for terms in word_runs((data or b"").translate(_LETTERS)):
                 counter.update(terms)
@@ -85,37 +87,15 @@ def _fold(batches):
     yield from out()
 
 
-def _merge(batches):
-    """Neighbouring rows of one language and term become one stripe; rare terms go."""
-    key, total, sources, ready = None, 0, Counter(), []
-
-    def done():
-        if key is not None and total >= MIN_DOCS:
-            ready.append({"lang": key[0], "term": key[1], "docs": total, "sources": [{"source": s, "n": n} for s, n in sources.items()]})
-
-    for batch in batches:
-        for lang, term, n, cells in zip(*(batch.column(c).to_pylist() for c in _STRIPE.names)):
-            if (lang, term) != key:
-                done()
-                key, total = (lang, term), 0
-                sources.clear()
-            total += n
-            for cell in cells:
-                sources[cell["source"]] += cell["n"]
-        if len(ready) > STEP:
-            yield pa.RecordBatch.from_pylist(ready, _STRIPE)
-            ready.clear()
-    done()
-    if ready:
-        yield pa.RecordBatch.from_pylist(ready, _STRIPE)
-
-
 def stripes(docs: DataFrame) -> DataFrame:
-    """(lang, term, docs, sources): the merged stripes of the terms to keep, in a scratch table."""
+    """(lang, term, sources): the merged stripes of the terms to keep, in a scratch table. Stripes
+    meet by language and term once; there those of rare terms go before the others' sources are
+    added up, so a merged stripe holds each source of its language once at most."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    schema = f"lang string, term string, docs bigint, {_CELLS}"
-    folded = texts.mapInArrow(_fold, schema)
-    return scratch_table(folded.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge, schema), "stripes")
+    folded = texts.mapInArrow(_fold, "lang string, term string, docs bigint, sources array<struct<source: string, n: bigint>>")
+    frequent = folded.withColumn("all_docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(f"all_docs >= {MIN_DOCS}")
+    cells = frequent.select("lang", "term", F.inline("sources")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    return scratch_table(cells.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("sources")), "stripes")
 
 
 def scaled(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -249,7 +229,6 @@ def audit(docs: DataFrame) -> DataFrame:
     emitted = scratch_table(_emitted(kept, scratch_table(sizes, "sizes")), "emitted")
     pairs = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source <> item").join(
         emitted.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), ["lang", "source", "item"], "left")
-    told = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value")).unionByName(
-        emitted.where("part = 'term'"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return told.withColumn("rank", rank).where(f"part = 'pair' OR rank <= {TOP}")
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("bigint")).alias("value")).withColumn("rank", rank)
+    return pairs.unionByName(emitted.where("part = 'term'").withColumn("rank", rank).where(f"rank <= {TOP}"))
