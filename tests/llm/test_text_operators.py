@@ -174,7 +174,7 @@ def test_language_grams_do_not_depend_on_chunks(monkeypatch):
 
 def brute_forward(classes, model):
     """Sum over all paths, by the plain recursion in log space."""
-    a = np.log(model.starts[0]) + np.log(model.emits[classes[0]])
+    a = np.log(model.starts) + np.log(model.emits[classes[0]])
     for c in classes[1:]:
         a = np.logaddexp.reduce(a[:, None] + np.log(model.moves), axis=0) + np.log(model.emits[c])
     return float(np.logaddexp.reduce(a)) / math.log(10)
@@ -188,10 +188,11 @@ def test_hmm_equals_plain_recursion(spark, monkeypatch):
     docs = docs.unionByName(extra)
     texts = docs.where(remainder("doc_id", 7) != 2).select(F.coalesce("text", F.lit("")).alias("text"))
     lex, tail = hmm.lexicon(texts)
-    model, likelihoods = hmm.train(texts, lex, states=4, rounds=3)
+    encoded = hmm.encode(docs, lex)
+    model, likelihoods = hmm.train(encoded.where(remainder("row.doc_id", 7) != 2), lex, states=4, rounds=3)
     assert likelihoods == sorted(likelihoods)
     assert np.allclose(model.emits.sum(axis=0), 1) and np.allclose(model.moves.sum(axis=1), 1)
-    got = hmm.score(docs, lex, tail, model).collect()
+    got = hmm.score(encoded, lex, tail, model).collect()
     rows = docs.collect()
     assert len(got) == len(rows)
     counts = {}
@@ -222,22 +223,47 @@ def test_hmm_equals_plain_recursion(spark, monkeypatch):
         assert r["score"] == pytest.approx(brute_forward([*classes, lex.classes - 1], model) + within, abs=1e-6)
 
 
-def test_hmm_expected_counts_sum_to_tokens():
+def plain_expected_counts(text, model):
+    """Unscaled Baum-Welch counts of one text, and its likelihood."""
+    k, n = len(model.starts), len(text)
+    alpha, beta = np.zeros((n, k)), np.ones((n, k))
+    for t in range(n):
+        alpha[t] = (model.starts if t == 0 else alpha[t - 1] @ model.moves) * model.emits[text[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = model.moves @ (model.emits[text[t + 1]] * beta[t + 1])
+    chance = alpha[-1].sum()
+    emits, moves = np.zeros(model.emits.shape), np.zeros((k, k))
+    for t in range(n):
+        emits[text[t]] += alpha[t] * beta[t] / chance
+        if t:
+            moves += np.outer(alpha[t - 1], model.emits[text[t]] * beta[t]) * model.moves / chance
+    return emits, moves, alpha[0] * beta[0] / chance, chance
+
+
+@pytest.mark.parametrize("piece", [1000, 3, 1])
+def test_hmm_expected_counts_equal_plain_version(monkeypatch, piece):
+    monkeypatch.setattr(hmm, "PIECE", piece)
     rng = np.random.default_rng(1)
     k, c = 3, 11
-    model = hmm.Model(np.full((2, k), 1 / k), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k).T)
-    segments = [(rng.integers(0, c, n), int(n % 2)) for n in (1, 5, 9, 2, 9)]
-    emits, moves, starts = np.zeros((c, k)), np.zeros((k, k)), np.zeros((2, k))
-    likelihood = hmm.expected_counts(segments, model, emits, moves, starts)
-    assert emits.sum() == pytest.approx(26) and moves.sum() == pytest.approx(21) and starts.sum() == pytest.approx(5)
-    assert likelihood == pytest.approx(sum(brute_forward(s, model) for s, _ in segments) * math.log(10))
+    model = hmm.Model(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(c), k).T)
+    texts = [rng.integers(0, c, n).astype(np.uint16) for n in (1, 5, 9, 2, 9, 40)]
+    emits, moves, starts = np.zeros((c, k)), np.zeros((k, k)), np.zeros(k)
+    if piece == 1000:
+        likelihood = hmm.expected_counts(texts, model, emits, moves, starts)[0]
+    else:
+        likelihood = sum(hmm.expected_of_long(x, model, emits, moves, starts) for x in texts)
+    plain = [plain_expected_counts(x, model) for x in texts]
+    for got, n in ((emits, 0), (moves, 1), (starts, 2)):
+        assert np.allclose(got, sum(p[n] for p in plain))
+    assert likelihood == pytest.approx(sum(math.log(p[3]) for p in plain))
 
 
 def test_hmm_without_training_texts(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     lex, tail = hmm.lexicon(docs.where("false").select("text"))
-    model, _ = hmm.train(docs.where("false").select("text"), lex, rounds=1)
-    got = hmm.score(docs.select("doc_id", "text"), lex, tail, model).collect()
+    encoded = hmm.encode(docs.select("doc_id", "text"), lex)
+    model, _ = hmm.train(encoded.where("false"), lex, rounds=1)
+    got = hmm.score(encoded, lex, tail, model).collect()
     assert all(math.isfinite(r["score"]) and r["base_score"] == 0 and r["n_known"] == 0 for r in got)
 
 

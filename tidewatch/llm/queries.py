@@ -46,8 +46,9 @@ def op6_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     texts = docs.where(remainder("doc_id", 7) != 2).select(F.coalesce("text", F.lit("")).alias("text"))
     lex, tail_counts = hmm.lexicon(texts)
-    model, _ = hmm.train(texts, lex)
-    told = hmm.score(docs, lex, tail_counts, model)
+    encoded = hmm.encode(docs, lex)
+    model, _ = hmm.train(encoded.where(remainder("row.doc_id", 7) != 2), lex)
+    told = hmm.score(encoded, lex, tail_counts, model)
     return told.select(
         F.col("row.doc_id").alias("doc_id"), F.coalesce(remainder("row.doc_id", 7) == 2, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", F.lit(lex.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
