@@ -69,3 +69,24 @@ def test_a_hot_company_does_not_enumerate_signature_pairs(spark):
     assert "CartesianProduct" not in text
     sp = J.score_signature_pairs(df, df, 0.999)
     assert sp.where("q_title = c_title AND q_loc = c_loc").count() == 10000
+
+
+def test_best_first_search_scores_few_pairs_at_low_bounds(spark, monkeypatch):
+    """Signatures with a match at the threshold are not looked at again; the bound only falls for the
+    others."""
+    seen, plain = [], J.score_signature_pairs
+
+    def counted(queries, candidates, threshold, block="company_id"):
+        seen.append((threshold, queries.select("company_id", "title_sorted", "location_norm").distinct().count()))
+        return plain(queries, candidates, threshold, block)
+
+    monkeypatch.setattr(J, "score_signature_pairs", counted)
+    rows = [(i, f"platform engineer team {i:03d}", "remote") for i in range(60)] + [(100, "chef", "rome"), (101, "platform engineer", "oslo")]
+    q = with_signature(spark.createDataFrame(rows, "batch_seq bigint, title string, location string").withColumn("company_id", F.lit("acme")))
+    c = with_signature(spark.createDataFrame([(f"k{i}", i, f"platform engineer team {i:03d}", "remote") for i in range(60)],
+                                             "id string, entity_seq bigint, title string, location string").withColumn("company_id", F.lit("acme")))
+    got = {r.batch_seq: r for r in J.find_best_match(q, c, 0.9, with_best_score=True).collect()}
+    assert got[5].match_key == "k5" and got[5].best_score == 1.0
+    assert got[100].match_key is None and 0 < got[100].best_score < 0.6
+    assert seen[0] == (0.9, 62) and [t for t, _ in seen] == sorted((t for t, _ in seen), reverse=True)
+    assert all(n <= 2 for _, n in seen[1:])

@@ -38,3 +38,28 @@ def test_failed_companies_count_once(spark):
     f = spark.createDataFrame([("b",), ("c",), ("c",)], "company_id string")
     assert tuple(M.run_totals(s, f).first()) == (3, 1, 2, 5, 4)
     assert tuple(M.run_totals(s).first()) == (2, 2, 0, 5, 4)
+
+
+def test_hot_entity_gaps_and_sessions_by_buckets(spark):
+    """One entity holds most of the log: buckets of any length give the plain result, and no window
+    partition of the gap scan holds more than a bucket."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(4)
+    begin = datetime(2024, 1, 1)
+    rows = [(1 if rng.random() < 0.8 else rng.randint(2, 6), begin + timedelta(hours=rng.choice([rng.randint(0, 2000), rng.randint(0, 40) * 72])), k) for k in range(900)]
+    rows += [(None, begin, 9001), (None, begin + timedelta(days=30), 9002), (1, rows[0][1], 9003)]
+    log = spark.createDataFrame(rows, "entity_id bigint, ts timestamp_ntz, event_id bigint")
+    gaps, sessions, by = {}, [], {}
+    for e, t, k in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2])):
+        before = by.get(e)
+        gaps[k] = None if before is None else (t - before).total_seconds()
+        if before is None or t > before + timedelta(days=3):
+            sessions.append([e, t, t, 0])
+        last = sessions[-1]
+        last[2], last[3], by[e] = t + timedelta(days=3), last[3] + 1, t
+    for bucket in ("7 days", "1 day", "400 days"):
+        assert {r.event_id: r.gap_seconds for r in M.gap_since_previous(log, bucket=bucket).collect()} == gaps
+        got = sorted(map(list, M.presence_sessions(log, "3 days", bucket=bucket).collect()), key=repr)
+        assert got == sorted(sessions, key=repr)

@@ -40,6 +40,17 @@ def test_lcs_matches_dp():
         assert S.lcs_length(a, b) == _lcs_dp(a, b)
 
 
+def test_lanes_match_big_int_words(monkeypatch):
+    rng = random.Random(9)
+    for masks in (1 << 21, 50):  # one table, many small ones
+        monkeypatch.setattr(S, "_MASKS", masks)
+        sizes = lambda: rng.choice([0, 1, 5, 63, 64, 65, 130])
+        left = ["".join(rng.choices("abcd é𝒳", k=sizes())) for _ in range(300)]
+        right = ["".join(rng.choices("abcd é𝒳z", k=sizes())) for _ in range(300)]
+        assert S.lcs_lengths(left, right).tolist() == [S.lcs_length(a, b) for a, b in zip(left, right)]
+    assert S.lcs_lengths([], []).tolist() == [] and S.lcs_lengths(["", "x" * 64], ["a", "x" * 64]).tolist() == [0, 64]
+
+
 @pytest.mark.parametrize("a,b,score", GOLDENS)
 def test_python_goldens(a, b, score):
     assert round(S.similarity(a, b), 4) == score

@@ -52,7 +52,9 @@ def test_archive_old(spark):
     e = I.customer_jobs(spark, SF)
     now = datetime(2024, 2, 1)
     remaining = ST.archive_old(e, root, now, retention_days=30)
-    archived = spark.read.parquet(f"{root}/archive")
+    assert ST.archive_old(e, root, now, retention_days=30).count() == remaining.count()  # a retry
+    archived = ST.read_archive(spark, root)
+    assert spark.read.parquet(f"{root}/archive").count() == archived.count()
     expect = e.where((F.col("status") == "closed") & (F.col("last_seen") < F.lit("2024-01-02").cast("timestamp_ntz"))).count()
     assert archived.count() == expect
     assert remaining.count() == e.count() - expect
@@ -93,3 +95,12 @@ def test_read_json_collections(spark):
     assert [(r.id, r.violations) for r in bad.collect()] == [("2", ["status is not one of the allowed values"])]
     docs = {os.path.basename(r.collection): (r.readable, r.version_ok, r.jobs) for r in about.collect()}
     assert docs == {"a.json": (True, True, 4), "b.json": (True, False, 1), "c.json": (True, True, 0), "d.json": (False, False, 0)}
+
+
+def test_list_snapshots_shows_committed_versions_only(spark):
+    root = tempfile.mkdtemp(prefix="tw-state-")
+    assert ST.list_snapshots(spark, root).count() == 0
+    e = I.customer_jobs(spark, SF).limit(20)
+    ST.write_state(e, root, datetime(2024, 1, 1))
+    spark.read.parquet(f"{root}/entities/snapshot_ts=20240101-000000-000000").write.parquet(f"{root}/entities/snapshot_ts=20240102-000000-000000")
+    assert [(r.snapshot_ts, r.job_count) for r in ST.list_snapshots(spark, root).collect()] == [("20240101-000000-000000", 20)]

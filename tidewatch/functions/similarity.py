@@ -6,7 +6,8 @@ The score is component-wise: ``(0.10*ratio(company) + 0.60*token_sort_ratio(titl
 
 Split of work:
 * the LCS length is the only part Spark has no built-in for; it runs in an Arrow-batched
-  pandas UDF (bit-parallel LCS, one big-int word per string, de-duplicated per batch);
+  pandas UDF (bit-parallel LCS over numpy uint64 lanes, one pair a lane and one character of every
+  pair a step; strings beyond 64 characters on both sides take one big-int word each);
 * everything around it (token sorting, the ratio formula, weights, threshold, the
   lossless length bound) is native column arithmetic, evaluated in the same operation order
   as the reference formula so the inclusive threshold cut is bit-identical.
@@ -14,6 +15,7 @@ Split of work:
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +107,48 @@ def similarity(sig1: str, sig2: str) -> float:
     return combined / 100.0
 
 
+_LANE = 64
+#: Entries (strings x characters) of one mask table: 16 MB.
+_MASKS = 1 << 21
+
+
+def lcs_lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """LCS length of each pair. The shorter string of a pair, up to 64 characters, is a uint64 lane
+    whose bits are its positions; the others are read character by character for all lanes at once,
+    so a step is a handful of array operations however many pairs there are."""
+    out = np.zeros(len(left), np.int64)
+    pairs = [(b, a) if len(a) > len(b) else (a, b) for a, b in zip(left, right)]  # short one first
+    lanes = [i for i, (a, b) in enumerate(pairs) if 0 < len(a) <= _LANE]
+    for i, (a, b) in enumerate(pairs):
+        if len(a) > _LANE:
+            out[i] = lcs_length(a, b)
+    lanes.sort(key=lambda i: -len(pairs[i][1]))
+    alphabet = {c: k for k, c in enumerate(dict.fromkeys("".join(a for a, _ in (pairs[i] for i in lanes))), 1)}
+    step = max(1, _MASKS // (len(alphabet) + 1))
+    for at in range(0, len(lanes), step):
+        some = lanes[at:at + step]
+        out[some] = _lane_lcs([pairs[i] for i in some], alphabet)
+    return out
+
+
+def _lane_lcs(pairs: list[tuple[str, str]], alphabet: dict[str, int]) -> np.ndarray:
+    """LCS lengths of (up to 64 characters, any length), longest second string first."""
+    codes = lambda text: np.fromiter((alphabet.get(c, 0) for c in text), np.int64, len(text))
+    short, long = np.array([len(a) for a, _ in pairs]), np.array([len(b) for _, b in pairs])
+    lane = np.repeat(np.arange(len(pairs)), short)
+    bit = (np.arange(len(lane)) - np.repeat(np.cumsum(short) - short, short)).astype(np.uint64)
+    masks = np.zeros((len(pairs), len(alphabet) + 1), np.uint64)
+    np.bitwise_or.at(masks, (lane, codes("".join(a for a, _ in pairs))), np.uint64(1) << bit)
+    flat, begin = codes("".join(b for _, b in pairs)), np.cumsum(long) - long
+    full = np.where(short == _LANE, ~np.uint64(0), (np.uint64(1) << (short % _LANE).astype(np.uint64)) - np.uint64(1))
+    v = full.copy()
+    for t in range(int(long[0])):
+        m = int(np.searchsorted(-long, -t))  # second strings longer than t
+        u = v[:m] & masks[np.arange(m), flat[begin[:m] + t]]
+        v[:m] = ((v[:m] + u) | (v[:m] - u)) & full[:m]
+    return short - np.bitwise_count(v)
+
+
 # ---------------------------------------------------------------------------
 # Spark side.
 # ---------------------------------------------------------------------------
@@ -115,8 +159,7 @@ def lcs_len_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """Arrow-batched LCS length; identical pairs inside one batch are computed once."""
     frame = pd.DataFrame({"a": a.fillna(""), "b": b.fillna("")})
     uniq = frame.drop_duplicates()
-    values = [lcs_length(x, y) for x, y in zip(uniq["a"], uniq["b"])]
-    uniq = uniq.assign(v=values)
+    uniq = uniq.assign(v=lcs_lengths(uniq["a"].tolist(), uniq["b"].tolist()))
     return frame.merge(uniq, on=["a", "b"], how="left")["v"].astype("int64")
 
 

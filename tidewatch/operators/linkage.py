@@ -18,6 +18,8 @@ are scored by token sets (M3) over whole signatures.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,6 +28,8 @@ from tidewatch.functions import similarity as S
 from tidewatch.session import ensure_checkpoint_dir
 
 PAIRS_PER_TILE = 250_000
+#: Bounds of the rounds of a best-first search below the threshold, before the last one at 0.
+FALLING_BOUNDS = (0.8, 0.65)
 
 
 def salted_block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column,
@@ -141,11 +145,30 @@ def find_best_match(queries: DataFrame, candidates: DataFrame, threshold: float
     Candidate filtering (window, status) is the caller's ``where`` on ``candidates``.
 
     ``with_best_score`` adds ``best_score``, the highest score even if it is below the threshold (0
-    without candidates); no bound can prune there, so all titles of a company are scored."""
+    without candidates). It is searched best first: a round at the threshold, then rounds at falling
+    bounds for the signatures that have no score yet, so the lowest, which prune little, see few."""
     cand = _cut(_earliest_per_signature(candidates, cand_key, cand_seq))
-    sp = score_signature_pairs(queries, cand, 0.0 if with_best_score else threshold)
-    best = (
-        sp.join(
+    t = S.check_threshold(threshold)
+    best = _best_of(score_signature_pairs(queries, cand, t), cand)
+    if not with_best_score:
+        return queries.join(best, ["company_id", "title_sorted", "location_norm"], "left")
+    signature = ["company_id", "title_sorted", "location_norm"]
+    left, found = _cut(queries.select(*signature).distinct()), []
+    for bound in [t, *(b for b in FALLING_BOUNDS if b < t), *([0.0] if t > 0 else [])]:
+        found.append(_cut(best if bound == t else _best_of(score_signature_pairs(left, cand, bound), cand)))
+        left = _cut(left.join(found[-1], signature, "left_anti"))
+        if left.isEmpty():
+            break
+    told = queries.join(reduce(DataFrame.unionByName, found), signature, "left")
+    hit = F.col("match_score") >= F.lit(t)
+    return told.withColumn("best_score", F.coalesce("match_score", F.lit(0.0))).withColumns(
+        {"match_key": F.when(hit, F.col("match_key")), "match_score": F.when(hit, F.col("match_score"))})
+
+
+def _best_of(scored: DataFrame, cand: DataFrame) -> DataFrame:
+    """The best candidate of each query signature: highest score, then earliest."""
+    return (
+        scored.join(
             cand.withColumnRenamed("title_sorted", "c_title").withColumnRenamed("location_norm", "c_loc"),
             ["company_id", "c_title", "c_loc"],
         )
@@ -159,12 +182,6 @@ def find_best_match(queries: DataFrame, candidates: DataFrame, threshold: float
             F.col("m.score").alias("match_score"),
         )
     )
-    found = queries.join(best, ["company_id", "title_sorted", "location_norm"], "left")
-    if not with_best_score:
-        return found
-    hit = F.col("match_score") >= F.lit(S.check_threshold(threshold))
-    return found.withColumn("best_score", F.coalesce("match_score", F.lit(0.0))).withColumns(
-        {"match_key": F.when(hit, F.col("match_key")), "match_score": F.when(hit, F.col("match_score"))})
 
 
 def find_all_matches(queries: DataFrame, candidates: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,

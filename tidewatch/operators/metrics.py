@@ -62,20 +62,43 @@ def observation_stats(log: DataFrame, entity: str = "entity_id", ts: str = "ts")
     )
 
 
-def gap_since_previous(log: DataFrame, entity: str = "entity_id", ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
-    """Seconds since the entity's previous observation (NULL for the first)."""
-    w = Window.partitionBy(entity).orderBy(ts, tiebreak)
-    return log.withColumn("_prev", F.lag(ts).over(w)).select(
-        entity, ts, tiebreak,
-        (F.expr(f"timestampdiff(MICROSECOND, _prev, {ts})") / F.lit(1000000.0)).alias("gap_seconds"))
-
-
-def presence_sessions(log: DataFrame, gap: str = "3 days", entity: str = "entity_id", ts: str = "ts") -> DataFrame:
-    """R4 (batch): presence sessions per entity, a new session after a silence longer than
-    ``gap`` (``session_window``; the same expression works on a stream)."""
-    return log.groupBy(entity, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("observations")).select(
-        entity, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "observations"
-    )
+#: Length of a time bucket in which an entity's observations are ordered together.
+BUCKET = "7 days"
+
+
+def _bucketed(log: DataFrame, ts: str, bucket: str) -> DataFrame:
+    return log.withColumn("_bucket", F.window(F.col(ts).cast("timestamp"), bucket)["start"])
+
+
+def gap_since_previous(log: DataFrame, entity: str = "entity_id", ts: str = "ts", tiebreak: str = "event_id", bucket: str = BUCKET) -> DataFrame:
+    """Seconds since the entity's previous observation (NULL for the first). A segmented scan:
+    lag inside (entity, time bucket), and the first observation of a bucket takes the last of the
+    entity's bucket before, so no task orders more than a bucket of one entity."""
+    rows = _bucketed(log, ts, bucket).select(entity, ts, tiebreak, "_bucket")
+    w = Window.partitionBy(entity, "_bucket").orderBy(ts, tiebreak)
+    inside = rows.withColumn("_prev", F.lag(ts).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = rows.groupBy(entity, "_bucket").agg(F.max(ts).alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(entity).orderBy("_bucket"))).drop("_last")
+    # null-safe: an observation without entity or time has a bucket of its own kind
+    same = F.col("i._bucket").eqNullSafe(F.col("b._bucket")) & F.col(f"i.{entity}").eqNullSafe(F.col(f"b.{entity}"))
+    told = inside.alias("i").join(before.alias("b"), same, "left").select(
+        F.col(f"i.{entity}").alias(entity), F.col(f"i.{ts}").alias(ts), F.col(f"i.{tiebreak}").alias(tiebreak),
+        F.when(F.col("i._first"), F.col("b._before")).otherwise(F.col("i._prev")).alias("_prev"))
+    return told.select(entity, ts, tiebreak, (F.expr(f"timestampdiff(MICROSECOND, _prev, {ts})") / F.lit(1000000.0)).alias("gap_seconds"))
+
+
+def presence_sessions(log: DataFrame, gap: str = "3 days", entity: str = "entity_id", ts: str = "ts", bucket: str = BUCKET) -> DataFrame:
+    """R4 (batch): presence sessions per entity, a new session after a silence longer than ``gap``,
+    as ``session_window`` cuts them on a stream. Sessions are made inside time buckets first; then
+    those of neighbouring buckets that touch are joined, a few rows for each bucket of an entity."""
+    parts = _bucketed(log, ts, bucket).groupBy(entity, "_bucket", F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select(
+        entity, F.col("s.start").alias("_start"), F.col("s.end").alias("_end"), "n")
+    w = Window.partitionBy(entity).orderBy("_start", "_end")
+    reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce((F.col("_start") > reach).cast("int"), F.lit(1))
+    numbered = parts.withColumn("_apart", apart).withColumn("_session", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(entity, "_session").agg(
+        F.min("_start").alias("session_start"), F.max("_end").alias("session_end"), F.sum("n").alias("observations")).drop("_session")
 
 
 def run_window_counts(log: DataFrame, key: str, every: str = "6 hours", ts: str = "ts") -> DataFrame:

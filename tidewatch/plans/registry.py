@@ -175,9 +175,9 @@ def observations(spark, sf):
 
 @query("t7_applications_survive_the_cycle")
 def t7(spark, sf):
-    """Applications to every second known record, with the record's state after the cycle: ids are
-    kept through missing, closed and reopened."""
-    apps = I.entities0(spark, sf).where(F.pmod("entity_seq", F.lit(2)) == 0).select(F.col("id").alias("job_id"), F.col("status").alias("status_before"))
+    """Applications to all known records, with the record's state after the cycle: ids are kept
+    through missing, closed and reopened."""
+    apps = I.entities0(spark, sf).select(F.col("id").alias("job_id"), F.col("status").alias("status_before"))
     after = _cycle(spark, sf).entities.select(F.col("id").alias("job_id"), F.col("status").alias("status_after"))
     return apps.join(after, "job_id", "left")
 
@@ -540,12 +540,25 @@ def s13(spark, sf):
 
 @query("s13_list_versions")
 def s13_versions(spark, sf):
-    """Three committed versions of the known set, as ``list_snapshots`` shows them."""
+    """Committed versions as ``list_snapshots`` shows them: the known set, then what archiving the
+    closed records that were last seen over 30 days before leaves of it, and an uncommitted version
+    that is not listed."""
     root, _ = _stream_dirs(spark, "s13")
     known = I.entities0(spark, sf)
-    for k in range(3):
-        ST.write_state(known.where(F.pmod("entity_seq", F.lit(3 * (k + 1))) == 0), root, datetime(2024, 1, 1 + k))
-    return ST.list_snapshots(spark, root).select(F.col("snapshot_ts").cast("string").alias("snapshot_ts"), "job_count", "version")
+    ST.write_state(known, root, datetime(2024, 1, 1))
+    left = ST.archive_old(known, root, NOW, retention_days=30)
+    name = ST.write_state(left, root, datetime(2024, 1, 2))
+    spark.read.parquet(f"{root}/entities/snapshot_ts={name}").write.mode("overwrite").parquet(f"{root}/entities/snapshot_ts=20240103-000000-000000")
+    return ST.list_snapshots(spark, root).select("snapshot_ts", "job_count", "version")
+
+
+@query("s17_archive_twice")
+def s17_twice(spark, sf):
+    """The archive after the same run has written it twice: each row once."""
+    root, _ = _stream_dirs(spark, "s17")
+    for _ in range(2):
+        ST.archive_old(I.customer_jobs(spark, sf), root, NOW, retention_days=30)
+    return ST.read_archive(spark, root).select("id", "company_id", "signature", "last_seen", F.col("archive_month").cast("string").alias("archive_month"))
 
 
 def _add_archived(df):

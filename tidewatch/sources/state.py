@@ -14,6 +14,7 @@ write leaves the previous version current.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -124,9 +125,13 @@ def write_collection(entities: DataFrame, path: str, generated_at: str) -> None:
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Name, job_count, size in bytes, version; newest first. Sizes come from file metadata;
-    the counts read the version column of each file."""
-    df = spark.read.parquet(f"{root}/entities")
+    """Name, job_count, size in bytes, version of the committed versions; newest first. Only
+    their folders are read; sizes come from file metadata, the counts read the version column."""
+    names = committed(spark, root)
+    if not names:
+        return spark.createDataFrame([], "snapshot_ts string, job_count bigint, version string, size_bytes bigint")
+    df = spark.read.option("basePath", f"{root}/entities").parquet(*[f"{root}/entities/snapshot_ts={n}" for n in names]).withColumn(
+        "snapshot_ts", F.col("snapshot_ts").cast("string"))
     files = df.select("snapshot_ts", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("sz"))
     sizes = files.distinct().groupBy("snapshot_ts").agg(F.sum("sz").alias("size_bytes"))
     counts = df.groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("job_count"), F.max("schema_version").alias("version"))
@@ -199,14 +204,23 @@ def archive_split(entities: DataFrame, now, retention_days: int = DEFAULT_RETENT
     return archived, tagged.where(~F.col("_arch")).drop("_arch")
 
 
-def archive_old(entities: DataFrame, root: str, now, retention_days: int = DEFAULT_RETENTION_DAYS) -> DataFrame:
-    """Append the archive rows to ``archive/archive_month=YYYY-MM`` and return the
-    remaining state (to be written as the next version)."""
+def archive_old(entities: DataFrame, root: str, now, retention_days: int = DEFAULT_RETENTION_DAYS, run: str | None = None) -> DataFrame:
+    """Write the archive rows to ``archive/run=<run>/archive_month=YYYY-MM`` and return the
+    remaining state (to be written as the next version). The run (by default the clock) has a folder
+    of its own, so a repeated call writes the same rows over again."""
     archived, remaining = archive_split(entities, now, retention_days)
-    archived.write.mode("append").partitionBy("archive_month").parquet(f"{root}/archive")
+    run = run or re.sub("[^0-9]", "", str(now))
+    archived.write.mode("overwrite").partitionBy("archive_month").parquet(f"{root}/archive/run={run}")
     return remaining
 
 
+def read_archive(spark: SparkSession, root: str) -> DataFrame:
+    """The archive rows of all runs, each id once: the run that archived it last."""
+    rows = spark.read.parquet(f"{root}/archive")
+    w = Window.partitionBy("id").orderBy(F.col("archived_at").desc(), F.col("run").cast("string").desc())
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "run")
+
+
 # Schema migrations, a registry of DataFrame -> DataFrame functions keyed (from, to).
 MIGRATIONS: dict[tuple[str, str], callable] = {}
 
