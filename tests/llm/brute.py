@@ -29,9 +29,9 @@ def decontaminate(docs, items):
     for item, text in items:
         w = item_words(text)
         size = min(13, len(w))
-        if item is not None and w:
+        if w:
             for k in range(len(w) - size + 1):
-                windows[tuple(w[k:k + size])].add(str(item))
+                windows[tuple(w[k:k + size])] |= {str(item)} if item is not None else set()
     sizes = {len(k) for k in windows}
     out = []
     for doc, text in docs:

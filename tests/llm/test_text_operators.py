@@ -29,7 +29,7 @@ def contaminated_corpus():
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(40)] + ["Straße", "l'été", "X9"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 12, 13, 14, 30])))) for i in range(12)]
-    items += [(50, items[0][1]), (51, ""), (52, None), (None, "ignored words here"), (53, items[3][1] + "! " + items[4][1]), (53, items[3][1])]
+    items += [(50, items[0][1]), (51, ""), (52, None), (None, "w1 w2"), (None, "w3 w4 w5"), (None, items[4][1]), (53, items[3][1] + "! " + items[4][1]), (53, items[3][1])]
     docs = []
     for i in range(60):
         w = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 200)))
@@ -164,6 +164,49 @@ def test_texts_of_no_learned_language_go(spark):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def plain_grams(text):
+    """Bucket of each pair and triple of characters, one at a time."""
+    c, wrap = [ord(x) for x in text.lower()], 0xFFFFFFFF
+    out = []
+    for k in range(len(c) - 1):
+        pair = (c[k] * 0x9E3779B1 + c[k + 1] * 0x85EBCA77) & wrap
+        for h in (pair, *([pair ^ (c[k + 2] * 0xC2B2AE3D & wrap)] if k + 2 < len(c) else [])):
+            out.append(((h ^ h >> 15) * 0x85EBCA77 & wrap) >> 16)
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """Every row, repeated ones and ties too, with columns named like the operator's own."""
+    train = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").limit(60).collect()]
+    train += [("kuku kaka", "xa"), ("kuku kaka", "xb"), (None, "xb"), ("kaka", None)]
+    docs = [(i, r[0], "clash") for i, r in enumerate(train)] + [(90, "kuku", "clash"), (90, "kuku", "clash"), (91, "é", None), (92, "", None), (93, "12", "x"), (94, "A", "x")]
+    counts, prior = {}, {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            prior[lang] = prior.get(lang, 0) + 1
+            of = counts.setdefault(lang, {})
+            for g in plain_grams(text):
+                of[g] = of.get(g, 0) + 1
+    total = {x: sum(of.values()) for x, of in counts.items()}
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        sums = {x: math.log(prior[x] / sum(prior.values())) + sum(
+            math.log((counts[x].get(g, 0) + langid.ALPHA) / (total[x] + langid.ALPHA * langid.BUCKETS)) for g in plain_grams(text)) for x in sorted(prior)}
+        best = max(sums, key=lambda x: sums[x])
+        return best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())
+
+    model = langid.train(spark.createDataFrame(train, "text string, lang string"))
+    got = langid.predict(spark.createDataFrame(docs, "doc_id bigint, text string, score string"), model).collect()
+    assert len(got) == len(docs)
+    texts = dict((i, t) for i, t, _ in docs)
+    assert sorted(r["row"]["doc_id"] for r in got) == sorted(i for i, _, _ in docs)
+    for r in got:
+        lang, score = plain(texts[r["row"]["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=2e-3), r
+
+
 def test_language_grams_do_not_depend_on_chunks(monkeypatch):
     text = "".join(random.Random(1).choices("abcdé ", k=5000))
     whole = np.sort(np.concatenate(list(langid._grams(text))))

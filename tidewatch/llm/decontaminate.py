@@ -16,7 +16,8 @@ which some adjacent pair of words occurs in no item cannot hold a window across
 are skipped with a vectorised look-up, and only the rest is read by the automaton.
 
 Defined results: null and word-less texts have 0 words, 0 hits and are not contaminated; an item
-without words or without id holds no window; repeated item rows count once; rows stay as they are,
+without words holds no window; an item without id hits words but is not among a text's items;
+repeated item rows count once; rows stay as they are,
 repeated or not.
 """
 
@@ -196,7 +197,7 @@ def _scan(shared, window: int):
                 count, hit, found = automaton.scan(data.translate(_TO_WORDS)) if data else (0, [], set())
                 n_words.append(count)
                 spans.append([{"start": s, "end": e} for s, e in merge(hit + [(x["start"], x["end"]) for x in old_spans[i]])])
-                items.append(sorted(found.union(old_items[i])))
+                items.append(sorted(found.union(old_items[i]) - {None}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), batch.column("row")],
                 names=["text", "n_words", "spans", "items", "row"])
@@ -207,7 +208,7 @@ def _shards(items: DataFrame, id_col: str, text_col: str, shard_words: int):
     """Items in lists of at most ``shard_words`` words (or one item), as they stream to the
     driver."""
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where(
-        "item IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item", "text")
+        "text IS NOT NULL").distinct().orderBy("item", "text")
     shard, held = [], 0
     for row in rows.toLocalIterator():
         words = _item_words(row["text"].encode())

@@ -64,7 +64,7 @@ UNION ALL SELECT doc_id, source, n_tokens, epoch, block, block_start, source_bud
 
 _DECONTAMINATE = rf"""
 WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item, least(len(w), 13) AS l, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS k
   FROM it, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p) WHERE len(w) > 0),
 doc AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
@@ -72,7 +72,7 @@ dw AS (SELECT doc_id, p, l, array_to_string(w[p:p + l - 1], ' ') AS k
   FROM doc, (SELECT DISTINCT l FROM win), LATERAL (SELECT unnest(range(1, len(w) - l + 2)) AS p)),
 hit AS (SELECT doc_id, p, l, item FROM dw JOIN win USING (l, k)),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hit, LATERAL (SELECT unnest(range(p, p + l)) AS q) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM hit GROUP BY doc_id)
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)), ',') AS ids FROM hit GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
