@@ -47,6 +47,28 @@ def run_totals(summary: DataFrame, failed: DataFrame | None = None) -> DataFrame
     )
 
 
+def run_report(decisions: DataFrame, entities: DataFrame, started, finished, failed: DataFrame | None = None) -> DataFrame:
+    """A1 + A2 in one pass: a row for each company (level ``company``) and one for the run (level
+    ``run``, without company id) from one ROLLUP. ``failed`` has a row (company_id) for each failure;
+    a company counts once, and as failed even if another of its sources gave postings.
+    ``duration_seconds`` is that of the run on every row."""
+    d = decisions.join(entities.select(F.col("id").alias("entity_id"), "classification"), "entity_id", "left").select(
+        "company_id", "entity_id", "classification", "decision", F.lit(False).alias("bad"))
+    if failed is not None:
+        none = F.lit(None).cast("string")
+        d = d.unionByName(failed.select("company_id", none.alias("entity_id"), none.alias("classification"), none.alias("decision"), F.lit(True).alias("bad")))
+    seconds = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{started}', TIMESTAMP_NTZ '{finished}') / 1000000.0D")
+    counts = [F.count_if(F.col(c) == x).alias(n) for n, c, x in (
+        *((f"{x}_jobs", "classification", x) for x in ("new", "repost", "existing")),
+        *((f"decided_{x}", "decision", x) for x in ("existing", "repost", "reopened", "new")))]
+    rolled = d.rollup("company_id").agg(
+        F.grouping_id().alias("gid"), F.countDistinct("company_id").alias("companies_processed"),
+        F.countDistinct(F.when(F.col("bad"), F.col("company_id"))).alias("companies_failed"),
+        F.count_if(~F.col("bad")).alias("jobs_fetched"), F.count("entity_id").alias("jobs_classified"), *counts)
+    return rolled.select(
+        F.when(F.col("gid") == 1, "run").otherwise("company").alias("level"), *[c for c in rolled.columns if c != "gid"], seconds.alias("duration_seconds"))
+
+
 def lifecycle_counts(lifecycle: DataFrame) -> DataFrame:
     """A3: records marked missing / closed by the lifecycle step."""
     return lifecycle.agg(

@@ -449,6 +449,14 @@ oracle("a2_run_totals_with_failures", _with(_postings(), _FAULTY, """co AS (
   SELECT company_id AS id, count(*) AS n, 0 AS bad FROM postings GROUP BY ALL UNION ALL SELECT id, 0, 1 FROM c WHERE problem IS NOT NULL),
 g AS (SELECT id, sum(n) AS n, max(bad) AS bad FROM co GROUP BY id)""") + """SELECT count(*) AS companies_processed, count(*) FILTER (bad = 0) AS companies_succeeded,
   CAST(count(*) FILTER (bad = 1) AS INTEGER) AS companies_failed, CAST(sum(n) AS BIGINT) AS jobs_fetched, CAST(sum(n) AS BIGINT) AS jobs_classified FROM g""")
+_REPORT = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (
+    "jobs_fetched", "jobs_classified", "new_jobs", "repost_jobs", "existing_jobs", "decided_existing", "decided_repost", "decided_reopened", "decided_new"))
+oracle("a1_a2_run_report", WALK + f""", {_SUMMARY}, {_FAULTY}, every AS (
+  SELECT *, 0 AS bad FROM summary UNION ALL SELECT id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1 FROM c WHERE problem IS NOT NULL),
+each AS (SELECT company_id, max(bad) AS bad, {_REPORT} FROM every GROUP BY company_id)
+SELECT 'company' AS level, company_id, CAST(1 AS BIGINT) AS companies_processed, CAST(bad AS BIGINT) AS companies_failed, each.* EXCLUDE (company_id, bad),
+  CAST(90.5 AS DOUBLE) AS duration_seconds FROM each
+UNION ALL SELECT 'run', NULL, count(*), CAST(sum(bad) AS BIGINT), {_REPORT}, CAST(90.5 AS DOUBLE) FROM each""")
 oracle("s13_list_versions", LINK + f"""SELECT '20240101-000000-000000' AS snapshot_ts, count(*) AS job_count, '1.0.0' AS version FROM e0
 UNION ALL SELECT '20240102-000000-000000', count(*) FILTER (NOT (status = 'closed' AND last_seen < {NOW} - INTERVAL 30 DAY)), '1.0.0' FROM e0""")
 oracle("a7_decisions_per_run", _with(LOG) + """, seen AS (SELECT DISTINCT entity_id, CAST(ts AS DATE) AS run_date FROM log),

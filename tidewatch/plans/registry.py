@@ -203,6 +203,14 @@ def a2_failed(spark, sf):
     return M.run_totals(summary, failed)
 
 
+@query("a1_a2_run_report")
+def run_report(spark, sf):
+    """Company rows and the run's total of a cycle that also met the watchlist's faulty rows."""
+    res = _cycle(spark, sf)
+    failed = X.company_problems(_faulty_companies(spark, sf)).where("problem IS NOT NULL").select(F.col("id").alias("company_id"))
+    return M.run_report(res.decisions, res.entities, "2024-02-01 00:00:00", "2024-02-01 00:01:30.5", failed)
+
+
 @query("a3_lifecycle_counts")
 def a3(spark, sf):
     return M.lifecycle_counts(_cycle(spark, sf).lifecycle)
