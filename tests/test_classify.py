@@ -244,3 +244,40 @@ def test_random_batches_match_row_by_row_replica(spark, seed):
     K = with_signature(spark.createDataFrame(ents, ENTITY_SCHEMA)).select(*ENTITY_COLUMNS)
     R = spark.createDataFrame(batch, BATCH_SCHEMA)
     _compare_with_oracle(spark, K, R, now)
+
+
+def test_long_chain_of_reopens_matches_row_by_row_replica(spark):
+    """Each posting reopens a record and takes its id over, which frees the id that the next posting
+    carries: a chain of decisions as long as the batch."""
+    words = ["alpha", "bravo", "carbon", "delta", "ether", "forest", "glacier", "harbor", "island", "jungle"]
+    now = T0 + timedelta(days=60)
+    ents, batch = [], []
+    for i, w in enumerate(words):
+        # the record's id is the one that posting i + 1 carries: free only once posting i took the record
+        ents.append(entity(i + 1, "acme", f"{w} {w[::-1]} clerk", "Remote", status="closed", sid=f"S{i + 1}"))
+        batch.append(posting(i + 1, "acme", f"{w} {w[::-1]} clerk", "Remote", f"S{i}"))
+    batch.append(posting(20, "acme", "alpha ahpla clerk", "Remote", "S0"))
+    K = with_signature(spark.createDataFrame(ents, ENTITY_SCHEMA)).select(*ENTITY_COLUMNS)
+    exp = _compare_with_oracle(spark, K, spark.createDataFrame(batch, BATCH_SCHEMA), now)
+    assert [exp[i][0] for i in range(1, 11)] == ["reopened"] * 10 and exp[20][0] == "existing"
+
+
+def test_no_grouped_python_call_decides(spark):
+    """The cascade is joins and aggregates: one signature and one id shared by a third of the rows."""
+    from tidewatch.operators import classify as C
+
+    rng = __import__("random").Random(5)
+    now = datetime(2024, 3, 1)
+    titles = [f"{a} {b} clerk" for a in ("alpha", "bravo", "carbon") for b in ("harbor", "island", "jungle")]
+    pick = lambda hot, rest: hot if rng.random() < 0.34 else rng.choice(rest)
+    ents = [entity(i, "acme", pick("alpha harbor clerk", titles), "Remote", status=rng.choice(["closed", "closed", "missing"]),
+                   last_seen=now - timedelta(days=rng.randint(20, 90)), sid=pick("S0", [None] + [f"S{k}" for k in range(1, 20)])) for i in range(1, 60)]
+    batch = [posting(j, "acme", pick("alpha harbor clerk", titles), "Remote", pick("S0", [None] + [f"S{k}" for k in range(1, 30)])) for j in range(1, 90)]
+    K = with_signature(spark.createDataFrame(ents, ENTITY_SCHEMA)).select(*ENTITY_COLUMNS)
+    exp = _compare_with_oracle(spark, K, spark.createDataFrame(batch, BATCH_SCHEMA), now)
+    assert "reopened" in {v[0] for v in exp.values()}
+    told = spark.createDataFrame([], "batch_seq bigint, company_id string, sid string, url string, sig string, decision string, ref string")
+    known = spark.createDataFrame([], "ref string, company_id string, sig string, sid string, status string, closed boolean, in_window boolean, "
+                                      "cand struct<kind: int, seq: bigint, ref: string>")
+    plan = C._wave(told, C._steps(told, known), spark.createDataFrame([], "sig string, c_sig string, score double"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan

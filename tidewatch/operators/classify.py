@@ -12,11 +12,9 @@ record -> new), but as set operations:
   candidates of their company (see ``linkage``), with "eligible" depending on batch order:
   a known record is in the window if its last_seen is recent or an earlier row of the batch
   hit it; a batch candidate must be an earlier leader;
-* **routing**: only where a leader has an edge to a closed record and no repost edge can a
-  reopen happen, which changes later decisions. The connected components of rows, records,
-  signatures and source ids that hold such a leader are replayed in batch order by a grouped
-  pandas function over *edges and id hits only* (no string work); all others are resolved
-  set-wise.
+* **cascades**: only where a leader has an edge to a closed record and no repost edge can a
+  reopen happen, which changes later decisions. The companies with such a leader are decided by a
+  fixed point of set-wise rounds over edges and ids (see ``_cascade``); all others in one step.
 
 Outputs: a ``decisions`` row per posting, the updated entity table, and the new rows of the
 observation log. Record ids of inserts are ``sha2(run_id|company|batch_seq)``, so a retried
@@ -27,17 +25,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType,
-)
 
 from tidewatch.functions import similarity as S
 from tidewatch.functions.normalize import with_signature
 from tidewatch.operators.linkage import format_2f, score_signature_pairs
+from tidewatch.session import ensure_checkpoint_dir
 
 # Reason texts (this one and the two that are built below).
 NEW_REASON = "New job posting (no previous match found)"
@@ -64,20 +61,11 @@ class ClassifyResult:
     observations: DataFrame
 
 
-def _ckpt(df: DataFrame, label: str) -> DataFrame:
+def _ckpt(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared checkpoint dir): cuts lineage, and a lost executor
     recomputes from the checkpoint instead of from the sources."""
-    import os
-    import time
-
-    from tidewatch.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(df.sparkSession)
-    t0 = time.time()
-    out = df.checkpoint(eager=True)
-    if os.environ.get("TIDEWATCH_DEBUG"):
-        print(f"[tidewatch] checkpoint {label}: {time.time() - t0:.2f}s")
-    return out
+    return df.checkpoint(eager=True)
 
 
 def _ts(value) -> F.Column:
@@ -91,119 +79,87 @@ def _new_id(run_id: str) -> F.Column:
 
 
 # ---------------------------------------------------------------------------
-# Sequential replay for routed components (edges + id hits only).
+# Reopen cascades: a fixed point over whole rounds of decisions.
 # ---------------------------------------------------------------------------
 
-REPLAY_SCHEMA = StructType([
-    StructField("out", StringType()),            # 'decision' or 'entity'
-    StructField("company_id", StringType()),
-    StructField("batch_seq", LongType()),
-    StructField("decision", StringType()),
-    StructField("entity_ref", StringType()),      # 'K:<id>' or 'B:<batch_seq>'
-    StructField("target_ref", StringType()),
-    StructField("score", DoubleType()),
-    StructField("status", StringType()),
-    StructField("last_seen", TimestampNTZType()),
-    StructField("source_identifier", StringType()),
-    StructField("url", StringType()),
-])
-
-
-def _make_replay(now: datetime, cutoff: datetime):
-    now_ts = pd.Timestamp(now)
-    cutoff_ts = pd.Timestamp(cutoff)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        company = pdf["company_id"].iloc[0]
-        ents = pdf[pdf["kind"] == "ent"].sort_values("seq")
-        rows = pdf[pdf["kind"] == "row"].sort_values("seq")
-        sig_edges = pdf[pdf["kind"] == "sigedge"]
-        rec: dict[str, dict] = {}
-        order: dict[str, tuple] = {}
-        by_sig: dict[str, list] = {}      # signature -> records in insertion order
-        by_sid: dict[str, list] = {}      # source id -> records in insertion order
-        for e in ents.itertuples(index=False):
-            ref = "K:" + e.ref
-            rec[ref] = {"status": e.status, "last_seen": e.last_seen, "sid": e.sid, "url": None, "touched": False}
-            order[ref] = (0, int(e.seq))
-            by_sig.setdefault(e.sig, []).append(ref)
-            if isinstance(e.sid, str) and e.sid != "":
-                by_sid.setdefault(e.sid, []).append(ref)
-        linked: dict[str, list] = {}
-        for e in sig_edges.itertuples(index=False):
-            linked.setdefault(e.sig, []).append((e.ref, float(e.score)))
-
-        def best(sig, eligible):
-            """Per linked signature the earliest eligible record (equal signatures score equally),
-            then the highest score, ties to the earliest record."""
-            found = []
-            for s2, score in linked.get(sig, []):
-                for ref in by_sig.get(s2, []):
-                    if eligible(rec[ref]):
-                        found.append((ref, score))
-                        break
-            return max(found, key=lambda x: (x[1], tuple(-v for v in order[x[0]]))) if found else None
-
-        def insert(me, j, sid, url, sig):
-            rec[me] = {"status": "active", "last_seen": now_ts, "sid": sid, "url": url, "touched": False}
-            order[me] = (1, j)
-            by_sig.setdefault(sig, []).append(me)
-            if sid is not None:
-                by_sid.setdefault(sid, []).append(me)
-
-        out = []
-        for r in rows.itertuples(index=False):
-            j = int(r.seq)
-            sid = r.sid if isinstance(r.sid, str) and r.sid != "" else None
-            hit = None
-            if sid is not None:
-                hits = [k for k in by_sid.get(sid, []) if rec[k]["sid"] == sid]
-                if hits:
-                    hit = min(hits, key=lambda k: order[k])
-            if hit is not None:
-                v = rec[hit]
-                v["last_seen"] = now_ts
-                if v["status"] == "missing":
-                    v["status"] = "active"
-                v["touched"] = True
-                out.append(("decision", company, j, "existing", hit, None, None))
-                continue
-            found = best(r.sig, lambda v: v["status"] != "closed" and v["last_seen"] >= cutoff_ts)
-            if found:
-                ref, sc = found
-                me = "B:%d" % j
-                insert(me, j, sid, r.url, r.sig)
-                out.append(("decision", company, j, "repost", me, ref, sc))
-                continue
-            found = best(r.sig, lambda v: v["status"] == "closed")
-            if found:
-                ref, sc = found
-                v = rec[ref]
-                v.update(status="reopened", last_seen=now_ts, sid=sid, url=r.url, touched=True)
-                if sid is not None:
-                    by_sid.setdefault(sid, []).append(ref)
-                out.append(("decision", company, j, "reopened", ref, ref, sc))
-                continue
-            me = "B:%d" % j
-            insert(me, j, sid, r.url, r.sig)
-            out.append(("decision", company, j, "new", me, None, None))
-        records = [
-            {"out": o, "company_id": c, "batch_seq": j, "decision": d, "entity_ref": e, "target_ref": t, "score": s,
-             "status": None, "last_seen": None, "source_identifier": None, "url": None}
-            for (o, c, j, d, e, t, s) in out
-        ]
-        for ref, v in rec.items():
-            if ref.startswith("K:") and v["touched"]:
-                records.append({"out": "entity", "company_id": company, "batch_seq": None, "decision": None,
-                                "entity_ref": ref, "target_ref": None, "score": None, "status": v["status"],
-                                "last_seen": v["last_seen"], "source_identifier": v["sid"], "url": v["url"]})
-        frame = pd.DataFrame.from_records(records, columns=[f.name for f in REPLAY_SCHEMA.fields])
-        frame["batch_seq"] = frame["batch_seq"].astype("Int64")
-        frame["score"] = frame["score"].astype("float64")
-        frame["last_seen"] = pd.to_datetime(frame["last_seen"])
-        return frame
-
-    return replay
+_ALWAYS, _FOREVER = -(1 << 62), 1 << 62
+
+
+def _steps(told: DataFrame, known: DataFrame) -> DataFrame:
+    """(role, key, falling, at, cand): which record answers for a key at a row, by what ``told`` says.
+
+    Roles: 'id' (holder of a source id), 'recent' and 'closed' (records of a signature that can be
+    matched, or reopened). A record answers for the rows after ``at`` (``falling``: up to ``at``);
+    of each key only the records that are the earliest for some row are kept, since one that comes no
+    sooner (goes no later) than an earlier record is never chosen."""
+    event = told.where("decision IN ('existing', 'reopened') AND ref LIKE 'K:%'").groupBy("ref").agg(
+        F.min(F.when(F.col("decision") == "reopened", F.struct("batch_seq", "sid"))).alias("took"),
+        F.min(F.when(F.col("decision") == "existing", F.col("batch_seq"))).alias("hit_at"))
+    entry = lambda role, key, at, falling: F.struct(F.lit(role).alias("role"), key.alias("key"), at.alias("at"), F.lit(falling).alias("falling"))
+    id_key = lambda sid: F.concat(F.col("company_id"), F.lit("\x1f"), F.nullif(F.col(sid), F.lit("")))
+    said = lambda *entries: F.inline(F.filter(F.array(*entries), lambda e: e["key"].isNotNull() & e["at"].isNotNull()))
+    gone = F.coalesce("took.batch_seq", F.lit(_FOREVER))
+    begins = F.when(F.col("closed"), F.col("took.batch_seq")).when(F.col("in_window"), F.lit(_ALWAYS)).otherwise(F.col("hit_at"))
+    records = known.join(event, "ref", "left").select("cand", said(
+        entry("id", id_key("sid"), gone, True), entry("id", id_key("took.sid"), F.col("took.batch_seq"), False),
+        entry("recent", F.col("sig"), begins, False), entry("closed", F.when(F.col("closed"), F.col("sig")), gone, True)))
+    seq = F.col("batch_seq")
+    born = told.where("decision IN ('new', 'repost')").select(
+        F.struct(F.lit(1).alias("kind"), seq.alias("seq"), F.concat(F.lit("B:"), seq.cast("string")).alias("ref")).alias("cand"),
+        said(entry("id", id_key("sid"), seq, False), entry("recent", F.col("sig"), seq, False)))
+    key = ["role", "key", "falling"]
+    every = records.groupBy(*key, "at").agg(F.min("cand").alias("cand")).unionByName(
+        born.groupBy(*key).agg(F.min("at").alias("at"), F.min("cand").alias("cand")))
+    sooner = Window.partitionBy(*key).orderBy(F.when(F.col("falling"), -F.col("at")).otherwise(F.col("at")), "cand").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return every.withColumn("best", F.min("cand").over(sooner)).where("best IS NULL OR cand < best").drop("best")
+
+
+_HOLDS = "(NOT falling AND batch_seq > at) OR (falling AND batch_seq <= at)"
+
+
+def _wave(told: DataFrame, steps: DataFrame, links: DataFrame) -> DataFrame:
+    """Decisions of all rows, each from the records that answer at it; ``moved`` where ``told`` says
+    otherwise."""
+    rows = told.select("batch_seq", "company_id", "sid", "url", "sig", F.struct("decision", "ref").alias("was"))
+    # an equal signature has the highest score there is; token sets (M3) may tie with other signatures
+    looks = rows.select("batch_seq", F.inline(F.filter(F.array(
+        F.struct(F.lit("id").alias("role"), F.concat("company_id", F.lit("\x1f"), "sid").alias("key")),
+        F.struct(F.lit("recent").alias("role"), F.when(~F.col("company_id").contains(S.SEPARATOR), F.col("sig")).alias("key"))),
+        lambda e: e["key"].isNotNull())))
+    plain = looks.join(steps.where("role != 'closed'"), ["role", "key"]).where(_HOLDS).groupBy("batch_seq").agg(F.min(F.struct(
+        F.when(F.col("role") == "id", "existing").otherwise("repost").alias("decision"), "cand",  # in this order
+        F.when(F.col("role") == "recent", F.lit(1.0)).alias("score"))).alias("got"))
+    options = steps.where("role != 'id'").withColumnRenamed("key", "c_sig")
+    similar = rows.join(plain, "batch_seq", "left_anti").join(links, "sig").join(options, "c_sig").where(_HOLDS).groupBy("batch_seq").agg(
+        F.max_by(F.struct(F.when(F.col("role") == "recent", "repost").otherwise("reopened").alias("decision"), "cand", "score"),
+                 F.struct("role", "score", -F.col("cand.kind"), -F.col("cand.seq"))).alias("got"))  # 'recent' before 'closed'
+    now = F.struct(F.coalesce("got.decision", F.lit("new")).alias("decision"), F.col("got.cand.ref").alias("ref"))
+    return rows.join(plain.unionByName(similar), "batch_seq", "left").select(
+        "batch_seq", "company_id", "sid", "url", "sig", (~now.eqNullSafe(F.col("was"))).alias("moved"), now.alias("now"),
+        F.col("got.score").alias("score")).select("*", "now.*").drop("now")
+
+
+def _cascade(told: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """Decisions in batch order, as the fixed point of ``_wave``.
+
+    A row's decision depends on earlier rows of its company only, so after n rounds all rows are
+    right whose chain of dependencies has at most n links, the fixed point is the only one, and the
+    rounds needed are the links of the longest chain, not the rows. Every round is a set of joins
+    over the rows of the companies that moved in the round before; no component, company or chain
+    is ever in one task.
+
+    ``told``: batch_seq, company_id, sid, url, sig, and a first guess (decision, ref);
+    ``known``: ref, company_id, sig, sid, closed, in_window, cand (kind 0, seq, ref);
+    ``links``: sig, c_sig, score."""
+    settled = []
+    while True:
+        now = _ckpt(_wave(told, _ckpt(_steps(told, known)), links))
+        moved = now.where("moved").select("company_id").distinct()
+        if moved.isEmpty():
+            return reduce(DataFrame.unionByName, settled, now)
+        settled.append(now.join(moved, "company_id", "left_anti").select(*now.columns))
+        told = _ckpt(now.join(moved, "company_id", "left_semi"))
 
 
 # ---------------------------------------------------------------------------
@@ -222,7 +178,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     # checkpoint dir, which also keeps every later plan short (analysis cost grows with depth).
     K = entities.select(*ENTITY_COLUMNS)
     if checkpoint:
-        K = _ckpt(K, "known entities")
+        K = _ckpt(K)
     R = with_signature(batch).withColumn(
         "sid", F.when(F.col("source_identifier") == "", F.lit(None)).otherwise(F.col("source_identifier"))
     )
@@ -245,7 +201,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         .otherwise("leader"),
     )
     if checkpoint:
-        R2 = _ckpt(R2, 'R2')
+        R2 = _ckpt(R2)
 
     first_hit = R2.where(F.col("role") == "hit").groupBy(F.col("hit_id").alias("id")).agg(
         F.min("batch_seq").alias("first_hit_seq")
@@ -302,11 +258,11 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     cs = cs_k.unionByName(cs_b)
     # One scoring pass: every batch signature against every candidate signature (known
     # candidates and batch signatures) of its company. Shared by the set-wise path (residue
-    # leaders only) and the replay (all rows of routed components).
+    # leaders only) and the cascades (all rows of routed companies).
     sig_cands = Kc.select("company_id", "title_sorted", "location_norm").unionByName(R2.select("company_id", "title_sorted", "location_norm"))
     sp_all = score_signature_pairs(R2, sig_cands, t)
     if checkpoint:
-        sp_all = _ckpt(sp_all, "signature pairs")
+        sp_all = _ckpt(sp_all)
     sp = sp_all
     edges = (
         residue.select("batch_seq", "company_id", F.col("title_sorted").alias("q_title"), F.col("location_norm").alias("q_loc"))
@@ -325,63 +281,18 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
             F.when(F.col("ckind") != "C", F.struct("ckind", "cseq", "cid", "cfirst", "score")),
             F.when(F.col("ckind") != "C", F.struct(F.col("score"), kind_pref, -F.col("cseq"))),
         ).alias("rp"),
-        F.max(F.when(F.col("ckind") == "C", F.lit(1)).otherwise(F.lit(0))).alias("has_closed"),
+        F.max_by(F.when(F.col("ckind") == "C", F.col("cid")), F.when(F.col("ckind") == "C", F.struct(F.col("score"), -F.col("cseq")))).alias("closed_id"),
     )
     L3 = L2.join(best, "batch_seq", "left")
-    # --- routing: connected components that contain a possible reopen ----------------------
-    triggers = L3.where(~F.col("is_exact") & F.col("rp").isNull() & (F.col("has_closed") == 1)).select(
-        "batch_seq", "company_id")
-    if checkpoint:
-        triggers = _ckpt(triggers, "reopen triggers")
-    any_trigger = (not triggers.isEmpty()) if checkpoint else True
-    routed_companies = triggers.select("company_id").distinct()
-    Rc = R2.join(routed_companies, "company_id", "left_semi")
-    Kc_all = K1.join(routed_companies, "company_id", "left_semi")
-    # every record that shares a source id with a routed row: if the first holder of an id takes
-    # another id by being reopened, the next holder answers for it
-    row_sids = Rc.where(F.col("sid").isNotNull()).select("company_id", F.col("sid").alias("source_identifier")).distinct()
-    Kr = Kc_all.where((F.col("status") == "closed") | in_window).unionByName(
-        Kc_all.join(row_sids, ["company_id", "source_identifier"], "left_semi").select(*Kc_all.columns)
-    ).dropDuplicates(["id"])
-    sp_r = sp_all.join(routed_companies, "company_id", "left_semi")
-
-    def sig_node(t_col, l_col):
-        return F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col(t_col), F.col(l_col))
-
-    def sid_node(c):
-        return F.concat_ws("\x1f", F.lit("I"), F.col("company_id"), F.col(c))
-
-    # A replay group is a connected component of rows, records, signatures and source ids.
-    if any_trigger:
-        from tidewatch.operators.components import connected_components
-
-        row_node = F.concat(F.lit("B:"), F.col("batch_seq").cast("string"))
-        graph = (
-            Rc.select(row_node.alias("src"), sig_node("title_sorted", "location_norm").alias("dst"))
-            .unionByName(Kr.select(F.concat(F.lit("K:"), F.col("id")).alias("src"),
-                                   sig_node("title_sorted", "location_norm").alias("dst")))
-            .unionByName(sp_r.select(sig_node("q_title", "q_loc").alias("src"), sig_node("c_title", "c_loc").alias("dst")))
-            .unionByName(Rc.where(F.col("sid").isNotNull()).select(row_node.alias("src"), sid_node("sid").alias("dst")))
-            .unionByName(Kr.join(row_sids, ["company_id", "source_identifier"], "left_semi").select(
-                F.concat(F.lit("K:"), F.col("id")).alias("src"), sid_node("source_identifier").alias("dst")))
-        )
-        comps = connected_components(graph, checkpoint=checkpoint)
-        row_comp = Rc.select("batch_seq", row_node.alias("node")).join(comps, "node").select("batch_seq", "comp")
-        routed_comps = triggers.join(row_comp, "batch_seq").select("comp").distinct()
-        routed_rows = row_comp.join(routed_comps, "comp", "left_semi")
-        if checkpoint:
-            routed_rows = _ckpt(routed_rows, "routed rows")
-        ent_comp = comps.where(F.col("node").startswith("K:")).join(routed_comps, "comp", "left_semi").select(
-            F.substring("node", 3, 1 << 30).alias("id"), "comp")
-        comps_routed_sigs = comps.where(F.col("node").startswith("S\x1f")).join(routed_comps, "comp", "left_semi")
-    else:
-        routed_rows = R2.sparkSession.createDataFrame([], "batch_seq bigint, comp string")
-        ent_comp = R2.sparkSession.createDataFrame([], "id string, comp string")
-        comps_routed_sigs = R2.sparkSession.createDataFrame([], "node string, comp string")
-    routed_flag = routed_rows.select("batch_seq")
-
-    # --- set-wise decisions (rows outside routed components) -------------------------------------------
-    L4 = L3.join(routed_flag, "batch_seq", "left_anti")
+    # --- routing: companies with a possible reopen ------------------------------------------
+    triggers = _ckpt(L3.where(~F.col("is_exact") & F.col("rp").isNull() & F.col("closed_id").isNotNull()).select(
+        "batch_seq", "company_id", "closed_id"))
+    routed = triggers.select("company_id").distinct()
+    any_trigger = not triggers.isEmpty()
+    routed_rows = R2.join(routed, "company_id", "left_semi")
+
+    # --- set-wise decisions (all other companies) -------------------------------------------
+    L4 = L3.join(routed, "company_id", "left_anti")
     tk = F.when(F.col("xk").isNotNull(), F.lit("K")).when(F.col("xb_seq").isNotNull(), F.lit("B")).otherwise(F.col("rp.ckind"))
     lead_dec = L4.select(
         "batch_seq", "company_id",
@@ -400,7 +311,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         .when(F.col("rp.ckind") == "B", now_c)
         .alias("target_first_seen"),
     )
-    R_unrouted = R2.join(routed_flag, "batch_seq", "left_anti")
+    R_unrouted = R2.join(routed, "company_id", "left_anti")
     hit_dec = R_unrouted.where(F.col("role") == "hit").select(
         "batch_seq", "company_id", F.lit("existing").alias("decision"), F.col("hit_id").alias("entity_id"),
         F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("target_kind"),
@@ -413,37 +324,32 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         F.lit(None).cast("double").alias("score"), F.lit(None).cast("timestamp_ntz").alias("target_first_seen"),
     )
 
-    # --- replay (routed components) -----------------------------------------------------
-    Rr = R2.join(routed_rows, "batch_seq")
-    Kr = Kr.join(ent_comp, "id")
-    sig_key = F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col("title_sorted"), F.col("location_norm"))
-    # signature-level edges of the routed components (no row-by-row expansion)
-    sig_edges = sp_r.select(
-        F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col("q_title"), F.col("q_loc")).alias("node"),
-        F.concat_ws("\x1f", F.lit("S"), F.col("company_id"), F.col("c_title"), F.col("c_loc")).alias("ref"),
-        "company_id", "score",
-    ).join(comps_routed_sigs, "node").select("comp", "company_id", F.col("node").alias("sig"), "ref", "score")
-    none_s = F.lit(None).cast("string")
-    none_ts = F.lit(None).cast("timestamp_ntz")
-    none_d = F.lit(None).cast("double")
-    long_in = (
-        Kr.select("comp", "company_id", F.lit("ent").alias("kind"), F.col("entity_seq").alias("seq"), F.col("id").alias("ref"),
-                  F.col("source_identifier").alias("sid"), "status", "last_seen", none_s.alias("url"), none_d.alias("score"),
-                  sig_key.alias("sig"))
-        .unionByName(Rr.select("comp", "company_id", F.lit("row").alias("kind"), F.col("batch_seq").alias("seq"),
-                               none_s.alias("ref"), "sid", none_s.alias("status"), none_ts.alias("last_seen"), "url",
-                               none_d.alias("score"), sig_key.alias("sig")))
-        .unionByName(sig_edges.select("comp", "company_id", F.lit("sigedge").alias("kind"), F.lit(None).cast("bigint").alias("seq"),
-                                      "ref", none_s.alias("sid"), none_s.alias("status"), none_ts.alias("last_seen"),
-                                      none_s.alias("url"), "score", "sig"))
-    )
-    # one group per routed component (a company's rows only meet where edges or ids link them)
-    replayed = long_in.groupBy("comp").applyInPandas(_make_replay(now_dt, cutoff_dt), REPLAY_SCHEMA)
-    if checkpoint:
-        if not any_trigger:
-            replayed = replayed.sparkSession.createDataFrame([], REPLAY_SCHEMA)
-        else:
-            replayed = _ckpt(replayed, 'replayed')
+    # --- cascade (routed companies) -----------------------------------------------------
+    sig_of = lambda title, loc: F.concat_ws("\x1f", "company_id", title, loc)
+    if any_trigger:
+        guess = routed_rows.join(triggers.select("batch_seq", "closed_id"), "batch_seq", "left").select(
+            "batch_seq", "company_id", "sid", "url", sig_of("title_sorted", "location_norm").alias("sig"),
+            F.when(F.col("role") != "leader", "existing").when(F.col("closed_id").isNotNull(), "reopened").otherwise("new").alias("decision"),
+            F.when(F.col("role") == "hit", F.concat(F.lit("K:"), F.col("hit_id")))
+            .when(F.col("role") == "follower", F.concat(F.lit("B:"), F.col("lead_seq").cast("string")))
+            .otherwise(F.concat(F.lit("K:"), F.col("closed_id"))).alias("ref"))
+        # records that can be reopened or matched, and every holder of an id that a row carries: if the
+        # first holder takes another id by being reopened, the next one answers for it
+        Kc_all = K1.join(routed, "company_id", "left_semi")
+        row_sids = routed_rows.where(F.col("sid").isNotNull()).select("company_id", F.col("sid").alias("source_identifier")).distinct()
+        held = Kc_all.join(row_sids.withColumn("held", F.lit(True)), ["company_id", "source_identifier"], "left")
+        ref = F.concat(F.lit("K:"), F.col("id"))
+        known = _ckpt(held.where((F.col("status") == "closed") | in_window | F.col("held")).select(
+            ref.alias("ref"), "company_id", sig_of("title_sorted", "location_norm").alias("sig"), F.col("source_identifier").alias("sid"),
+            "status", (F.col("status") == "closed").alias("closed"), in_window.alias("in_window"),
+            F.struct(F.lit(0).alias("kind"), F.col("entity_seq").alias("seq"), ref.alias("ref")).alias("cand")))
+        links = _ckpt(sp_all.join(routed, "company_id", "left_semi").select(
+            sig_of("q_title", "q_loc").alias("sig"), sig_of("c_title", "c_loc").alias("c_sig"), "score"))
+        done = _cascade(_ckpt(guess), known, links)
+    else:
+        none = R2.sparkSession.createDataFrame
+        done = none([], "batch_seq bigint, company_id string, sid string, url string, sig string, decision string, ref string, score double")
+        known = none([], "ref string, status string")
 
     def _ref_to_id(c):
         return (
@@ -452,8 +358,10 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         )
 
     kfirst = K.select(F.concat(F.lit("K:"), F.col("id")).alias("target_ref"), F.col("first_seen").alias("kf"))
+    target = F.when(F.col("decision").isin("repost", "reopened"), F.col("ref"))
+    own = F.concat(F.lit("B:"), F.col("batch_seq").cast("string"))
     rep_dec = (
-        replayed.where(F.col("out") == "decision")
+        done.withColumns({"target_ref": target, "entity_ref": F.when(F.col("decision").isin("new", "repost"), own).otherwise(F.col("ref"))})
         .join(kfirst, "target_ref", "left")
         .select(
             "batch_seq", "company_id", "decision",
@@ -466,7 +374,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     )
     decisions = lead_dec.unionByName(hit_dec).unionByName(fol_dec).unionByName(rep_dec)
     if checkpoint:
-        decisions = _ckpt(decisions, 'decisions')
+        decisions = _ckpt(decisions)
 
     # --- apply ------------------------------------------------------------------------
     rows = R2.select("batch_seq", "company_id", "company_name", "title", "location", "url", "source_identifier",
@@ -490,16 +398,18 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         "source_identifier", "department", "description",
         now_c.alias("created_at"), now_c.alias("updated_at"),
     )
-    # updates of known records: id hits set-wise, and the replayed final states
+    # updates of known records: id hits set-wise, and the final states of the cascades
     upd_set = (
         hit_dec.select(F.col("entity_id").alias("id")).distinct()
         .select("id", F.lit(None).cast("string").alias("u_status"), F.lit(True).alias("u_hit"),
                 F.lit(None).cast("string").alias("u_sid"), F.lit(None).cast("string").alias("u_url"))
     )
-    upd_rep = replayed.where(F.col("out") == "entity").select(
-        F.substring("entity_ref", 3, 1 << 30).alias("id"), F.col("status").alias("u_status"), F.lit(False).alias("u_hit"),
-        F.col("source_identifier").alias("u_sid"), F.col("url").alias("u_url"),
-    )
+    touched = done.where("decision IN ('existing', 'reopened') AND ref LIKE 'K:%'").groupBy("ref").agg(
+        F.max(F.when(F.col("decision") == "reopened", F.struct("sid", "url"))).alias("took"))
+    upd_rep = touched.join(known, "ref").select(
+        F.substring("ref", 3, 1 << 30).alias("id"),
+        F.when(F.col("took").isNotNull(), "reopened").when(F.col("status") == "missing", "active").otherwise(F.col("status")).alias("u_status"),
+        F.lit(False).alias("u_hit"), F.col("took.sid").alias("u_sid"), F.col("took.url").alias("u_url"))
     upd = upd_set.unionByName(upd_rep)
     reopened_now = F.col("u_status") == "reopened"
     was_reopen = reopened_now & (F.col("status") == "closed")
@@ -568,7 +478,7 @@ def run_cycle(entities: DataFrame, batch: DataFrame, now, window_days: int = DEF
     """Classify all -> mark missing -> close old missing. ``lifecycle`` has one row per
     entity with its status before and after (for A3)."""
     res = classify_batch(entities, batch, now, window_days, threshold, run_id, checkpoint)
-    after_classify = _ckpt(res.entities, "entities after classify") if checkpoint else res.entities
+    after_classify = _ckpt(res.entities) if checkpoint else res.entities
     marked = mark_missing(after_classify, res.decisions.select("entity_id"), now)
     closed = close_old_missing(marked, now, close_timeout_days)
     lifecycle = after_classify.select("id", F.col("status").alias("status_before")).join(
