@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.sources import payloads as P
@@ -108,3 +109,25 @@ def test_source_to_endpoint(spark):
         "https://acme.wd1.myworkdayjobs.com/wday/cxs/acme/External/jobs",
         None,
     ]
+
+
+def test_registered_shape_joins_the_union_and_its_quarantine(spark):
+    def lines(docs):
+        return docs.select("*", F.posexplode(F.split("payload", "\n")).alias("_pos", "line")).select(
+            "company_ord", "source_ord", "_pos", "company_id", F.col("line").alias("title"),
+            F.when(F.col("line") == "", "empty line").alias("_problem"))
+
+    docs = spark.createDataFrame([("acme", "Acme", 1, 0, "https://x", "Clerk\n\nAnalyst", "lines")],
+                                 "company_id string, company_name string, company_ord bigint, source_ord bigint, source_url string, payload string, adapter string")
+    assert P.flatten_sources(docs).count() == 0   # unknown shapes are not read
+    with pytest.raises(ValueError):
+        P.register_flattener("lever")
+    P.register_flattener("lines")(lines)
+    try:
+        valid, faulty = P.split_postings(P.flatten_sources(docs))
+        assert [(r.title, r.url) for r in valid.orderBy("batch_seq").collect()] == [("Clerk", None), ("Analyst", None)]
+        assert [r._problem for r in faulty.collect()] == ["empty line"]
+        with pytest.raises(ValueError):
+            P.register_flattener("lines")
+    finally:
+        P.unregister_flattener("lines")

@@ -4,6 +4,7 @@ import os
 import tempfile
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.plans import inputs as I
@@ -104,3 +105,24 @@ def test_list_snapshots_shows_committed_versions_only(spark):
     ST.write_state(e, root, datetime(2024, 1, 1))
     spark.read.parquet(f"{root}/entities/snapshot_ts=20240101-000000-000000").write.parquet(f"{root}/entities/snapshot_ts=20240102-000000-000000")
     assert [(r.snapshot_ts, r.job_count) for r in ST.list_snapshots(spark, root).collect()] == [("20240101-000000-000000", 20)]
+
+
+def test_folded_statistics_equal_the_batch_form(spark, tmp_path):
+    """Late, repeated and empty runs, a null entity, and a fold that stopped before its marker."""
+    from tidewatch.operators.metrics import observation_stats
+    from tidewatch.sources import state as ST
+
+    root = f"{tmp_path}/stats"
+    schema = "entity_id string, ts timestamp_ntz"
+    runs = {"b": [("x", datetime(2024, 1, 5)), ("y", datetime(2024, 1, 5)), ("x", datetime(2024, 1, 5))],
+            "a": [("x", datetime(2024, 1, 1)), (None, datetime(2024, 1, 2))], "c": [], "d": [("y", datetime(2024, 2, 1)), (None, None)]}
+    frames = {k: spark.createDataFrame(v, schema) for k, v in runs.items()}
+    with pytest.raises(FileNotFoundError):
+        ST.read_observation_stats(spark, root)
+    for run in ["b", "a", "b", "c"]:
+        ST.fold_observation_stats(frames[run], root, run)
+    frames["d"].write.parquet(f"{root}/stats/version={4:012d}")   # what a lost driver leaves behind
+    ST.fold_observation_stats(frames["d"], root, "d")
+    whole = observation_stats(frames["a"].unionByName(frames["b"]).unionByName(frames["d"]))
+    key = lambda df: sorted(map(str, df.select("entity_id", "first_seen", "last_seen", "observation_count").collect()))
+    assert key(ST.read_observation_stats(spark, root)) == key(whole)

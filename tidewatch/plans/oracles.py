@@ -247,6 +247,8 @@ FROM j""")
 LOG = """log AS (SELECT event_type || ':' || CAST(user_id AS VARCHAR) AS entity_id, ts, event_id FROM events)"""
 oracle("a5_observation_stats", _with(LOG) + """SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen,
   count(*) AS observation_count FROM log GROUP BY entity_id""")
+oracle("a5_stats_folded_by_run", _with(LOG) + """SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen,
+  count(*) AS observation_count FROM log GROUP BY entity_id""")
 oracle("w2_gap_since_previous", _with(LOG) + """SELECT entity_id, event_id,
   (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY entity_id ORDER BY ts, event_id)) / 1000000.0 AS gap_seconds FROM log""")
 oracle("r4_presence_sessions", _with(LOG) + """, g AS (
@@ -323,6 +325,9 @@ oracle("s2_flatten_board_array", _with(_postings()) + f"SELECT {ROUND_TRIP}, dep
 oracle("s3_flatten_board_postings", _with(_postings()) + f"SELECT {ROUND_TRIP}, NULL::VARCHAR AS department FROM postings")
 oracle("s5_union_sources", _with(_postings()) + f"""SELECT {ROUND_TRIP},
   CASE WHEN CAST(right(company_id, 1) AS INTEGER) % 3 = 2 THEN NULL ELSE department END AS department FROM postings""")
+oracle("s5_registered_shape", _with(_postings()) + """, f AS (SELECT *, CAST(right(company_id, 1) AS INTEGER) % 3 <> 0 AS feed FROM postings)
+SELECT company_id, title, location, url, CASE WHEN feed AND batch_seq % 10 = 0 THEN NULL ELSE source_identifier END AS source_identifier,
+  CASE WHEN feed AND batch_seq % 10 = 0 THEN 'missing ref' END AS problem FROM f""")
 oracle("s4_source_to_endpoint", """WITH c AS (
   SELECT lower(replace(s_name, '#', '-')) AS id,
          CASE s_suppkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'workday' END AS adapter FROM supplier)

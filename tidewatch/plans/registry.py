@@ -382,6 +382,17 @@ def a5(spark, sf):
     return M.observation_stats(I.observation_log(spark, sf))
 
 
+@query("a5_stats_folded_by_run")
+def a5_folded(spark, sf):
+    """The statistics of a5 without a pass over the whole log: runs folded as they come, one late and
+    one delivered twice."""
+    root, _ = _stream_dirs(spark, "a5")
+    log = I.observation_log(spark, sf)
+    for run in (1, 0, 2, 1):
+        ST.fold_observation_stats(log.where(F.pmod("event_id", F.lit(3)) == run), root, f"run-{run}")
+    return ST.read_observation_stats(spark, root)
+
+
 @query("w2_gap_since_previous")
 def w2(spark, sf):
     return M.gap_since_previous(I.observation_log(spark, sf)).select("entity_id", "event_id", "gap_seconds")
@@ -546,6 +557,37 @@ def s13(spark, sf):
     return _event_snapshots(spark, sf).groupBy("snapshot_ts").agg(F.count(F.lit(1)).alias("job_count"))
 
 
+def _feed(docs):
+    """A source shape of a user's own: ``{"feed": {"entries": [{"ref", "name", "place", "link"}]}}``."""
+    entries = F.from_json("payload", "feed struct<entries: array<struct<ref: string, name: string, place: string, link: string>>>")["feed"]["entries"]
+    problem = F.when(F.col("e").isNull(), P.UNREADABLE).when(F.col("e.ref").isNull(), "missing ref")
+    return docs.select("*", F.posexplode_outer(entries).alias("_pos", "e")).select(
+        "company_ord", "source_ord", F.coalesce("_pos", F.lit(0)).alias("_pos"), "company_id", "company_name", F.col("e.name").alias("title"),
+        F.col("e.place").alias("location"), F.col("e.link").alias("url"), F.col("e.ref").alias("source_identifier"), problem.alias("_problem"))
+
+
+@query("s5_registered_shape")
+def s5_registered(spark, sf):
+    """Two shapes in one union: a board of the library and a feed that the user registers, a feed
+    without ref going to the quarantine (told by ``problem``)."""
+    p = I.postings(spark, sf).withColumn("adapter", _adapter_of(F.col("company_id")))
+    boards = P.build_board_object_docs(p.where(F.col("adapter") == "greenhouse")).withColumn("adapter", F.lit("greenhouse"))
+    page = F.floor(F.col("batch_seq") / F.lit(50))
+    entry = F.struct(F.when(F.pmod("batch_seq", F.lit(10)) != 0, F.col("source_identifier")).alias("ref"), F.col("title").alias("name"),
+                     F.col("location").alias("place"), F.col("url").alias("link"))
+    feeds = p.where(F.col("adapter") != "greenhouse").groupBy("company_id", "company_name", page.alias("source_ord")).agg(
+        F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entries")).alias("feed"))).alias("payload")).withColumn("adapter", F.lit("feed"))
+    docs = P.with_source_columns(
+        boards.unionByName(feeds),
+        F.lit("https://jobs.example.com/board/External"), F.regexp_extract("company_id", r"(\d+)$", 1).cast("bigint"))
+    P.register_flattener("feed", replace=True)(_feed)
+    try:
+        rows = P.flatten_sources(docs)
+    finally:
+        P.unregister_flattener("feed")
+    return rows.select("company_id", "title", "location", "url", "source_identifier", F.col("_problem").alias("problem"))
+
+
 @query("s13_list_versions")
 def s13_versions(spark, sf):
     """Committed versions as ``list_snapshots`` shows them: the known set, then what archiving the

@@ -210,6 +210,29 @@ FLATTENERS = {
 }
 
 
+def register_flattener(adapter: str, replace: bool = False):
+    """Decorator: a user's source shape, used from then on by ``flatten_sources``, ``union_sources``
+    and so by the quarantine of ``split_postings``.
+
+    The function takes the documents of its adapter (``payload`` and the source columns) and returns a
+    row per posting with company_ord, source_ord, ``_pos`` (place in its source, from 0), the raw columns that it
+    fills and ``_problem``, null for a valid row; raw columns that it leaves out are null."""
+    if not adapter:
+        raise ValueError("A flattener needs the name of its adapter")
+    if adapter in FLATTENERS and not replace:
+        raise ValueError(f"Adapter {adapter!r} has a flattener already")
+
+    def add(fn):
+        FLATTENERS[adapter] = lambda docs: _finish(fn(docs))
+        return fn
+
+    return add
+
+
+def unregister_flattener(adapter: str) -> None:
+    FLATTENERS.pop(adapter, None)
+
+
 def flatten_sources(docs: DataFrame) -> DataFrame:
     """All sources of all companies as numbered rows, faulty ones included; ``docs`` carries
     ``adapter``. Each shape is flattened from its own subset, then ``unionByName``."""

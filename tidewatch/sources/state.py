@@ -20,6 +20,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.metrics import observation_stats
 from tidewatch.operators.validate import SCHEMA_VERSION, dedupe_last_wins, record_violations, split_valid
 
 SNAPSHOT_FORMAT = "%Y%m%d-%H%M%S-%f"
@@ -242,3 +243,36 @@ def migrate(df: DataFrame, src: str, dst: str) -> DataFrame:
 
 def validate_migration(df: DataFrame, expected: str) -> DataFrame:
     return df.agg(F.bool_and(F.col("schema_version") == expected).alias("ok"))
+
+
+# A5 kept up to date: a table of per-entity statistics into which runs of the log are folded.
+
+
+def fold_observation_stats(log_of_run: DataFrame, root: str, run: str) -> None:
+    """Fold one run's observations into the statistics under ``root``. Only the run's rows and the
+    statistics so far are read, never the log; minimum, maximum and count can be merged in any order, so late
+    runs are welcome, and a run that was folded before is left as it is. Each fold writes a version
+    of its own, which counts once its marker is there."""
+    spark = log_of_run.sparkSession
+    names = committed(spark, root)
+    part = observation_stats(log_of_run)
+    runs = spark.createDataFrame([(run,)], "run string")
+    if names:
+        done = spark.read.parquet(f"{root}/runs/version={names[-1]}")
+        if not done.where(F.col("run") == run).isEmpty():
+            return
+        runs = runs.unionByName(done)
+        part = part.unionByName(spark.read.parquet(f"{root}/stats/version={names[-1]}")).groupBy("entity_id").agg(
+            F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("observation_count").alias("observation_count"))
+    name = f"{int(names[-1]) + 1 if names else 1:012d}"
+    part.write.mode("overwrite").parquet(f"{root}/stats/version={name}")
+    runs.write.mode("overwrite").parquet(f"{root}/runs/version={name}")
+    mark_committed(spark, root, name)
+
+
+def read_observation_stats(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics over all folded runs: entity_id, first_seen, last_seen, observation_count."""
+    names = committed(spark, root)
+    if not names:
+        raise FileNotFoundError(f"{root} has no folded run")
+    return spark.read.parquet(f"{root}/stats/version={names[-1]}")
