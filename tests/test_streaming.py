@@ -115,7 +115,12 @@ def test_ingestion_runs_the_cycle_once_per_run(spark, files):
     late = spark.read.parquet(f"{root}/landing").limit(1).withColumn("run_id", F.lit("r1"))
     handler(late, 77), handler(late, 77)
     assert _status(spark, root) == want
-    assert spark.read.parquet(f"{root}/state/staged").where("_late").count() == 1
+    handler(late.withColumn("run_id", F.lit(None).cast("string")), 78)
+    assert _status(spark, root) == want
+    staged = spark.read.parquet(f"{root}/state/staged")
+    # folders of committed runs are gone, so a batch reads no earlier run again
+    assert staged.where("_late = 1").count() == 2 and staged.where("_late = 0").count() == 0
+    assert SS._staged_runs(spark, f"{root}/state") == {}
 
 
 def test_late_sink_is_idempotent(spark):

@@ -54,29 +54,44 @@ def landed_whole(landing_dir: str, run_col: str = "run_id"):
     return done
 
 
+def _staged_runs(spark: SparkSession, state_root: str) -> dict[str, list[str]]:
+    """Staged folders of each run, by folder names only: ``staged/_batch=<n>/_late=0/_run=run-<run>``."""
+    fs, p = ST._fs(spark, f"{state_root}/staged/_batch=*/_late=0/_run=*")
+    runs: dict[str, list[str]] = {}
+    for st in fs.globStatus(p) or []:
+        path = st.getPath()
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(path.getName())
+        runs.setdefault(name.removeprefix("_run=run-"), []).append(path.toString())
+    return runs
+
+
+def _drop_staged(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        fs, p = ST._fs(spark, folder)
+        fs.delete(p, True)
+
+
 def commit_complete_runs(spark: SparkSession, state_root: str, is_complete, clock_col: str = "observed_at",
                          run_col: str = "run_id", **cycle_kw) -> list[str]:
     """Run the cycle once for each staged run that is complete and not committed, in the order of
-    run ids. A run is classified as a whole, so what it did not see is missing whatever the number
-    of its files; its clock is the latest ``clock_col`` of its rows. All outputs of a run go to
+    run ids (as strings, so numbers need leading zeros). Only the folders of that run are read;
+    those of committed runs go with the next call. A run is classified as a whole, so what it did
+    not see is missing whatever the number of its files; its clock is the latest ``clock_col`` of its rows. All outputs of a run go to
     paths of its own and one marker commits them, so a retry after any write gives the same state.
     A run older than the last committed one is an error."""
-    fs, p = ST._fs(spark, f"{state_root}/staged")
-    if not fs.exists(p):
-        return []
-    staged = spark.read.parquet(f"{state_root}/staged")
-    done = ST.committed(spark, state_root)
-    runs = sorted(r[0] for r in staged.where(F.col("_late") == F.lit(False)).select(run_col).distinct().collect() if r[0] not in done)
-    out = []
-    for run in runs:
+    staged, done, out = _staged_runs(spark, state_root), ST.committed(spark, state_root), []
+    for run in sorted(staged):
+        if run in done:
+            _drop_staged(spark, staged[run])
+            continue
         if not is_complete(spark, run):
             break  # later runs wait for it
         if done and run < done[-1]:
             raise ValueError(f"run {run} is older than the committed run {done[-1]}")
-        rows = staged.where((F.col(run_col) == run) & ~F.col("_late"))
+        rows = spark.read.parquet(*staged[run])
         now = rows.agg(F.max(clock_col)).first()[0]
         known, bad = _known(spark, state_root)
-        res = run_cycle(known, rows.drop(clock_col, run_col, "_late", "_batch"), now, run_id=run, **cycle_kw)
+        res = run_cycle(known, rows.drop(clock_col, run_col), now, run_id=run, **cycle_kw)
         (res.entities.withColumn("schema_version", F.lit(ST.SCHEMA_VERSION))
          .write.mode("overwrite").parquet(f"{state_root}/entities/snapshot_ts={run}"))
         res.observations.write.mode("overwrite").parquet(f"{state_root}/observations/run={run}")
@@ -90,9 +105,9 @@ def commit_complete_runs(spark: SparkSession, state_root: str, is_complete, cloc
 
 
 def cycle_batch_handler(state_root: str, is_complete, clock_col: str = "observed_at", run_col: str = "run_id", **cycle_kw):
-    """foreachBatch function: stage the micro-batch under its number (a replay writes the same
-    files), then commit the runs that are complete. Rows that arrive for a run already committed
-    are staged as late and change nothing."""
+    """foreachBatch function: stage the micro-batch under its number, a folder a run (a replay writes
+    the same files), then commit the runs that are complete. Rows that arrive for a run already committed,
+    or without a run, are kept under ``_late=1`` and change nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -100,7 +115,10 @@ def cycle_batch_handler(state_root: str, is_complete, clock_col: str = "observed
         fs, p = ST._fs(spark, f"{state_root}/staged/_batch={batch_id}")
         if not fs.exists(p):  # the first try decided what is late
             path = f"{state_root}/staging/{batch_id}"
-            batch.withColumn("_late", F.coalesce(late, F.lit(False))).write.mode("overwrite").parquet(path)
+            # 'run-' keeps the folder's value a string, whatever the run is called; rows without a run are kept aside too
+            aside = F.coalesce(late, F.lit(False)) | F.col(run_col).isNull()
+            (batch.withColumns({"_late": aside.cast("int"), "_run": F.concat(F.lit("run-"), F.col(run_col).cast("string"))})
+             .write.mode("overwrite").partitionBy("_late", "_run").parquet(path))
             fs.mkdirs(p.getParent())
             fs.rename(ST._fs(spark, path)[1], p)
         commit_complete_runs(spark, state_root, is_complete, clock_col, run_col, **cycle_kw)
