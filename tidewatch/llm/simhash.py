@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import NULL_ID, utf8_rows, word_runs
-from tidewatch.operators.components import connected_components
+from tidewatch.llm.components import connected_components
 from tidewatch.session import ensure_checkpoint_dir
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
