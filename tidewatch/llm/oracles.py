@@ -17,13 +17,13 @@ def _chat() -> str:
     a, b, c = (_text(x) for x in chat.TURN)
     return f"""
 WITH said AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-conv AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS l FROM said GROUP BY conv_id),
+conv AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS l FROM said GROUP BY conv_id),
 once AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies FROM conv GROUP BY l),
 kept AS (SELECT * FROM once a WHERE NOT EXISTS (
   SELECT 1 FROM conv b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l))
-SELECT conv_id, CAST(coalesce(floor(turn / {chat.PART}), -1) AS BIGINT) AS part, len(any_value(l)) AS n_turns, any_value(n_copies) AS n_copies,
-  string_agg({a} || coalesce(role, '') || {b} || coalesce(text, '') || {c}, '' ORDER BY turn, role, text) AS rendered
-FROM said JOIN kept USING (conv_id) GROUP BY 1, 2"""
+SELECT conv_id, (n - 1) // {chat.PART} AS part, len(any_value(l)) AS n_turns, any_value(n_copies) AS n_copies,
+  string_agg({a} || coalesce(role, '') || {b} || coalesce(text, '') || {c}, '' ORDER BY n) AS rendered
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS n FROM said) JOIN kept USING (conv_id) GROUP BY 1, 2"""
 
 
 def _mix() -> str:
@@ -32,7 +32,7 @@ def _mix() -> str:
           f" AND list_max(list_transform(ps, lambda p: pow(p, {{0}}) / p)) / list_sum(list_transform(ps, lambda p: pow(p, {{0}}))) <= {mixing.MAX_REPEAT})")
     return f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(text, '{_WORD}')) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(text, '{_WORD}')) AS BIGINT) AS n_tokens, md5(text) AS h FROM documents WHERE text IS NOT NULL),
 doc AS (SELECT * FROM d WHERE n_tokens > 0),
 src AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM doc GROUP BY source),
 tot AS (SELECT CAST(sum(tokens) AS BIGINT) AS total FROM src),
@@ -46,11 +46,14 @@ expo AS (SELECT CASE WHEN {ok.format('0.0')} THEN 0.0 WHEN NOT {ok.format('1.0')
 share AS (SELECT source, tokens, pow(tokens / total, a) AS q, total FROM src, tot, expo),
 plan AS (SELECT source, tokens, CAST(round(q / (SELECT sum(q) FROM share) * total) AS BIGINT) AS source_budget, total FROM share),
 plan2 AS (SELECT *, source_budget // tokens AS epochs, source_budget % tokens AS rest FROM plan),
-dealt AS (SELECT doc.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
-  % greatest(1, least({mixing.MAX_BLOCKS}, CAST(ceil(total / {mixing.BLOCK_TOKENS}) AS BIGINT))) AS block FROM doc, tot),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, n_tokens, h) - 1 AS copy FROM doc),
+dealt AS (SELECT numbered.*, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || n_tokens || '|' || h || '|' || copy), 1, 12) AS BIGINT)
+  % greatest(1, CAST(ceil(total / {mixing.BLOCK_TOKENS}) AS BIGINT)) AS block FROM numbered, tot),
 sums AS (SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS block_tokens FROM dealt GROUP BY 1, 2),
 sched AS (SELECT s.*, e.epoch, p.tokens, p.epochs, p.rest, p.source_budget,
-    CAST(coalesce(sum(block_tokens) OVER (PARTITION BY s.source, e.epoch ORDER BY md5(s.source || '|' || e.epoch || '|' || s.block), s.block
+    CAST(coalesce(sum(block_tokens) OVER (PARTITION BY s.source, e.epoch
+      ORDER BY md5(s.source || '|' || e.epoch || '|' || (s.block // {mixing.GROUP_BLOCKS})), s.block // {mixing.GROUP_BLOCKS},
+        md5(s.source || '|' || e.epoch || '|' || s.block), s.block
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM sums s JOIN plan2 p USING (source), LATERAL (SELECT unnest(range(0, p.epochs + 1)) AS epoch) e),
 drawn AS (SELECT t.doc_id, t.source, t.n_tokens, s.epoch, t.block, s.epoch * s.tokens + s.before AS block_start, s.source_budget,
