@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scratch_table(_meet(docs.select(key, text).mapInArrow(_parse(window, rounds), schema)), "repeats")
 
     def of_text(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "hash").agg(F.collect_list("place").alias("places"))
+        return rows.groupBy("id", "hash").agg(F.collect_set("place").alias("places"))
 
     packed = docs.select(key, text).mapInArrow(_pack, "id bigint, hash bigint, packed binary")
     opened = packed.join(of_text(found.where("open")), ["id", "hash"])
