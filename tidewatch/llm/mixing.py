@@ -76,7 +76,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> D
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         n_tokens(text_col).alias("n_tokens"), F.md5(F.col(text_col).cast("binary")).alias("text_hash")).where("n_tokens > 0")
-    counts = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    counts = scratch_table(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "copies")
     few = counts.where(F.col("copies") <= _COPIES).select(*rows.columns, F.lit(0).cast("bigint").alias("at"), "copies")
     many = counts.where(F.col("copies") > _COPIES).select(
         *rows.columns, F.explode(F.expr(f"sequence(0L, copies - 1, {_COPIES}L)")).alias("at"), "copies")
