@@ -281,3 +281,63 @@ def test_no_grouped_python_call_decides(spark):
                                       "cand struct<kind: int, seq: bigint, ref: string>")
     plan = C._wave(told, C._steps(told, known), spark.createDataFrame([], "sig string, c_sig string, score double"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Pandas" not in plan and "Python" not in plan
+
+
+def _rounds(monkeypatch, asked):
+    """Notes how many rows each round of a cascade asks."""
+    from tidewatch.operators import classify as C
+
+    wave = C._wave
+    monkeypatch.setattr(C, "_wave", lambda told, steps, links: (asked.append(told.count()), wave(told, steps, links))[1])
+
+
+def test_a_first_guess_that_holds_takes_one_round(spark, monkeypatch):
+    """A repost guessed as new changes nothing for other rows, so no second round asks all rows again."""
+    e = [entity(1, "acme", "Data Engineer", "Remote", status="closed", sid="S"), entity(2, "acme", "Warehouse Clerk", "Austin, TX", sid="T")]
+    batch = [posting(1, "acme", "Data Engineer", "Remote", "Z"), posting(2, "acme", "Warehouse Clerk", "Austin, TX", "Y"),
+             posting(3, "acme", "Other Thing", "Nowhere", "S1")]
+    asked = []
+    _rounds(monkeypatch, asked)
+    dec, _, _ = run(spark, e, batch, T0 + timedelta(days=20))
+    assert [dec[i].decision for i in (1, 2, 3)] == ["reopened", "repost", "new"]
+    assert dec[2].target_id == "e2" and asked == [3]
+
+
+def test_rounds_ask_only_rows_that_look_at_what_moved(spark, monkeypatch):
+    """Posting 2 is first taken for the record that posting 1 reopens under another id; the 20 others
+    look at neither that id nor those signatures."""
+    e = [entity(1, "acme", "Data Engineer", "Remote", status="closed", sid="S"),
+         entity(2, "acme", "Warehouse Clerk", "Austin, TX", status="closed", sid="S")]
+    batch = [posting(1, "acme", "Data Engineer", "Remote", "Z"), posting(2, "acme", "Other Thing", "Nowhere", "S")]
+    batch += [posting(10 + i, "acme", chr(97 + i) * 9 + " clerk", "Elsewhere", f"N{i}") for i in range(20)]
+    asked = []
+    _rounds(monkeypatch, asked)
+    K = with_signature(spark.createDataFrame(e, ENTITY_SCHEMA)).select(*ENTITY_COLUMNS)
+    exp = _compare_with_oracle(spark, K, spark.createDataFrame(batch, BATCH_SCHEMA), T0 + timedelta(days=60))
+    assert [exp[i][:2] for i in (1, 2)] == [("reopened", "K:e1"), ("existing", "K:e2")] and exp[10][0] == "new"
+    assert asked[0] == 22 and len(asked) == 2 and asked[1] <= 2
+
+
+def test_hit_records_of_a_signature_do_not_multiply_its_matches(spark):
+    """Many records of one signature, all out of the window and hit by the batch in their order: a
+    similar posting is compared with the first of them only; if later ones are hit first, with the best."""
+    now = T0 + timedelta(days=60)
+    ents = [entity(i, "acme", "Data Engineer", "Remote", sid=f"S{i}") for i in range(1, 31)]
+    batch = [posting(i, "acme", "Other", "Nowhere", f"S{31 - i if i > 15 else i}") for i in range(1, 31)]
+    batch += [posting(j, "acme", "Data Engineers", "Remote", f"N{j}") for j in (40, 41)]
+    K = with_signature(spark.createDataFrame(ents, ENTITY_SCHEMA)).select(*ENTITY_COLUMNS)
+    exp = _compare_with_oracle(spark, K, spark.createDataFrame(batch, BATCH_SCHEMA), now)
+    assert exp[40][0] == "repost" and exp[40][2] == "K:e1"
+
+
+def test_postings_of_a_one_group_file_are_dealt_out(spark, tmp_path):
+    """A file with one row group is read by one task: its rows are dealt out before titles are normalised."""
+    from tidewatch.plans import inputs as I
+
+    one = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    one([(i, f"p{i}", "Brand#1", "SMALL", i % 50) for i in range(3000)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", "part")
+    one([(i, f"n{i}", i % 5) for i in range(25)], "n_nationkey bigint, n_name string, n_regionkey bigint", "nation")
+    one([(i, f"r{i}") for i in range(5)], "r_regionkey bigint, r_name string", "region")
+    for df in (I.postings(spark, str(tmp_path)), I.entities0(spark, str(tmp_path)), I.batch1(spark, str(tmp_path))):
+        sizes = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(sizes) > 1 and max(r["count"] for r in sizes) < 1500

@@ -85,6 +85,13 @@ def _new_id(run_id: str) -> F.Column:
 _ALWAYS, _FOREVER = -(1 << 62), 1 << 62
 
 
+def _effect() -> F.Column:
+    """What a decision changes for other rows: a record of its own ('new' or 'repost' alike), a hit or
+    a reopening of a known record, or nothing."""
+    return F.when(F.col("decision").isin("new", "repost"), "born").when(
+        F.col("ref").startswith("K:"), F.concat_ws(" ", "decision", "ref"))
+
+
 def _steps(told: DataFrame, known: DataFrame) -> DataFrame:
     """(role, key, falling, at, cand): which record answers for a key at a row, by what ``told`` says.
 
@@ -119,25 +126,39 @@ _HOLDS = "(NOT falling AND batch_seq > at) OR (falling AND batch_seq <= at)"
 
 
 def _wave(told: DataFrame, steps: DataFrame, links: DataFrame) -> DataFrame:
-    """Decisions of all rows, each from the records that answer at it; ``moved`` where ``told`` says
-    otherwise."""
-    rows = told.select("batch_seq", "company_id", "sid", "url", "sig", F.struct("decision", "ref").alias("was"))
+    """Decisions of the rows of ``told``, each from the records that answer at it; ``was`` and ``was_ref``
+    are what ``told`` says, ``moved`` where that differs for other rows (see ``_effect``)."""
+    own = [c for c in told.columns if c not in ("decision", "ref", "score")]
+    rows = told.select(*own, F.col("ref").alias("was_ref"), _effect().alias("was"))
     # an equal signature has the highest score there is; token sets (M3) may tie with other signatures
     looks = rows.select("batch_seq", F.inline(F.filter(F.array(
         F.struct(F.lit("id").alias("role"), F.concat("company_id", F.lit("\x1f"), "sid").alias("key")),
         F.struct(F.lit("recent").alias("role"), F.when(~F.col("company_id").contains(S.SEPARATOR), F.col("sig")).alias("key"))),
         lambda e: e["key"].isNotNull())))
-    plain = looks.join(steps.where("role != 'closed'"), ["role", "key"]).where(_HOLDS).groupBy("batch_seq").agg(F.min(F.struct(
+    plain = looks.join(steps.where("role != 'closed'"), ["key", "role"]).where(_HOLDS).groupBy("batch_seq").agg(F.min(F.struct(
         F.when(F.col("role") == "id", "existing").otherwise("repost").alias("decision"), "cand",  # in this order
         F.when(F.col("role") == "recent", F.lit(1.0)).alias("score"))).alias("got"))
     options = steps.where("role != 'id'").withColumnRenamed("key", "c_sig")
     similar = rows.join(plain, "batch_seq", "left_anti").join(links, "sig").join(options, "c_sig").where(_HOLDS).groupBy("batch_seq").agg(
         F.max_by(F.struct(F.when(F.col("role") == "recent", "repost").otherwise("reopened").alias("decision"), "cand", "score"),
                  F.struct("role", "score", -F.col("cand.kind"), -F.col("cand.seq"))).alias("got"))  # 'recent' before 'closed'
-    now = F.struct(F.coalesce("got.decision", F.lit("new")).alias("decision"), F.col("got.cand.ref").alias("ref"))
     return rows.join(plain.unionByName(similar), "batch_seq", "left").select(
-        "batch_seq", "company_id", "sid", "url", "sig", (~now.eqNullSafe(F.col("was"))).alias("moved"), now.alias("now"),
-        F.col("got.score").alias("score")).select("*", "now.*").drop("now")
+        *own, "was", "was_ref", F.coalesce("got.decision", F.lit("new")).alias("decision"), F.col("got.cand.ref").alias("ref"),
+        F.col("got.score").alias("score")).withColumn("moved", ~_effect().eqNullSafe(F.col("was")))
+
+
+def _asked_again(told: DataFrame, moved: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (batch_seq) that look at an id or signature for which another record may answer now: those of
+    the rows that moved, and of the records that they took, hit or left."""
+    refs = moved.select(F.explode(F.array("ref", "was_ref")).alias("ref")).where("ref LIKE 'K:%'").distinct()
+    cols = ["company_id", "sid", "sig"]
+    theirs = moved.select(*cols).unionByName(known.join(refs, "ref", "left_semi").select(*cols)).unionByName(
+        told.where("decision = 'reopened'").join(refs, "ref", "left_semi").select(*cols))
+    ids = theirs.where("sid IS NOT NULL").select("sid", "company_id").distinct()
+    sigs = theirs.select("sig").distinct()
+    near = sigs.unionByName(links.join(sigs.withColumnRenamed("sig", "c_sig"), "c_sig", "left_semi").select("sig")).distinct()
+    rows = told.select("batch_seq", "company_id", "sid", "sig")
+    return rows.join(ids, ["sid", "company_id"], "left_semi").select("batch_seq").unionByName(rows.join(near, "sig", "left_semi").select("batch_seq")).distinct()
 
 
 def _cascade(told: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
@@ -146,20 +167,27 @@ def _cascade(told: DataFrame, known: DataFrame, links: DataFrame) -> DataFrame:
     A row's decision depends on earlier rows of its company only, so after n rounds all rows are
     right whose chain of dependencies has at most n links, the fixed point is the only one, and the
     rounds needed are the links of the longest chain, not the rows. Every round is a set of joins
-    over the rows of the companies that moved in the round before; no component, company or chain
-    is ever in one task.
+    over the rows of the companies that moved in the round before, and asks again only the rows that
+    look at what moved; no component, company or chain is ever in one task.
 
-    ``told``: batch_seq, company_id, sid, url, sig, and a first guess (decision, ref);
+    ``told``: batch_seq, company_id, sid, sig, a first guess (decision, ref) and what is to be passed on;
     ``known``: ref, company_id, sig, sid, closed, in_window, cand (kind 0, seq, ref);
     ``links``: sig, c_sig, score."""
-    settled = []
+    settled, kept = [], None
+    asked = told
     while True:
-        now = _ckpt(_wave(told, _ckpt(_steps(told, known)), links))
-        moved = now.where("moved").select("company_id").distinct()
+        now = _ckpt(_wave(asked, _ckpt(_steps(told, known)), links))
+        moved = now.where("moved")
+        now = now.drop("moved", "was", "was_ref")
+        now = now if kept is None else kept.unionByName(now)
         if moved.isEmpty():
             return reduce(DataFrame.unionByName, settled, now)
-        settled.append(now.join(moved, "company_id", "left_anti").select(*now.columns))
-        told = _ckpt(now.join(moved, "company_id", "left_semi"))
+        where = moved.select("company_id").distinct()
+        settled.append(now.join(where, "company_id", "left_anti").select(*now.columns))
+        told = _ckpt(now.join(where, "company_id", "left_semi").select(*now.columns))
+        again = _ckpt(_asked_again(told, moved, known, links))
+        asked = told.join(again, "batch_seq", "left_semi").select(*told.columns)
+        kept = told.join(again, "batch_seq", "left_anti").select(*told.columns)
 
 
 # ---------------------------------------------------------------------------
@@ -186,15 +214,13 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     # --- C1 identity -----------------------------------------------------------------
     idx = (
         K.where(F.col("source_identifier").isNotNull() & (F.col("source_identifier") != ""))
-        .groupBy("company_id", F.col("source_identifier").alias("sid"))
+        .groupBy(F.col("source_identifier").alias("sid"), "company_id")
         .agg(F.min_by("id", "entity_seq").alias("hit_id"))
     )
-    R1 = R.join(idx, ["company_id", "sid"], "left")
-    lead = (
-        R1.where(F.col("hit_id").isNull() & F.col("sid").isNotNull())
-        .groupBy("company_id", "sid").agg(F.min("batch_seq").alias("lead_seq"))
-    )
-    R2 = R1.join(lead, ["company_id", "sid"], "left").withColumn(
+    lead = R.where(F.col("sid").isNotNull()).groupBy("sid", "company_id").agg(
+        F.min("batch_seq").alias("lead_seq"), F.count(F.lit(1)).alias("sid_rows"))
+    # the id is the first key: rows are sorted by it, and companies share their beginnings
+    R2 = R.join(idx, ["sid", "company_id"], "left").join(lead, ["sid", "company_id"], "left").withColumn(
         "role",
         F.when(F.col("hit_id").isNotNull(), "hit")
         .when(F.col("lead_seq").isNotNull() & (F.col("lead_seq") != F.col("batch_seq")), "follower")
@@ -206,7 +232,11 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     first_hit = R2.where(F.col("role") == "hit").groupBy(F.col("hit_id").alias("id")).agg(
         F.min("batch_seq").alias("first_hit_seq")
     )
-    K1 = K.join(first_hit, "id", "left")
+    K1 = K.join(first_hit, "id", "left").select(
+        "id", "entity_seq", "company_id", "title_sorted", "location_norm", "status", "last_seen", "first_seen",
+        "source_identifier", "first_hit_seq")
+    if checkpoint:
+        K1 = _ckpt(K1)
     in_window = F.col("last_seen") >= cutoff_c
     # Candidate known records: closed (reopen), or in the window now / after an earlier id hit.
     Kc = K1.where((F.col("status") == "closed") | in_window | F.col("first_hit_seq").isNotNull()).select(
@@ -246,10 +276,13 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
 
     # --- fuzzy edges for the residue -----------------------------------------------------
     residue = L2.where(~F.col("is_exact"))
-    cs_k = Kc.groupBy("company_id", "title_sorted", "location_norm", "ckind", "elig_from").agg(
+    cs_k = Kc.groupBy(*sig, "ckind", F.when(F.col("ckind") == "K", F.col("elig_from")).alias("elig_from")).agg(
         F.min("entity_seq").alias("cseq"), F.min_by("id", "entity_seq").alias("cid"),
         F.min_by("first_seen", "entity_seq").alias("cfirst"),
     )
+    # of a signature's records only those are kept that are the earliest for some row, however many were hit
+    sooner = Window.partitionBy(*sig, "ckind").orderBy(F.col("elig_from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    cs_k = cs_k.withColumn("best", F.min("cseq").over(sooner)).where("best IS NULL OR cseq IS NULL OR cseq < best").drop("best")
     cs_b = L.groupBy("company_id", "title_sorted", "location_norm").agg(F.min("batch_seq").alias("cseq")).select(
         "company_id", "title_sorted", "location_norm", F.lit("B").alias("ckind"),
         F.lit(None).cast("bigint").alias("elig_from"), "cseq",
@@ -283,12 +316,13 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         ).alias("rp"),
         F.max_by(F.when(F.col("ckind") == "C", F.col("cid")), F.when(F.col("ckind") == "C", F.struct(F.col("score"), -F.col("cseq")))).alias("closed_id"),
     )
-    L3 = L2.join(best, "batch_seq", "left")
+    # read by the routing and by the decisions: the search for matches is run once
+    L3 = _ckpt(L2.join(best, "batch_seq", "left").select("batch_seq", "company_id", "is_exact", "xk", "xb_seq", "rp", "closed_id"))
     # --- routing: companies with a possible reopen ------------------------------------------
-    triggers = _ckpt(L3.where(~F.col("is_exact") & F.col("rp").isNull() & F.col("closed_id").isNotNull()).select(
-        "batch_seq", "company_id", "closed_id"))
-    routed = triggers.select("company_id").distinct()
-    any_trigger = not triggers.isEmpty()
+    triggers = L3.where(~F.col("is_exact") & F.col("rp").isNull() & F.col("closed_id").isNotNull()).select(
+        "batch_seq", "company_id", "closed_id")
+    routed = _ckpt(triggers.select("company_id").distinct())
+    any_trigger = not routed.isEmpty()
     routed_rows = R2.join(routed, "company_id", "left_semi")
 
     # --- set-wise decisions (all other companies) -------------------------------------------
@@ -328,7 +362,10 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
     sig_of = lambda title, loc: F.concat_ws("\x1f", "company_id", title, loc)
     if any_trigger:
         guess = routed_rows.join(triggers.select("batch_seq", "closed_id"), "batch_seq", "left").select(
-            "batch_seq", "company_id", "sid", "url", sig_of("title_sorted", "location_norm").alias("sig"),
+            "batch_seq", "company_id", F.col("sid").alias("new_sid"), "url",
+            # an id that no record and no other row has need not be asked for
+            F.when((F.col("role") == "hit") | (F.col("sid_rows") > 1), F.col("sid")).alias("sid"),
+            sig_of("title_sorted", "location_norm").alias("sig"),
             F.when(F.col("role") != "leader", "existing").when(F.col("closed_id").isNotNull(), "reopened").otherwise("new").alias("decision"),
             F.when(F.col("role") == "hit", F.concat(F.lit("K:"), F.col("hit_id")))
             .when(F.col("role") == "follower", F.concat(F.lit("B:"), F.col("lead_seq").cast("string")))
@@ -340,15 +377,15 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
         held = Kc_all.join(row_sids.withColumn("held", F.lit(True)), ["company_id", "source_identifier"], "left")
         ref = F.concat(F.lit("K:"), F.col("id"))
         known = _ckpt(held.where((F.col("status") == "closed") | in_window | F.col("held")).select(
-            ref.alias("ref"), "company_id", sig_of("title_sorted", "location_norm").alias("sig"), F.col("source_identifier").alias("sid"),
-            "status", (F.col("status") == "closed").alias("closed"), in_window.alias("in_window"),
+            ref.alias("ref"), "company_id", sig_of("title_sorted", "location_norm").alias("sig"),
+            F.when(F.col("held"), F.col("source_identifier")).alias("sid"), "status", (F.col("status") == "closed").alias("closed"), in_window.alias("in_window"),
             F.struct(F.lit(0).alias("kind"), F.col("entity_seq").alias("seq"), ref.alias("ref")).alias("cand")))
         links = _ckpt(sp_all.join(routed, "company_id", "left_semi").select(
             sig_of("q_title", "q_loc").alias("sig"), sig_of("c_title", "c_loc").alias("c_sig"), "score"))
         done = _cascade(_ckpt(guess), known, links)
     else:
         none = R2.sparkSession.createDataFrame
-        done = none([], "batch_seq bigint, company_id string, sid string, url string, sig string, decision string, ref string, score double")
+        done = none([], "batch_seq bigint, company_id string, new_sid string, url string, sid string, sig string, decision string, ref string, score double")
         known = none([], "ref string, status string")
 
     def _ref_to_id(c):
@@ -405,7 +442,7 @@ def classify_batch(entities: DataFrame, batch: DataFrame, now, window_days: int
                 F.lit(None).cast("string").alias("u_sid"), F.lit(None).cast("string").alias("u_url"))
     )
     touched = done.where("decision IN ('existing', 'reopened') AND ref LIKE 'K:%'").groupBy("ref").agg(
-        F.max(F.when(F.col("decision") == "reopened", F.struct("sid", "url"))).alias("took"))
+        F.max(F.when(F.col("decision") == "reopened", F.struct(F.col("new_sid").alias("sid"), "url"))).alias("took"))
     upd_rep = touched.join(known, "ref").select(
         F.substring("ref", 3, 1 << 30).alias("id"),
         F.when(F.col("took").isNotNull(), "reopened").when(F.col("status") == "missing", "active").otherwise(F.col("status")).alias("u_status"),

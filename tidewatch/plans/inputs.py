@@ -25,10 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by ``key``. A file is read by as many tasks as it has row groups, often one or
+    two; normalising a title costs many times its reading."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def postings(spark: SparkSession, sf_dir: str, location: str = "region") -> DataFrame:
     """Raw postings: one per part; company = brand, title = name + type, location = region
     (or nation with ``location='nation'``); source id = part key; batch order = part key."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     df = part.join(nation, F.pmod(part.p_size, F.lit(25)) == nation.n_nationkey).join(
